@@ -3,9 +3,25 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_encode_decode
+from .decontaminate import op9_benchmark_decontamination
+from .embedding_dedup import op10_embedding_near_dedup
 from .line_dedup import op1_line_dedup
+from .lm_score import op5_lm_scoring
+from .quality import op8_quality_classifier
 from .shard_tree import op6_shard_tree
 from .simhash_dedup import op2_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash_near_dedup, op4_bpe_encode_decode, op6_shard_tree)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_simhash_near_dedup,
+        op4_bpe_encode_decode,
+        op5_lm_scoring,
+        op6_shard_tree,
+        op8_quality_classifier,
+        op9_benchmark_decontamination,
+        op10_embedding_near_dedup,
+    )
+}
 SQL: dict[str, str] = {}

@@ -59,9 +59,9 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
 def deal_groups(df: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     """Deals the members of each group of two or more to tasks, in columns key, _a and _b.
 
-    A group of up to ``block`` members is one task (_a = _b = 0). A larger one is cut into chunks by a hash of the
-    whole row, and each pair of chunks _a < _b is a task, so that any two members meet in a task and no task holds more
-    than two chunks.
+    A group of up to ``block`` members is one task (_a = _b = 0). A larger one is cut into _c chunks by a hash of the
+    whole row, _h is a row's chunk, and each pair of chunks _a < _b is a task, so that any two members meet in a task and
+    no task holds more than two chunks.
     """
     sizes = df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
     wide = df.join(sizes, key)
@@ -75,7 +75,7 @@ def deal_groups(df: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
         .withColumn("_a", F.least("_h", "_o"))
         .withColumn("_b", F.greatest("_h", "_o"))
     )
-    cols = [key, "_a", "_b", *[c for c in df.columns if c != key]]
+    cols = [key, "_a", "_b", "_c", "_h", *[c for c in df.columns if c != key]]
     return one.select(*cols).unionByName(many.select(*cols))
 
 
