@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..session import prepare
 from .shared import documents
 
 #: Fixed value: the pattern of byte-level BPE tokenizers.
@@ -161,6 +162,7 @@ def bpe_columns(docs: DataFrame, vocab: str, text_col: str = "text", digests: bo
     vocab is the path of a tokenizer file that each worker can read. A null text counts as an empty one: no tokens, empty
     ids and text. Columns of these names in the input are replaced; others pass through.
     """
+    prepare(docs.sparkSession)
     names = ["ids_sha256", "decoded_sha256"] if digests else ["token_ids", "decoded"]
     docs = docs.drop("n_tokens", *names)
     schema = StructType(list(docs.schema)).add("n_tokens", "long").add(names[0], "string").add(names[1], "string")

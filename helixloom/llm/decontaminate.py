@@ -110,6 +110,7 @@ def benchmark_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
                 if len(h):
                     yield pd.DataFrame({"h": h, "item": item, "ipos": np.arange(len(h)), "total": len(h), "islots": [_slots(tokens, surface, k, size) for k in range(len(h))]})
 
+    prepare(items.sparkSession)
     return items.mapInPandas(run, "h long, item long, ipos int, total int, islots string")
 
 

@@ -131,7 +131,8 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     component, null where all are null; kept is whether it is the row's own. No rows give no rows; other columns do not
     matter.
     """
-    vectors = vectors.select("vec_id", F.col("label"), "embedding")
+    prepare(vectors.sparkSession)
+    vectors = vectors.select("vec_id", "label", "embedding")
     good = vector_classes(vectors)
     key = ["label", "h1", "h2"]
     classes = good.groupBy(*key).agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"), F.any_value("dim").alias("dim"))

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import prepare
 from .shared import documents, persist_table
 
 #: Classes: one for the end, TOP for the most frequent words, the rest for hashed endings.
@@ -222,6 +223,7 @@ def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     The model learns from the documents whose crc32 of the id is not a multiple of 10. A null text counts as an empty
     one, which has the end as its only token; repeated ids and equal rows are documents of their own. No documents give no rows.
     """
+    prepare(docs.sparkSession)
     docs = blocks(docs.select("doc_id", "text"))
     words = persist_table(block_words(docs))
     totals = persist_table(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))

@@ -211,6 +211,7 @@ def train_models(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, u
 
     Several labels of a document are averaged. Without labels, or with one class only, the model is a constant.
     """
+    prepare(docs.sparkSession)
     truth = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
     first = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     rest = docs.select("doc_id").filter("doc_id is not null").join(truth, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
@@ -257,6 +258,7 @@ def score_documents(docs: DataFrame, models: dict[str, dict], low: float = 0.65,
     kept is false if p_low is over low or p_toxic over toxic. Null and empty texts are scored by their metadata and the bias.
     Columns of these names in the input are replaced; others pass through; language and source may be missing or null.
     """
+    prepare(docs.sparkSession)
     docs = docs.drop(*SCORES, "kept")
     schema = docs.select("*", *[F.lit(0.0).alias(c) for c in SCORES], F.lit(True).alias("kept")).schema
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -266,8 +268,8 @@ def score_documents(docs: DataFrame, models: dict[str, dict], low: float = 0.65,
         for batch in batches:
             out = np.zeros((len(batch), 4))
             for k, (ids, values, meta) in enumerate(rows_of(batch, features)):
-                a, b, low = _score(m["low"], ids, values, meta)
-                out[k] = a, b, low, _score(m["toxic"], ids, values, meta)[2]
+                a, b, both = _score(m["low"], ids, values, meta)
+                out[k] = a, b, both, _score(m["toxic"], ids, values, meta)[2]
             for k, c in enumerate(SCORES):
                 batch[c] = out[:, k]
             batch["kept"] = (out[:, 2] <= low) & (out[:, 3] <= toxic)

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import prepare
 from .shared import connected_components, deal_groups, documents, fresh, map_groups, persist_table, with_row_id
 
 SEED = 42
@@ -52,6 +53,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """The carried columns and fp, the fingerprint as a signed long."""
+    prepare(docs.sparkSession)
     schema = docs.select(*carry).schema.add("fp", "long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
