@@ -5,6 +5,8 @@ from __future__ import annotations
 from .bpe import op4_bpe_encode_decode
 from .decontaminate import op9_benchmark_decontamination
 from .embedding_dedup import op10_embedding_near_dedup
+from .html_render import op7_html_extraction
+from .license_scan import op3_license_scan
 from .line_dedup import op1_line_dedup
 from .lm_score import op5_lm_scoring
 from .quality import op8_quality_classifier
@@ -16,9 +18,11 @@ QUERIES = {
     for f in (
         op1_line_dedup,
         op2_simhash_near_dedup,
+        op3_license_scan,
         op4_bpe_encode_decode,
         op5_lm_scoring,
         op6_shard_tree,
+        op7_html_extraction,
         op8_quality_classifier,
         op9_benchmark_decontamination,
         op10_embedding_near_dedup,
