@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def persist_table(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and any executor can read it."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
@@ -164,6 +164,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     run until no edge changes. Only links and labels move, nothing comes to the driver but a checksum. Nodes without
     edges do not appear. No edges give an empty table.
     """
+    prepare(edges.sparkSession)
     now = persist_table(edges.select("a", "b").filter("a <> b").mapInPandas(_stars, "a long, b long").distinct())
 
     def mark(df: DataFrame) -> tuple:
