@@ -307,6 +307,39 @@ def linked_list_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.strand_order(n).select("strand_id", "nucleotide_id", F.col("k").cast("long").alias("k"))
 
 
+def _solved(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    from ..operators.solver import solve
+
+    design, staples, _ = _base(spark, sf_dir)
+    return solve(design, staples, method)
+
+
+def solver_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections after greedy routing and overlap resolution; order-dependent, so without SQL."""
+    return _solved(spark, sf_dir, "naive")
+
+
+def solver_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections by constraint propagation."""
+    return _solved(spark, sf_dir, "full")
+
+
+def solver_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each design the sections that the solver found where they are by construction."""
+    _, _, truth = _base(spark, sf_dir)
+    found = _solved(spark, sf_dir, "full").filter("status = 'placed'")
+    hit = truth.join(found.select(ID, "staple_id", "i53", "runlen"), [ID, "staple_id", "i53", "runlen"]).groupBy(ID).agg(F.count("*").alias("right"))
+    return truth.groupBy(ID).agg(F.count("*").alias("sections")).join(hit, ID, "left").select(ID, "sections", F.coalesce("right", F.lit(0)).alias("right"))
+
+
+def ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each node of each design's graph can slide."""
+    from ..operators.graph import ambiguity as limits
+    from ..operators.graph import edges
+
+    return limits(edges(_map(spark, sf_dir)))
+
+
 @cache
 def registry() -> dict:
     names = [
@@ -315,5 +348,6 @@ def registry() -> dict:
         crossover_pairs, staple_stats, section_histogram, delete_staples, hamming, equivalence_diff, staples_multiset_match, verify_invariants,
         add_dangles, recompose_loopouts, renumber_by_sequence, rotate_sequence, linearise_remap, circularise, delete_1nt_remap, rotation_offsets,
         band_join_pairs, monogamous_pairs, grid_pair_counts, fasta_lines, rev_lines, contactmap_csv_lines, dl_edges, linked_list_walk,
+        solver_naive, solver_full, solver_accuracy, ambiguity,
     ]
     return {f.__name__: f for f in names}

@@ -1,0 +1 @@
+"""Streaming: designs solved as their files arrive."""
