@@ -30,13 +30,18 @@ from .shared import documents, persist_table
 #: Classes: one for the end, TOP for the most frequent words, the rest for hashed endings.
 CLASSES, TOP = 256, 120
 #: Rows of the weight matrix, feature rows are hashed into it.
-FEATURES = 1 << 13
+FEATURES = 1 << 12
 STEPS, RATE, L2 = 16, 0.4, 3.0
 SMOOTH = 0.1
+#: Partitions of the table of histories, and so of matrices that a step brings to the driver.
+PARTS = 3
 #: Documents of a block share a look-up of words.
-BLOCK_DOCS = 3_000
+BLOCK_DOCS = 5_000
 END = b""
 START = CLASSES  # stands for "before the text" in a history
+#: Of the class before the previous one a history keeps its group only; the last group is "before the text".
+GROUPS = 33
+HISTORIES = (CLASSES + 1) * GROUPS
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -49,31 +54,29 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-class Classes:
-    """The class of each word, given the frequent ones."""
+class Classes(dict):
+    """The class of each word, given the frequent ones; a mapping that works out and remembers words that it lacks."""
 
     def __init__(self, top: list[bytes]) -> None:
-        self.known: dict[bytes, int] = {END: 0} | {w: k for k, w in enumerate(top, 1)}
-        self.first = 1 + TOP
-        self.fixed = dict(self.known)
-
-    def of(self, w: bytes) -> int:
-        c = self.known.get(w)
-        if c is None:
-            if len(self.known) > 500_000:
-                self.known = dict(self.fixed)
-            core = w.strip(b".,;:!?\"'()[]") or w
-            c = self.known[w] = self.first + zlib.crc32(core[-3:] if len(core) > 3 else b"." + core) % (CLASSES - self.first)
+        super().__init__({END: 0} | {w: k for k, w in enumerate(top, 1)})
+        self.first, self.fixed = 1 + TOP, len(self)
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 500_000:
+            for k in list(self)[self.fixed :]:
+                del self[k]
+        core = w.strip(b".,;:!?\"'()[]") or w
+        c = self[w] = self.first + zlib.crc32(core[-3:] if len(core) > 3 else b"." + core) % (CLASSES - self.first)
         return c
 
 
-def feature_rows(c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
-    """Rows of the weight matrix for histories (previous class, class before it)."""
-    c1, c2 = c1.astype(np.uint64), c2.astype(np.uint64)
+def feature_rows(history: np.ndarray) -> np.ndarray:
+    """Rows of the weight matrix for histories: bias, previous class, group of the class before it, and both."""
+    c1, g2 = (history // GROUPS).astype(np.uint64), (history % GROUPS).astype(np.uint64)
     out = np.empty((len(c1), 4), np.int64)
-    for k, v in enumerate((np.zeros_like(c1), c1 + np.uint64(1), c2 + np.uint64(1), c1 * np.uint64(1021) + c2 + np.uint64(1))):
+    for k, v in enumerate((np.zeros_like(c1), c1, g2, c1 * np.uint64(GROUPS) + g2)):
         h = (v + np.uint64((k + 1) << 40)) * np.uint64(0x9E3779B97F4A7C15)
-        out[:, k] = (h >> np.uint64(64 - 13)).astype(np.int64)
+        out[:, k] = (h >> np.uint64(64 - 12)).astype(np.int64)
     return out
 
 
@@ -119,63 +122,63 @@ def _id(doc):
 
 
 def history_counts(docs: DataFrame, top: list[bytes]) -> DataFrame:
-    """history, class, n over all training tokens; history is previous class * (CLASSES + 1) + class before it."""
+    """history, counts over all training tokens: how often each class follows, as bytes of CLASSES 64-bit integers.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, held = Classes(top), []
-
-        def out() -> pd.DataFrame:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"history": code // CLASSES, "class": code % CLASSES, "n": n})
+    A task adds up its documents in one array of fixed size; rows of a history meet again in one partition.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes, counts = Classes(top), np.zeros((HISTORIES, CLASSES), np.int64)
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 if not held_out(_id(doc)):
-                    c = np.array([classes.of(w) for w in tokens_of(text)], np.int64)
-                    held.append(_history(c) * CLASSES + c)
-            if sum(map(len, held)) > 4_000_000:
-                yield out()
-                held = []
-        if held:
-            yield out()
+                    tokens = tokens_of(text)
+                    c = np.fromiter(map(classes.__getitem__, tokens), np.int64, len(tokens))
+                    np.add.at(counts.reshape(-1), _history(c) * CLASSES + c, 1)
+        has = np.flatnonzero(counts.any(axis=1))
+        yield pd.DataFrame({"history": has, "counts": [x.tobytes() for x in counts[has]]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for h, x in zip(batch["history"], batch["counts"], strict=True):
+                x = np.frombuffer(x, np.int64)
+                total[h] = total[h] + x if h in total else x
+        if total:
+            yield pd.DataFrame({"history": list(total), "counts": [x.tobytes() for x in total.values()]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "history long, class long, n long").groupBy("history", "class").agg(F.sum("n").alias("n"))
+    each = docs.select("doc_id", "text").mapInPandas(run, "history long, counts binary")
+    return each.repartition("history").mapInPandas(add, "history long, counts binary")
 
 
 def _history(c: np.ndarray) -> np.ndarray:
     c1 = np.concatenate(([START], c[:-1]))
     c2 = np.concatenate(([START], c1[:-1]))
-    return c1 * (CLASSES + 1) + c2
+    return c1 * GROUPS + np.where(c2 == START, GROUPS - 1, c2 % (GROUPS - 1))
 
 
 def train(counts: DataFrame, steps: int = STEPS) -> np.ndarray:
     """The weight matrix, by distributed gradient steps over the table of history counts.
 
-    The table has at most (CLASSES + 1) ** 2 histories however large the corpus is; a few partitions hold it. A step sends
-    the weights out, each partition sums the expected counts of its histories by feature row and class, and the gradient,
-    observed minus expected, moves the weights, each by its own expected count.
+    The table has at most HISTORIES rows however large the corpus is; a few partitions hold it. A step sends the weights
+    out, each partition sums the expected counts of its histories by feature row and class, and the gradient, observed
+    minus expected, moves the weights, each by its own expected count.
     """
     spark = counts.sparkSession
-    parts = persist_table(counts.repartition(6, "history").sortWithinPartitions("history"))
+    parts = persist_table(counts.repartition(PARTS, "history"))
 
     def sums(weights: np.ndarray | None):
         shared = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            got = list(batches)
-            if not got:
-                return
-            got = pd.concat(got, ignore_index=True)
-            at, inverse = np.unique(got["history"].to_numpy(), return_inverse=True)
-            c, n, w = got["class"].to_numpy(), got["n"].to_numpy(np.float64), shared.value
             out = np.zeros((FEATURES, CLASSES))
-            for i in range(0, len(at), 8192):
-                h = at[i : i + 8192]
-                rows, mine = feature_rows(h // (CLASSES + 1), h % (CLASSES + 1)), (inverse >= i) & (inverse < i + 8192)
-                m = np.zeros((len(h), CLASSES))
-                np.add.at(m, (inverse[mine] - i, c[mine]), n[mine])
-                if w is not None:
-                    m = np.exp(log_softmax(w, rows)) * m.sum(axis=1, keepdims=True)
+            for batch in batches:
+                if not len(batch):
+                    continue
+                rows = feature_rows(batch["history"].to_numpy())
+                m = np.frombuffer(b"".join(batch["counts"]), np.int64).reshape(-1, CLASSES).astype(np.float64)
+                if shared.value is not None:
+                    m = np.exp(log_softmax(shared.value, rows)) * m.sum(axis=1, keepdims=True)
                 for k in range(rows.shape[1]):
                     order = np.argsort(rows[:, k], kind="stable")
                     r, first = np.unique(rows[order, k], return_index=True)
@@ -183,22 +186,24 @@ def train(counts: DataFrame, steps: int = STEPS) -> np.ndarray:
             has = np.flatnonzero(out.any(axis=1))
             yield pd.DataFrame({"row": has, "v": [x.tobytes() for x in out[has].astype(np.float32)]})
 
-        total = np.zeros((FEATURES, CLASSES))
-        for row, v in parts.coalesce(6).mapInPandas(run, "row int, v binary").toPandas().itertuples(index=False):
+        total = np.zeros((FEATURES, CLASSES), np.float32)
+        for row, v in parts.coalesce(PARTS).mapInPandas(run, "row int, v binary").toPandas().itertuples(index=False):
             total[row] += np.frombuffer(v, np.float32)
         shared.destroy()
         return total
 
     observed = sums(None)
     weights = np.zeros((FEATURES, CLASSES), np.float32)
-    bias = feature_rows(np.zeros(1, np.int64), np.zeros(1, np.int64))[0, 0]
+    bias = feature_rows(np.zeros(1, np.int64))[0, 0]
     share = observed[bias] + 1
     weights[bias] = np.log(share / share.sum())
     start = weights.copy()
     for _ in range(steps):
         expected = sums(weights)
-        gradient = observed - expected - L2 * (weights - start)
-        weights += np.clip(RATE * gradient / (expected + L2 + 2.0), -1.0, 1.0).astype(np.float32)
+        for at in range(0, FEATURES, 512):
+            k = slice(at, at + 512)
+            gradient = observed[k] - expected[k] - L2 * (weights[k] - start[k])
+            weights[k] += np.clip(RATE * gradient / (expected[k] + L2 + 2.0), -1.0, 1.0).astype(np.float32)
     return weights
 
 
@@ -208,7 +213,7 @@ def class_totals(totals: DataFrame, top: list[bytes]) -> tuple[np.ndarray, np.nd
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = Classes(top)
         for batch in batches:
-            c = np.array([classes.of(w.encode("utf-8", "surrogatepass")) for w in batch["word"]], np.int64)
+            c = np.array([classes[w.encode("utf-8", "surrogatepass")] for w in batch["word"]], np.int64)
             yield pd.DataFrame({"class": np.arange(CLASSES), "n": np.bincount(c, batch["n"], CLASSES).astype(np.int64), "v": np.bincount(c, minlength=CLASSES)})
 
     got = totals.mapInPandas(run, "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
@@ -237,45 +242,49 @@ def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
 
     def run(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         weights, cn, cv, top = shared.value
-        classes = Classes(top)
-        count = dict(zip((w.encode("utf-8", "surrogatepass") for w in known["word"]), known["n"].tolist(), strict=True))
-        seen: dict[bytes, tuple[int, int]] = {}
-        made, at, held = [], [0], []
+        classes, words = Classes(top), [w.encode("utf-8", "surrogatepass") for w in known["word"]]
+
+        class Numbers(dict):
+            """A number for each word; words without a count get one when they are met."""
+
+            def __missing__(self, w: bytes) -> int:
+                k = self[w] = len(self)
+                unseen.append(classes[w])
+                return k
+
+        unseen: list[int] = []
+        number = Numbers(zip(words, range(len(words)), strict=True))
+        word_class = np.fromiter((classes[w] for w in words), np.int32, len(words))
+        word_count = known["n"].to_numpy(np.float64)
+        table = log_softmax(weights, feature_rows(np.arange(HISTORIES))) / np.log(10)
+        in_class = np.log10(cn + SMOOTH * (cv + 1))
         base_of = np.log10(n_all + SMOOTH * (v_all + 1))
+        made, held = [], []
 
         def flush() -> None:
             if not held:
                 return
-            cls, n, hist = (np.concatenate([h[k] for h in held]) for k in range(3))
-            h, inverse = np.unique(hist, return_inverse=True)
-            logp = np.empty(len(cls))
-            order = np.argsort(inverse, kind="stable")
-            cut = np.searchsorted(inverse[order], np.arange(0, len(h) + 4096, 4096))
-            for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                part = h[i * 4096 : (i + 1) * 4096]
-                if len(part):
-                    table = log_softmax(weights, feature_rows(part // (CLASSES + 1), part % (CLASSES + 1)))
-                    o = order[a:b]
-                    logp[o] = table[inverse[o] - i * 4096, cls[o]]
-            share = np.log10(n + SMOOTH) - np.log10(cn + SMOOTH * (cv + 1))[cls]
-            ends = np.cumsum([len(x[0]) for x in held])
+            ids, ends = np.concatenate(held), np.cumsum([len(x) for x in held])
             starts = np.concatenate(([0], ends[:-1]))
-            made.append(np.column_stack([ends - starts, np.add.reduceat((n > 0).astype(np.int64), starts), np.add.reduceat(np.log10(n + SMOOTH) - base_of, starts), np.add.reduceat(logp / np.log(10) + share, starts)]))
+            cls = np.concatenate((word_class, np.array(unseen, np.int32)))[ids]
+            n = np.concatenate((word_count, np.zeros(len(unseen))))[ids]
+            c1 = np.concatenate(([START], cls[:-1]))
+            c1[starts] = START
+            c2 = np.concatenate(([START], c1[:-1]))
+            c2[starts] = START
+            history = c1 * GROUPS + np.where(c2 == START, GROUPS - 1, c2 % (GROUPS - 1))
+            share = np.log10(n + SMOOTH)
+            made.append(np.column_stack([ends - starts, np.add.reduceat((n > 0).astype(np.int64), starts), np.add.reduceat(share - base_of, starts), np.add.reduceat(table[history, cls] + share - in_class[cls], starts)]))
             held.clear()
-            at[0] = 0
 
+        size = 0
         for text in mine["text"]:
-            pairs = []
-            for w in tokens_of(text):
-                p = seen.get(w)
-                if p is None:
-                    p = seen[w] = (classes.of(w), count.get(w, 0))
-                pairs.append(p)
-            both = np.array(pairs, np.int64)
-            held.append((both[:, 0], both[:, 1], _history(both[:, 0])))
-            at[0] += len(pairs)
-            if at[0] > 500_000:
+            tokens = tokens_of(text)
+            held.append(np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens)))
+            size += len(tokens)
+            if size > 500_000:
                 flush()
+                size = 0
         flush()
         got = np.concatenate(made) if made else np.zeros((0, 4))
         out = pd.DataFrame({"doc_id": mine["doc_id"]})
