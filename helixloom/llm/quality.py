@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import prepare
 from .shared import documents
 
-LABELLED, UNLABELLED = 8_000, 4_000
+LABELLED, UNLABELLED = 5_000, 2_500
 BITS = 16
 ROUNDS, STEPS = 3, 150
 #: Log-likelihood ratio from which a feature counts; 15 comes by chance for one feature in ten thousand.
@@ -105,9 +105,9 @@ class Sparse:
 
     def __init__(self, ids: list[np.ndarray], values: list[np.ndarray]) -> None:
         self.n = len(ids)
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in ids])
-        self.id = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-        self.value = np.concatenate(values).astype(np.float64) if values else np.zeros(0)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in ids])
+        self.id = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+        self.value = np.concatenate(values).astype(np.float32) if values else np.zeros(0, np.float32)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.id], self.n)
@@ -130,8 +130,8 @@ def telling(x: Sparse, y: np.ndarray, weight: np.ndarray, size: int, least: floa
     """Marks ids whose presence goes with the class: those with a log-likelihood ratio over least among weighted rows."""
     use = weight > 0
     n1, n0 = float((use & (y == 1)).sum()), float((use & (y == 0)).sum())
-    a = np.bincount(x.id, ((use & (y == 1))[x.row]).astype(float), size)
-    b = np.bincount(x.id, ((use & (y == 0))[x.row]).astype(float), size)
+    a = np.bincount(x.id[(use & (y == 1))[x.row]], minlength=size).astype(float)
+    b = np.bincount(x.id[(use & (y == 0))[x.row]], minlength=size).astype(float)
 
     def part(k: np.ndarray, n: float) -> np.ndarray:
         p, q = (a + b) / (n1 + n0), k / max(n, 1)
@@ -227,8 +227,9 @@ def train_models(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, u
 
     got = sample.mapInPandas(run, "doc_id long, q double, t double, ids array<int>, values array<float>, meta array<int>")
     got = got.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    ids = [np.asarray(x, np.int64) for x in got["ids"]]
-    text, meta = Sparse(ids, [np.asarray(x, np.float64) for x in got["values"]]), Sparse([np.asarray(x, np.int64) for x in got["meta"]], [np.ones(len(x)) for x in got["meta"]])
+    text = Sparse([np.asarray(x) for x in got["ids"]], [np.asarray(x) for x in got["values"]])
+    meta = Sparse([np.asarray(x) for x in got["meta"]], [np.ones(len(x)) for x in got["meta"]])
+    got = got.drop(columns=["ids", "values", "meta"])
     out = {}
     for target, column, bad in (("low", "q", lambda v: v < 0.5), ("toxic", "t", lambda v: v >= 0.5)):
         v = got[column].to_numpy(dtype=float)
