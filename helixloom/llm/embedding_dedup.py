@@ -22,34 +22,43 @@ from .shared import connected_components, deal_groups, map_groups, persist_table
 
 #: Most vectors to fit the rotations on, for each number of dimensions.
 SAMPLE = 20_000
-ROTATIONS, SUB_BITS, MAX_BITS = 4, 16, 64
+TABLES, SUB_BITS, MAX_BITS = 16, 16, 64
 THRESHOLD = 0.98
 BLOCK = 4_000
 CAN_LINK = "coalesce(label is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) <> double('infinity')) and exists(embedding, x -> x <> 0), false)"
 
 
-def fit_itq(x: np.ndarray, bits: int, rotations: int = ROTATIONS, steps: int = 30, seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The mean and, for each rotation, the matrix from centred unit vectors to coordinates whose signs are the code."""
-    mean = x.mean(axis=0)
-    v = x - mean
-    _, axes = np.linalg.eigh(v.T @ v)
-    axes = axes[:, ::-1][:, :bits]
-    v = v @ axes
+def rotations(bits: int) -> int:
+    """Rotations that give TABLES tables of codes of so many bits."""
+    return -(-TABLES // -(-bits // SUB_BITS))
+
+
+def fit_itq(x: np.ndarray, bits: int, steps: int = 30, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each rotation an origin and the matrix from unit vectors less that to coordinates whose signs are the code.
+
+    Every other rotation keeps the origin at zero: where one large cluster pulls the mean into its middle, signs around the
+    mean would tell its own members apart.
+    """
     out = []
-    for k in range(rotations):
+    for k in range(rotations(bits)):
+        mean = x.mean(axis=0) * (k % 2 == 0)
+        v = x - mean
+        _, axes = np.linalg.eigh(v.T @ v)
+        axes = axes[:, ::-1][:, :bits]
+        v = v @ axes
         r = np.linalg.qr(np.random.default_rng(seed + k).normal(size=(bits, bits)))[0]
         for _ in range(steps):
             b = np.where(v @ r >= 0, 1.0, -1.0)
             left, _, right = np.linalg.svd(v.T @ b)
             r = left @ right
-        out.append(axes @ r)
-    return mean, out
+        out.append((mean, axes @ r))
+    return out
 
 
-def codes(x: np.ndarray, mean: np.ndarray, matrices: list[np.ndarray]) -> np.ndarray:
+def codes(x: np.ndarray, models: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The codes of unit vectors, one column of signed longs a rotation."""
     out = []
-    for m in matrices:
+    for mean, m in models:
         bits = ((x - mean) @ m >= 0).astype(np.uint8)
         whole = np.zeros((len(x), 64), np.uint8)
         whole[:, : bits.shape[1]] = bits
@@ -65,7 +74,7 @@ def _unit(batch: pd.Series) -> np.ndarray:
 
 def _tables(bits: int) -> list[tuple[int, int, int]]:
     """rotation, shift and mask of each table."""
-    return [(r, at, (1 << min(SUB_BITS, bits - at)) - 1) for r in range(ROTATIONS) for at in range(0, bits, SUB_BITS)]
+    return [(r, at, (1 << min(SUB_BITS, bits - at)) - 1) for r in range(rotations(bits)) for at in range(0, bits, SUB_BITS)]
 
 
 def _meet(threshold: float):
@@ -142,12 +151,12 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         of = classes.filter(F.col("dim") == dim)
         sample = of.orderBy(F.xxhash64("embedding"), "cid").select("embedding").limit(SAMPLE).toPandas()
         bits = min(dim, MAX_BITS)
-        mean, matrices = fit_itq(_unit(sample["embedding"]), bits)
+        models = fit_itq(_unit(sample["embedding"]), bits)
 
-        def code(batches, mean=mean, matrices=matrices):
+        def code(batches, models=models):
             for batch in batches:
                 if len(batch):
-                    yield pd.DataFrame({"cid": batch["cid"], "codes": list(codes(_unit(batch["embedding"]), mean, matrices))})
+                    yield pd.DataFrame({"cid": batch["cid"], "codes": list(codes(_unit(batch["embedding"]), models))})
 
         made = of.select("cid", "embedding").mapInPandas(code, "cid long, codes array<long>").withColumn("bits", F.lit(bits))
         coded = made if coded is None else coded.unionByName(made)
