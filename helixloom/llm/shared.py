@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -31,13 +32,30 @@ def persist_table(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    if SCOPES:
+        SCOPES[-1].append(out)
     return out
 
 
+#: Lists of the tables written since each scope was opened; see table_scope.
+SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def table_scope() -> Iterator[list[DataFrame]]:
+    """Collects the tables that persist_table writes inside, for a caller that knows when their results have been written."""
+    SCOPES.append([])
+    try:
+        yield SCOPES[-1]
+    finally:
+        SCOPES.pop()
+
+
 def drop_table(df: DataFrame | None) -> None:
     """Removes the files of a table written by persist_table that nothing needs any more."""
     path = getattr(df, "_shared_path", None)
     if path:
+        df._shared_path = None
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

@@ -168,9 +168,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     rows = with_row_id(docs, row)
     fp = persist_table(fingerprints(rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["row", "id"]))
     best = fp.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
-    root = near_groups(best, radius)
-    keep = root.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
-    return rows.join(keep, row, "left_semi").drop(row)
+    root = persist_table(near_groups(best, radius))
+    keep = root.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.row").alias("keep"))
+    # the rows that go are fewer than those that stay, and narrow: where they are few enough they are broadcast, and texts do not move
+    gone = fp.select("fp", "row").join(root.select("fp", "root").join(keep, "root"), "fp").filter("row <> keep").select(F.col("row").alias(row))
+    return rows.join(persist_table(gone), row, "left_anti").drop(row)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

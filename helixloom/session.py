@@ -8,9 +8,17 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
+BATCH, DEFAULT, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets the Python workers of this session import the library from where the driver has it."""
+    """Lets the Python workers of this session import the library from where the driver has it, and bounds their batches.
+
+    Rows here can be long texts, so a batch of Spark's default number of rows could take hundreds of megabytes on both
+    sides of a worker's pipe. A number that was set on purpose stays.
+    """
+    if spark.conf.get(BATCH, DEFAULT) == DEFAULT:
+        spark.conf.set(BATCH, ROWS)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
