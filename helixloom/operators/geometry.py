@@ -93,6 +93,7 @@ def strand_order(nucleotides: DataFrame) -> DataFrame:
     at = at.withColumn("up", before).withColumn("k", F.when(F.col("up") >= 0, 1).otherwise(0))
     most = at.agg(F.max("n")).first()[0] or 1
     for _ in range(max(1, int(most - 1).bit_length())):
+        at = at.persist()  # each round reads the one before twice; its plan must not double
         jump = at.select(ID, F.col("nucleotide_id").alias("up"), F.col("up").alias("_up"), F.col("k").alias("_k"))
         at = at.join(jump, [ID, "up"], "left").withColumn("k", F.col("k") + F.coalesce("_k", F.lit(0))).withColumn("up", F.coalesce("_up", F.lit(-1))).drop("_up", "_k")
     return at.select(ID, "nucleotide_id", "strand_id", "base", "circular", "n", "k")
