@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, names (capitalised inside a sentence) and units after a number turn into typed
-placeholders, all else is lower-cased. Windows of template tokens of documents and benchmark items are joined on their
-hashes. Hits of a document and an item that lie on one diagonal are a passage; its slots are consistent if each value in
-the item stands for one value in the document and back, as in a question with other numbers and names. A document is
+placeholders, all else is lower-cased. A capitalised word that opens a sentence or line, or a word in all capitals, may be
+a name or not: windows that hold one are hashed in both readings, as words and as names, if a plain word is left in them.
+Windows of template tokens of documents and benchmark items are joined on their hashes. Hits of a document and an item that lie on one diagonal are a passage; its slots are consistent if each value in
+the item stands for one value in the document and back, as in a question with other numbers and names. A hit by a second
+reading counts where the first has none, and only if its values stand one for one on the diagonal too. A document is
 contaminated by an item if consistent passages cover the coverage share of the item's windows.
 
 Document windows pass a bit table of fixed size before they leave the scan, set from the benchmark's windows, so what is
@@ -38,9 +40,12 @@ _ENDS = frozenset(".!?\n")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """The template tokens of a text and the surface tokens they stand for; sentence ends separate and are no tokens."""
-    tokens, surface, start, after_number = [], [], True, False
+def template(text: str) -> tuple[list[str], list[str], list[int]]:
+    """The template tokens of a text, the surface tokens they stand for, and the indices of words that may be names.
+
+    Sentence ends separate and are no tokens. Words that may be names are lower-cased words among the template tokens.
+    """
+    tokens, surface, either, start, after_number = [], [], [], True, False
     for t in _TOKEN.findall(text):
         c = t[0]
         if c in _ENDS:
@@ -52,15 +57,18 @@ def template(text: str) -> tuple[list[str], list[str]]:
             low = t.lower()
             if after_number and low in UNITS:
                 kind = UNIT
-            elif not start and c.isupper() and not (len(t) > 1 and t.isupper()):
+            elif not c.isupper():
+                kind = low
+            elif not start and not (len(t) > 1 and t.isupper()):
                 kind = NAME
             else:
                 kind = low
+                either.append(len(tokens))
             after_number = False
         tokens.append(kind)
         surface.append(t if kind is NUMBER else t.lower())
         start = False
-    return tokens, surface
+    return tokens, surface, either
 
 
 class Hashes:
@@ -79,19 +87,45 @@ class Hashes:
             known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 11)
         return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
-    def windows(self, tokens: list[str], size: int) -> np.ndarray:
-        """Hash of each window; a text of fewer tokens is one window, one without tokens has none."""
+    def readings(self, tokens: list[str], either: list[int], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each window, its hash with the tokens at either read as names, and the windows that have that second reading.
+
+        A text of fewer tokens is one window, one without tokens has none.
+        """
         n = len(tokens)
         if not n:
-            return np.zeros(0, np.uint64)
-        h = self.tokens(tokens)
-        width = min(size, n)
-        out = np.full(n - width + 1, width, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(width):
-                out = (out ^ h[k : n - width + 1 + k]) * _P
-                out ^= out >> np.uint64(29)
-        return out
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        h, width = self.tokens(tokens), min(size, n)
+        first = _roll(h, width)
+        if not either:
+            return first, first, np.zeros(0, np.int64)
+        slots = self.tokens([NUMBER, NAME, UNIT])
+        plain = (h != slots[0]) & (h != slots[1]) & (h != slots[2])
+        plain[either] = False
+        may = np.zeros(n, bool)
+        may[either] = True
+        h[either] = slots[1]
+        may, plain = (np.concatenate(([0], np.cumsum(x))) for x in (may, plain))
+        return first, _roll(h, width), np.flatnonzero((may[width:] > may[:-width]) & (plain[width:] > plain[:-width]))
+
+
+def _roll(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each window of so many token hashes."""
+    n = len(h)
+    out = np.full(n - width + 1, width, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            out = (out ^ h[k : n - width + 1 + k]) * _P
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def _named(tokens: list[str], either: list[int]) -> list[str]:
+    """The template tokens with those at either read as names."""
+    out = list(tokens)
+    for k in either:
+        out[k] = NAME
+    return out
 
 
 def _slots(tokens: list[str], surface: list[str], at: int, size: int) -> str:
@@ -99,61 +133,104 @@ def _slots(tokens: list[str], surface: list[str], at: int, size: int) -> str:
 
 
 def benchmark_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """h, item, ipos, total, islots: the windows of columns item and text."""
+    """h, item, ipos, total, islots, second: the windows of columns item and text, in their readings; second marks a second one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
         for batch in batches:
             for item, text in zip(batch["item"], batch["text"], strict=True):
-                tokens, surface = template(text or "")
-                h = hashes.windows(tokens, size).view(np.int64)
-                if len(h):
-                    yield pd.DataFrame({"h": h, "item": item, "ipos": np.arange(len(h)), "total": len(h), "islots": [_slots(tokens, surface, k, size) for k in range(len(h))]})
+                tokens, surface, either = template(text or "")
+                h, named, at = hashes.readings(tokens, either, size)
+                for x, k, words, second in ((h, np.arange(len(h)), tokens, False), (named[at], at, _named(tokens, either), True)):
+                    if len(k):
+                        yield pd.DataFrame({"h": x.view(np.int64), "item": item, "ipos": k, "total": len(h), "islots": [_slots(words, surface, j, size) for j in k.tolist()], "second": second})
 
     prepare(items.sparkSession)
-    return items.mapInPandas(run, "h long, item long, ipos int, total int, islots string")
+    return items.mapInPandas(run, "h long, item long, ipos int, total int, islots string, second boolean")
 
 
 def candidates(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> DataFrame:
-    """h, doc, id, dpos, dslots: windows of columns doc, id and text that may be in bench, and a row with dpos -1 and the id for each document."""
+    """h, doc, id, dpos, dslots, second: windows of columns doc, id and text that may be in bench, and a row with dpos -1 and the id for each document."""
     table = np.zeros(1 << BITS >> 3, np.uint8)
     slots = bench.select(F.col("h").bitwiseAND((1 << BITS) - 1).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()  # at most 2**BITS
     np.bitwise_or.at(table, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    columns = ["h", "doc", "id", "dpos", "dslots", "second"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, bits = Hashes(), np.frombuffer(shared.value, np.uint8)
+
+        def found(texts: list[tuple[int, int]], tokens: list[str], surface: list[str], either: list[int]) -> Iterator[tuple]:
+            """Rows of texts that lie end to end, given as (doc, first token); a window over two texts is none."""
+            h, named, at = hashes.readings(tokens, either, size)
+            starts = np.array([x[1] for x in texts], np.int64)
+            within = np.ones(len(h), bool)
+            if len(texts) > 1:
+                within[np.subtract.outer(starts[1:], np.arange(1, size)).ravel()] = False
+            for x, k, second in ((h, None, False), (named[at], at, True)):
+                low = (x & np.uint64((1 << BITS) - 1)).astype(np.int64)
+                hit = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+                k = hit if k is None else k[hit]
+                x, k = x[hit][within[k]], k[within[k]]
+                if not len(k):
+                    continue
+                names = _named(tokens, either) if second else tokens
+                text = np.searchsorted(starts, k, "right") - 1
+                for v, j, t in zip(x.view(np.int64).tolist(), k.tolist(), text.tolist(), strict=True):
+                    yield v, texts[t][0], None, j - texts[t][1], _slots(names, surface, j, size), second
+
         for batch in batches:
-            yield pd.DataFrame({"h": 0, "doc": batch["doc"], "id": batch["id"], "dpos": -1, "dslots": ""})
-            out = []
+            yield pd.DataFrame({"h": 0, "doc": batch["doc"], "id": batch["id"], "dpos": -1, "dslots": "", "second": False})
+            out, texts, held = [], [], ([], [], [])
             for doc, text in zip(batch["doc"], batch["text"], strict=True):
                 if not text:
                     continue
-                tokens, surface = template(text)
-                h = hashes.windows(tokens, size)
-                low = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
-                for k in np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).tolist():
-                    out.append((int(h[k].view(np.int64)), doc, None, k, _slots(tokens, surface, k, size)))
+                made = template(text)
+                if len(made[0]) < size:
+                    out += found([(doc, 0)], *made)
+                    continue
+                texts.append((doc, len(held[0])))
+                held[2].extend([len(held[0]) + k for k in made[2]])
+                held[0].extend(made[0])
+                held[1].extend(made[1])
+                if len(held[0]) > 20_000:
+                    out += found(texts, *held)
+                    texts, held = [], ([], [], [])
                 if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=["h", "doc", "id", "dpos", "dslots"])
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
+            if texts:
+                out += found(texts, *held)
             if out:
-                yield pd.DataFrame(out, columns=["h", "doc", "id", "dpos", "dslots"])
+                yield pd.DataFrame(out, columns=columns)
 
-    return docs.select("doc", "id", "text").mapInPandas(run, "h long, doc long, id long, dpos int, dslots string")
+    return docs.select("doc", "id", "text").mapInPandas(run, "h long, doc long, id long, dpos int, dslots string, second boolean")
 
 
 def matches(found: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc, item, coverage, changed for the candidates found and the benchmark's windows.
 
-    changed tells whether each window has a slot with another value in the document than in the item.
+    changed tells whether each window has a slot with another value in the document than in the item. Of the hits of two
+    windows in several readings the one of both first readings counts. If values of first readings clash, the diagonal
+    goes; where values of second readings clash, with any on the diagonal, the hits of second readings that hold one go.
     """
-    hits = found.filter("dpos >= 0").join(bench, "h")
-    hits = persist_table(hits.select("doc", "item", "ipos", "total", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "islots", "dslots"))
+    hits = found.filter("dpos >= 0").join(bench.withColumnRenamed("second", "_second"), "h")
+    window = ["doc", "item", "ipos", "total", "diagonal"]
+    hits = hits.select("doc", "item", "ipos", "total", (F.col("dpos") - F.col("ipos")).alias("diagonal"), F.struct((F.col("second") | F.col("_second")).alias("second"), "islots", "dslots").alias("r"))
+    hits = persist_table(hits.groupBy(*window).agg(F.min("r").alias("r")).select(*window, "r.*"))
     line = ["doc", "item", "diagonal"]
-    pairs = hits.filter("islots <> '' or dslots <> ''").select(*line, F.explode(F.arrays_zip(F.split("islots", "\x02").alias("i"), F.split("dslots", "\x02").alias("d"))).alias("p")).select(*line, "p.i", "p.d").distinct()
-    clash = pairs.groupBy(*line, "i").agg(F.count("*").alias("n")).filter("n > 1").select(*line).unionByName(pairs.groupBy(*line, "d").agg(F.count("*").alias("n")).filter("n > 1").select(*line)).distinct()
-    good = hits.join(clash, line, "left_anti").select("doc", "item", "ipos", "total", (F.col("islots") != F.col("dslots")).alias("other")).groupBy("doc", "item", "ipos", "total").agg(F.bool_and("other").alias("other"))
+    each = hits.filter("islots <> '' or dslots <> ''").select(*line, "ipos", "second", F.explode(F.arrays_zip(F.split("islots", "\x02").alias("i"), F.split("dslots", "\x02").alias("d"))).alias("p")).select(*line, "ipos", "second", "p.i", "p.d")
+    pairs = each.groupBy(*line, "i", "d").agg(F.bool_and("second").alias("second"))
+
+    def clashes(pairs: DataFrame, side: str) -> DataFrame:
+        return pairs.groupBy(*line, side).agg(F.count("*").alias("n")).filter("n > 1").select(*line, side)
+
+    first = pairs.filter("not second")
+    clash = clashes(first, "i").select(*line).unionByName(clashes(first, "d").select(*line)).distinct()
+    again = each.filter("second")
+    loose = again.join(clashes(pairs, "i"), [*line, "i"], "left_semi").select(*line, "ipos").unionByName(again.join(clashes(pairs, "d"), [*line, "d"], "left_semi").select(*line, "ipos")).distinct()
+    good = hits.join(clash, line, "left_anti").join(loose.withColumn("second", F.lit(True)), [*line, "ipos", "second"], "left_anti")
+    good = good.select("doc", "item", "ipos", "total", (F.col("islots") != F.col("dslots")).alias("other")).groupBy("doc", "item", "ipos", "total").agg(F.bool_and("other").alias("other"))
     per = good.groupBy("doc", "item", "total").agg(F.count("*").alias("n"), F.bool_or("other").alias("changed"))
     return per.filter(F.col("n") >= F.ceil(F.lit(coverage) * F.col("total"))).select("doc", "item", (F.col("n") / F.col("total")).alias("coverage"), "changed")
 

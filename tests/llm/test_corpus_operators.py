@@ -223,3 +223,22 @@ def test_pipeline(spark, tmp_path):
     got = pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in got) == [*range(60), 102]
     assert [name for name, _ in pipeline.STAGES][0] == "quality classifier" and pipeline.ORACLE_SQL is None
+
+
+ASKED = "Tom has 12 apples in a basket. Tom buys 7 more apples at the shop. Mary takes 3 apples from the basket. How many apples are left for Tom?"
+
+
+@pytest.mark.parametrize(
+    ("text", "bad"),
+    [
+        ("Bob has 25 apples in a basket. Bob buys 9 more apples at the shop. Jane takes 4 apples from the basket. How many apples are left for Bob?", True),
+        ("Well. BOB has 25 apples in a basket. BOB buys 9 more apples at the shop. JANE takes 4 apples from the basket. How many apples are left for BOB?", True),
+        ("Some has 12 apples in a basket. Bob buys 7 more apples at the shop. Jane takes 3 apples from the basket. Now many apples are left for Pat?", False),
+        ("TOM SELLS 12 PEARS ON THE MARKET. ANN SELLS 7 MORE PEARS ON THE MARKET. HOW MANY PEARS ARE SOLD BY ANN?", False),
+        ("All of it. " * 3000 + ASKED, True),
+    ],
+)
+def test_decontamination_reads_openings_and_capitals_as_names(spark, text, bad):
+    bench = spark.createDataFrame([(1, ASKED)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "a b"), (2, text), (3, "nothing of the kind is in this text")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.contaminated for r in decontaminate.flag_documents(df, bench).collect()} == {1: False, 2: bad, 3: False}
