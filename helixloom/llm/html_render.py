@@ -49,8 +49,9 @@ IMPLIED = {
 #: End tags do not reach beyond these.
 WALLS = frozenset("table td th caption template html button object marquee applet".split())
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|</?([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<(?![a-zA-Z!?/])", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# In a tag a quote delimits only straight after the = of an attribute; one that is never closed delimits nothing.
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|</?([a-zA-Z][^\s/>]*)((?>[\s/]+|=?[^\s/>=]+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)?|=)*+)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<(?![a-zA-Z!?/])", re.S)
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 

@@ -87,3 +87,20 @@ def test_render_table(spark):
     df = spark.createDataFrame([(1, "<p>a"), (2, None)], "page_id long, html string")
     assert [r.text for r in html_render.extract_text(df).orderBy("page_id").collect()] == ["a", None]
     assert html_render.extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>one</p><a title=Bob's href=x>two</a><p>three</p>", "one\n\ntwo\n\nthree"),
+        ("<p>one</p><a title=Bob's href=x>two</a><p>don't</p>", "one\n\ntwo\n\ndon't"),
+        ("<p>one<img alt=\"5\"\">two</p>", "one5two"),
+        ("<p>one <a title=\"open>two</a></p><p>three", "one two\n\nthree"),
+        ("a<b class=x\"y title = 'p>q' data-x=\"r>s\"/>c</b>d", "acd"),
+        ("<p title=a\"b hidden>no</p>yes<p x=1'2 style=\"display:none\">no</p>", "yes"),
+        ("<b " + "a='" * 3000 + ">deep", "deep"),
+        ("x <b ==\"a>y</b>", "x y"),
+    ],
+)
+def test_stray_quotes_do_not_swallow_text(html, text):
+    assert html_render.render(html) == text
