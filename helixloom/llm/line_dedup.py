@@ -32,7 +32,10 @@ def line_table(docs: DataFrame, row: str, id_col: str, text_col: str) -> DataFra
     """
     lines = docs.select(F.col(row).alias("_row"), F.col(id_col).alias("_id"), F.split(text_col, "\n").alias("_all"))
     lines = lines.select("_row", "_id", F.size("_all").alias("_n"), F.posexplode("_all").alias("line", "s")).filter(F.col("s").rlike(r"\S"))
-    words = F.size(F.array_remove(F.split("s", " "), ""))
+    spaced = F.col("s")
+    for c in "\t\r\x0b\f":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    words = F.size(F.array_remove(F.split(spaced, " "), ""))
     narrow = lines.select("_row", "_id", "_n", "line", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), words.alias("words"))
     narrow = persist_table(narrow)
     w = Window.partitionBy("_id", "_row").orderBy("line")
@@ -137,7 +140,7 @@ def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame |
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without later copies of repeated runs of ``min_words`` words or more.
 
-    Lines are what newlines separate, compared exactly; words are what blanks separate. Blank lines belong to no run; they go with the line before them.
+    Lines are what newlines separate, compared exactly; words are what ASCII whitespace separates. Blank lines belong to no run; they go with the line before them.
     Adds n_lines and n_deleted (long). A null text stays null, with no lines; an empty text stays empty. Equal rows and
     repeated ids are documents of their own; the earlier copy is the one with the smaller id, row in the table and
     line, null ids first. An empty table gives an empty table. Other columns pass through; n_lines and n_deleted of the

@@ -242,3 +242,11 @@ def test_decontamination_reads_openings_and_capitals_as_names(spark, text, bad):
     bench = spark.createDataFrame([(1, ASKED)], "item_id long, text string")
     df = spark.createDataFrame([(1, "a b"), (2, text), (3, "nothing of the kind is in this text")], "doc_id long, text string").coalesce(1)
     assert {r.doc_id: r.contaminated for r in decontaminate.flag_documents(df, bench).collect()} == {1: False, 2: bad, 3: False}
+
+
+@pytest.mark.parametrize("gap", ["\t", "\r", "\x0b", "\f", " \t  "])
+def test_line_dedup_counts_words_between_any_whitespace(spark, gap):
+    table = "\n".join(gap.join(f"r{i}c{j}" for j in range(10)) for i in range(6))
+    df = spark.createDataFrame([(1, f"first\n{table}"), (2, f"second\n{table}\nend")], DOCS)
+    assert sorted((r.doc_id, r.n_deleted) for r in line_dedup.dedup_lines(df).collect()) == [(1, 0), (2, 6)]
+    assert sorted(r.n_deleted for r in line_dedup.dedup_lines(df, min_words=61).collect()) == [0, 0]
