@@ -2,12 +2,15 @@
 
 A document has two views: its text, as hashed words and the shapes of odd ones, and its page metadata: language, source,
 size and layout. Two logistic models, one a view, learn from a sample of labelled documents; over some rounds each marks
-the unlabelled sample documents of which it is surest, and the other learns from those too. Each view's scores are then
+the documents of which it is surest among all unlabelled ones, and the other learns from those too. Each view's scores are then
 calibrated on labelled documents held back from training, and the calibrated log-odds are added with weights that are
 fitted there as well. Two targets share the views: low quality and toxic; a document is kept if neither is likely.
 
-The sample has at most LABELLED labelled and UNLABELLED other documents, those of the smallest hash of their id; that
-bounds what comes to the driver. All documents are scored.
+At most LABELLED labelled documents, those of the smallest hash of their id, come to the driver. Unlabelled documents stay
+in a table of their features. In a round a first pass scores all of them and brings back counts of scores in steps, which
+give the cuts; a second pass finds the documents beyond the cuts, of this round and those before, and deals them out by
+FIT_ROWS. Each part fits the models on the labelled sample and its own documents, and the models' mean, by documents, is
+the round's model. So every marked document teaches, and no task holds more than a part.
 """
 
 from __future__ import annotations
@@ -23,16 +26,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from .shared import documents
+from .shared import documents, drop_table, persist_table
 
-LABELLED, UNLABELLED = 5_000, 2_500
+LABELLED = 5_000
+#: Marked documents of a part, about.
+FIT_ROWS = 10_000
+#: Scores are counted in steps of this width, and equal ones are spread over TIES steps by a hash of the row.
+STEP, TIES = 0.0005, 20
 BITS = 16
 ROUNDS, STEPS = 3, 150
 #: Log-likelihood ratio from which a feature counts; 15 comes by chance for one feature in ten thousand.
 LEAST_G = 15.0
-TARGETS = ("low", "toxic")
+TARGETS, VIEWS = ("low", "toxic"), ("text", "meta")
 _ODD = re.compile(r"[^\w\s]+$|^[^\w\s]+")
 _META = 2048
+_SIZES = {"text": 1 << BITS, "meta": _META}
 
 
 class Features:
@@ -168,75 +176,210 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return v / np.append(scale, 1)
 
 
-def co_train(text: Sparse, meta: Sparse, y: np.ndarray, known: np.ndarray, train: np.ndarray, rounds: int = ROUNDS) -> dict:
-    """Models of both views and their calibration for one 0/1 target.
+def together(a: Sparse, b: Sparse) -> Sparse:
+    """The rows of a and then those of b."""
+    out = Sparse([], [])
+    out.n, out.row = a.n + b.n, np.concatenate([a.row, b.row + np.int32(a.n)])
+    out.id, out.value = np.concatenate([a.id, b.id]), np.concatenate([a.value, b.value])
+    return out
+
+
+def packed(ids: pd.Series, values: pd.Series | None) -> Sparse:
+    """Rows whose ids, as 16-bit integers, and values, as 32-bit floats or all 1, are bytes."""
+    out = Sparse([], [])
+    out.n = len(ids)
+    out.row = np.repeat(np.arange(out.n, dtype=np.int32), [len(x) // 2 for x in ids])
+    out.id = np.frombuffer(b"".join(ids), np.uint16).astype(np.int32)
+    out.value = np.ones(len(out.id), np.float32) if values is None else np.frombuffer(b"".join(values), np.float32)
+    return out
+
+
+def views_of(batch: pd.DataFrame) -> dict[str, Sparse]:
+    return {"text": packed(batch["ids"], batch["values"]), "meta": packed(batch["meta"], None)}
+
+
+class Labelled:
+    """The labelled sample: both views, and for a target the classes, which rows train, their weights, the share of class 1."""
+
+    def __init__(self, views: dict[str, Sparse], truth: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.views, self.y, self.train, self.weight, self.share = views, {}, {}, {}, {}
+        for t, (y, train) in truth.items():
+            share = float(y[train].mean()) if train.any() else 0.0
+            self.y[t], self.train[t], self.share[t] = y, train, share
+            if 0 < share < 1:
+                # rare classes weigh more, up to a point
+                base = np.where(y == 1, min(4.0, (1 - share) / share), min(4.0, share / (1 - share))).clip(1.0)
+                self.weight[t] = np.where(train, base, 0.0)
+
+    def fit(self, views: dict[str, Sparse] | None = None, given: dict[tuple, np.ndarray] | None = None) -> dict[tuple, np.ndarray]:
+        """A model for each target and view, on the sample and, if any, the rows of views that given marks 0 or 1."""
+        out = {}
+        for t in self.weight:
+            for v in VIEWS:
+                x, y, weight = self.views[v], self.y[t], self.weight[t]
+                if given is not None:
+                    g = given[t, v]
+                    x, y = together(x, views[v]), np.concatenate([y, np.nan_to_num(g)])
+                    weight = np.concatenate([weight, np.where(np.isnan(g), 0.0, 0.5)])
+                out[t, v] = fit(x, y, weight, _SIZES[v], 1e-6 if v == "text" else 1e-4)
+        return out
+
+
+def _steps(x: Sparse, model: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Log-odds of rows in steps, equal ones spread by tie."""
+    z = np.clip(x.dot(model[:-1]) + model[-1], -35, 35)
+    return np.floor(z / STEP).astype(np.int64) + tie % TIES
+
 
-    known marks labelled rows, train those of them to learn from; the other known rows calibrate. A round gives each view
-    the unlabelled rows on which the other is surest, a twentieth of them a class at most, in the classes' proportion.
+def marked(views: dict[str, Sparse], tie: np.ndarray, rounds: list[tuple[dict, dict]]) -> dict[tuple, np.ndarray]:
+    """For each target and view the class that the other view gave a row in one of the rounds, nan for none."""
+    given = {k: np.full(len(tie), np.nan) for k in rounds[0][0]} if rounds else {}
+    for models, cuts in rounds:
+        for (t, v), model in models.items():
+            at, g, (lo, hi) = _steps(views[v], model, tie), given[t, VIEWS[v == "text"]], cuts[t, v]
+            free = np.isnan(g)
+            g[free & (at >= hi)] = 1.0
+            g[free & (at <= lo)] = 0.0
+    return given
+
+
+def cuts_of(counts: pd.DataFrame, labelled: Labelled) -> dict[tuple, tuple[int, int]]:
+    """The highest step of class 0 and the lowest of class 1 for each target and view.
+
+    Of the rows that the other view can still be given, a twentieth at most is marked, in the classes' proportion, and only
+    those with a probability over 0.9 of their class. counts: target, view, step, n; step is null for rows of neither side.
     """
-    sizes = {"text": 1 << BITS, "meta": _META}
-    views = {"text": text, "meta": meta}
-    share = float(y[train].mean()) if train.any() else 0.0
-    if not 0 < share < 1:
-        return {"constant": share}
-    # rare classes weigh more, up to a point
-    base = np.where(y == 1, min(4.0, (1 - share) / share), min(4.0, share / (1 - share))).clip(1.0)
-    given = {v: (y.astype(float).copy(), np.where(train, base, 0.0)) for v in views}
-    models = {}
-    for k in range(rounds + 1):
-        for v, x in views.items():
-            models[v] = fit(x, given[v][0], given[v][1], sizes[v], 1e-6 if v == "text" else 1e-4)
-        if k == rounds:
+    out = {}
+    for t in labelled.weight:
+        for v in VIEWS:
+            c = counts[(counts["target"] == t) & (counts["view"] == v)]
+            most, share = max(1, int(c["n"].sum()) // 20), labelled.share[t]
+            c = c.dropna().sort_values("step")
+            at, n = c["step"].to_numpy(np.int64), c["n"].to_numpy(np.int64)
+
+            def cut(at: np.ndarray, n: np.ndarray, k: int, none: int) -> int:
+                """The last step up to which there are at most k rows, or the first that has any."""
+                return int(at[max(0, np.searchsorted(np.cumsum(n), k, "right") - 1)]) if len(at) else none
+
+            hi, lo = at > 0, at < 0
+            out[t, v] = cut(at[lo], n[lo], max(1, int(most * (1 - share))), -(1 << 40)), cut(at[hi][::-1], n[hi][::-1], max(1, int(most * share)), 1 << 40)
+    return out
+
+
+def _count(rest: DataFrame, models: dict, rounds: list) -> pd.DataFrame:
+    """How many free unlabelled rows have each step of log-odds: target, view, step, n."""
+    shared, sure = rest.sparkSession.sparkContext.broadcast((models, rounds)), math.log(9)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models, rounds = shared.value
+        for batch in batches:
+            views, tie = views_of(batch), batch["tie"].to_numpy()
+            given = marked(views, tie, rounds)
+            for (t, v), model in models.items():
+                at = _steps(views[v], model, tie)
+                if given:
+                    at = at[np.isnan(given[t, VIEWS[v == "text"]])]
+                step, n = np.unique(np.where((at > sure / STEP) | (at < -sure / STEP), at, 0), return_counts=True)
+                yield pd.DataFrame({"target": t, "view": v, "step": pd.array(np.where(step == 0, None, step), "Int64"), "n": n})
+
+    return rest.mapInPandas(run, "target string, view string, step long, n long").groupBy("target", "view", "step").agg(F.sum("n").alias("n")).toPandas()
+
+
+def _fit_marked(rest: DataFrame, labelled: Labelled, rounds: list) -> dict[tuple, np.ndarray] | None:
+    """Models on the labelled sample and all marked unlabelled rows, a mean over parts; None if no row is marked."""
+    context = rest.sparkSession.sparkContext
+    shared, sample = context.broadcast(rounds), context.broadcast(labelled)
+
+    def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            given = marked(views_of(batch), batch["tie"].to_numpy(), shared.value)
+            keep = np.any([~np.isnan(g) for g in given.values()], axis=0)
+            if keep.any():
+                yield batch[keep]
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True)
+        held.clear()
+        views = views_of(rows)
+        for (t, v), w in sample.value.fit(views, marked(views, rows["tie"].to_numpy(), shared.value)).items():
+            at = np.append(np.flatnonzero(w), len(w))
+            yield pd.DataFrame({"target": t, "view": v, "at": at, "w": np.append(w[at[:-1]], 1.0) * len(rows)})
+
+    chosen = persist_table(rest.mapInPandas(select, rest.schema))
+    n = chosen.count()
+    if not n:
+        return None
+    parts = chosen.repartition(-(-n // FIT_ROWS)).mapInPandas(learn, "target string, view string, at int, w double")
+    got = parts.groupBy("target", "view", "at").agg(F.sum("w").alias("w")).toPandas()  # at most the weights of the models
+    drop_table(chosen)
+    out = {}
+    for (t, v), c in got.groupby(["target", "view"]):
+        w = np.zeros(_SIZES[v] + 2)
+        w[c["at"]] = c["w"] / n
+        out[t, v] = w[:-1]
+    return out
+
+
+def co_train(labelled: Labelled, rest: DataFrame, rounds: int = ROUNDS) -> dict[tuple, np.ndarray]:
+    """Models of both views for each target that has both classes.
+
+    A round gives each view the unlabelled rows on which the other is surest, among all of rest.
+    """
+    models, done = labelled.fit(), []
+    for _ in range(rounds if models else 0):
+        done.append((models, cuts_of(_count(rest, models, done), labelled)))
+        again = _fit_marked(rest, labelled, done)
+        if again is None:
             break
-        for v, other in (("text", "meta"), ("meta", "text")):
-            z = views[v].dot(models[v][:-1]) + models[v][-1]
-            free = np.flatnonzero(~known & (given[other][1] == 0))
-            if not len(free):
-                continue
-            order = free[np.argsort(z[free], kind="stable")]
-            most = max(1, len(order) // 20)
-            hi = order[::-1][: max(1, int(most * share))]
-            lo = order[: max(1, int(most * (1 - share)))]
-            hi, lo = hi[sigmoid(z[hi]) > 0.9], lo[sigmoid(z[lo]) < 0.1]
-            target, weight = given[other]
-            target[hi], target[lo] = 1.0, 0.0
-            weight[hi] = weight[lo] = 0.5
-    z = np.column_stack([views[v].dot(models[v][:-1]) + models[v][-1] for v in views])
-    held = known & ~train
-    return {"text": models["text"], "meta": models["meta"], "mix": calibrate(z[held], y[held])}
-
-
-def train_models(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> dict[str, dict]:
+        models = again
+    return models
+
+
+def train_models(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[str, dict]:
     """A model a target from documents (doc_id, text, lang, source) and labels (doc_id, quality, toxic).
 
     Several labels of a document are averaged. Without labels, or with one class only, the model is a constant.
     """
     prepare(docs.sparkSession)
     truth = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
-    first = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rest = docs.select("doc_id").filter("doc_id is not null").join(truth, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
-    # both are bounded by the sample sizes
-    wanted = first.unionByName(rest.select("doc_id", F.lit(None).cast("double").alias("q"), F.lit(None).cast("double").alias("t")))
-    sample = docs.filter("doc_id is not null").join(F.broadcast(wanted), "doc_id")
+    first = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)  # bounded by the sample size
+    sample = docs.filter("doc_id is not null").join(F.broadcast(first), "doc_id")
+    none = F.lit(None).cast("double")
+    rest = docs.join(truth.select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns, none.alias("q"), none.alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
         for batch in batches:
             made = list(rows_of(batch, features))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "q": batch["q"], "t": batch["t"], "ids": [m[0] for m in made], "values": [m[1] for m in made], "meta": [m[2] for m in made]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "tie": batch["tie"], "q": batch["q"], "t": batch["t"], "ids": [m[0].astype(np.uint16).tobytes() for m in made], "values": [m[1].tobytes() for m in made], "meta": [np.array(m[2], np.uint16).tobytes() for m in made]})
 
-    got = sample.mapInPandas(run, "doc_id long, q double, t double, ids array<int>, values array<float>, meta array<int>")
-    got = got.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    text = Sparse([np.asarray(x) for x in got["ids"]], [np.asarray(x) for x in got["values"]])
-    meta = Sparse([np.asarray(x) for x in got["meta"]], [np.ones(len(x)) for x in got["meta"]])
-    got = got.drop(columns=["ids", "values", "meta"])
-    out = {}
+    schema = "doc_id long, tie long, q double, t double, ids binary, values binary, meta binary"
+    tie = F.xxhash64("doc_id", "text").alias("tie")
+    got = sample.select("*", tie).mapInPandas(run, schema).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    views, learns = views_of(got), np.array([zlib.crc32(str(d).encode()) % 4 != 0 for d in got["doc_id"]], bool)
+    truths, known = {}, {}
     for target, column, bad in (("low", "q", lambda v: v < 0.5), ("toxic", "t", lambda v: v >= 0.5)):
         v = got[column].to_numpy(dtype=float)
-        known = ~np.isnan(v)
-        y = np.where(known, bad(np.where(known, v, 0)), False).astype(float)
-        train = known & np.array([zlib.crc32(str(d).encode()) % 4 != 0 for d in got["doc_id"]], bool)
-        out[target] = co_train(text, meta, y, known, train)
+        known[target] = ~np.isnan(v)
+        truths[target] = np.where(known[target], bad(np.where(known[target], v, 0)), False).astype(float), known[target] & learns
+    del got
+    both = Labelled(views, truths)
+    models = {}
+    if both.weight:
+        table = persist_table(rest.select("*", tie).mapInPandas(run, schema).select("tie", "ids", "values", "meta"))
+        models = co_train(both, table)
+        drop_table(table)
+    out = {}
+    for target in TARGETS:
+        if target not in both.weight:
+            out[target] = {"constant": both.share[target]}
+            continue
+        text, meta = (models[target, v] for v in VIEWS)
+        z, held = np.column_stack([views[v].dot(m[:-1]) + m[-1] for v, m in (("text", text), ("meta", meta))]), known[target] & ~both.train[target]
+        out[target] = {"text": text, "meta": meta, "mix": calibrate(z[held], both.y[target][held])}
     return out
 
 

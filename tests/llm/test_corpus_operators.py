@@ -250,3 +250,20 @@ def test_line_dedup_counts_words_between_any_whitespace(spark, gap):
     df = spark.createDataFrame([(1, f"first\n{table}"), (2, f"second\n{table}\nend")], DOCS)
     assert sorted((r.doc_id, r.n_deleted) for r in line_dedup.dedup_lines(df).collect()) == [(1, 0), (2, 6)]
     assert sorted(r.n_deleted for r in line_dedup.dedup_lines(df, min_words=61).collect()) == [0, 0]
+
+
+def test_quality_takes_pseudo_labels_from_all_unlabelled_rows(spark, monkeypatch):
+    """All unlabelled documents can be marked in each round, until they are."""
+    schema = "doc_id long, text string, lang string, source string"
+    known = [(k, "vile hate spam" if k % 2 else "calm kind prose", "en", "bad.example" if k % 2 else "good.example") for k in range(200)]
+    rest = [(1000 + k, f"vile hate spam rare{k % 7}" if k % 2 else f"calm kind prose plain{k % 7}", "en", "bad.example" if k % 2 else "good.example") for k in range(6000)]
+    labels = spark.createDataFrame([(k, 1 - k % 2, k % 2) for k in range(200)], "doc_id long, quality int, toxic int")
+    seen, count = [], quality._count
+    monkeypatch.setattr(quality, "FIT_ROWS", 150)
+    monkeypatch.setattr(quality, "_count", lambda *a: seen.append(count(*a)) or seen[-1])
+    models = quality.train_models(spark.createDataFrame(known + rest, schema), labels)
+    first = seen[0]
+    assert set(first.groupby(["target", "view"])["n"].sum()) == {6000}
+    assert len(seen) == quality.ROUNDS and seen[1]["n"].sum() < first["n"].sum()
+    scored = quality.score_documents(spark.createDataFrame(rest, schema), models).collect()
+    assert all(r.kept == (r.doc_id % 2 == 0) for r in scored)
