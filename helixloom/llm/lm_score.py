@@ -2,11 +2,11 @@
 
 A token's probability is that of its class given the two tokens before, times that of the token in its class. Frequent
 words are classes of their own; the others go to classes by a hash of their last letters, which also places words that
-training never saw. The class model is a softmax over hashed features of the history: the previous class, the class
-before it (a skip feature), both in order (a trigram feature) and a bias. It is trained on every training token: tokens
-with equal history are the same for the model, so counts of (history, class) are gathered once over the whole corpus and
-each gradient step runs over them in parallel, in partitions whose sums come back as one matrix of fixed size. Within a
-class, smoothed counts give the token's share, with one share for unseen words, so probabilities add to one.
+training never saw. The class model is a softmax over features of the history: the previous class, the class before it (a
+skip feature), both in order (a trigram feature) and a bias. Each has weights of its own. It is trained on every training
+token: tokens with equal history are the same for the model, so counts of (history, class) are gathered once over the
+whole corpus and each gradient step runs over them in parallel. The weights of a trigram feature stay in the table with
+the counts of its history and move there; the sums for the others come back as one matrix of fixed size. Within a class, smoothed counts give the token's share, with one share for unseen words, so probabilities add to one.
 
 Counts of all words come from the whole corpus. Documents stay in blocks; each block sends its distinct words with their
 counts, and gets back the totals of those words only, so no task and no driver holds the vocabulary.
@@ -25,23 +25,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from .shared import documents, persist_table
+from .shared import documents, drop_table, persist_table
 
 #: Classes: one for the end, TOP for the most frequent words, the rest for hashed endings.
 CLASSES, TOP = 256, 120
-#: Rows of the weight matrix, feature rows are hashed into it.
-FEATURES = 1 << 12
+#: Rows of the matrix of shared weights: bias, previous class and class before it, each of the two also "before the text".
+FEATURES = 1 + 2 * (CLASSES + 1)
 STEPS, RATE, L2 = 16, 0.4, 3.0
 SMOOTH = 0.1
 #: Partitions of the table of histories, and so of matrices that a step brings to the driver.
-PARTS = 3
+PARTS = 6
 #: Documents of a block share a look-up of words.
 BLOCK_DOCS = 5_000
 END = b""
 START = CLASSES  # stands for "before the text" in a history
-#: Of the class before the previous one a history keeps its group only; the last group is "before the text".
-GROUPS = 33
-HISTORIES = (CLASSES + 1) * GROUPS
+HISTORIES = (CLASSES + 1) ** 2
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -71,19 +69,19 @@ class Classes(dict):
 
 
 def feature_rows(history: np.ndarray) -> np.ndarray:
-    """Rows of the weight matrix for histories: bias, previous class, group of the class before it, and both."""
-    c1, g2 = (history // GROUPS).astype(np.uint64), (history % GROUPS).astype(np.uint64)
-    out = np.empty((len(c1), 4), np.int64)
-    for k, v in enumerate((np.zeros_like(c1), c1, g2, c1 * np.uint64(GROUPS) + g2)):
-        h = (v + np.uint64((k + 1) << 40)) * np.uint64(0x9E3779B97F4A7C15)
-        out[:, k] = (h >> np.uint64(64 - 12)).astype(np.int64)
-    return out
+    """Rows of the shared weights for histories: bias, previous class, class before it."""
+    return np.column_stack([np.zeros_like(history), 1 + history // (CLASSES + 1), 2 + CLASSES + history % (CLASSES + 1)])
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + weights[rows[:, 3]]
+def log_softmax(weights: np.ndarray, rows: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Log-probabilities of the classes; own are the weights of the trigram feature of each row, 0 if not given."""
+    z = weights[rows[:, 0]] + weights[rows[:, 1]]
+    z += weights[rows[:, 2]]
+    if own is not None:
+        z += own
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -128,7 +126,7 @@ def history_counts(docs: DataFrame, top: list[bytes]) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, counts = Classes(top), np.zeros((HISTORIES, CLASSES), np.int64)
+        classes, counts = Classes(top), np.zeros((HISTORIES, CLASSES), np.int32)  # of one task
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 if not held_out(_id(doc)):
@@ -136,7 +134,9 @@ def history_counts(docs: DataFrame, top: list[bytes]) -> DataFrame:
                     c = np.fromiter(map(classes.__getitem__, tokens), np.int64, len(tokens))
                     np.add.at(counts.reshape(-1), _history(c) * CLASSES + c, 1)
         has = np.flatnonzero(counts.any(axis=1))
-        yield pd.DataFrame({"history": has, "counts": [x.tobytes() for x in counts[has]]})
+        for k in range(0, len(has), 2000):
+            h = has[k : k + 2000]
+            yield pd.DataFrame({"history": h, "counts": [x.astype(np.int64).tobytes() for x in counts[h]]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -144,8 +144,10 @@ def history_counts(docs: DataFrame, top: list[bytes]) -> DataFrame:
             for h, x in zip(batch["history"], batch["counts"], strict=True):
                 x = np.frombuffer(x, np.int64)
                 total[h] = total[h] + x if h in total else x
-        if total:
-            yield pd.DataFrame({"history": list(total), "counts": [x.tobytes() for x in total.values()]})
+        has = list(total)
+        for k in range(0, len(has), 2000):
+            h = has[k : k + 2000]
+            yield pd.DataFrame({"history": h, "counts": [total[x].tobytes() for x in h]})
 
     each = docs.select("doc_id", "text").mapInPandas(run, "history long, counts binary")
     return each.repartition("history").mapInPandas(add, "history long, counts binary")
@@ -154,57 +156,82 @@ def history_counts(docs: DataFrame, top: list[bytes]) -> DataFrame:
 def _history(c: np.ndarray) -> np.ndarray:
     c1 = np.concatenate(([START], c[:-1]))
     c2 = np.concatenate(([START], c1[:-1]))
-    return c1 * GROUPS + np.where(c2 == START, GROUPS - 1, c2 % (GROUPS - 1))
+    return c1 * (CLASSES + 1) + c2
 
 
-def train(counts: DataFrame, steps: int = STEPS) -> np.ndarray:
-    """The weight matrix, by distributed gradient steps over the table of history counts.
+def _moved(weights: np.ndarray, start: np.ndarray | float, observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Weights after a step along observed minus expected counts, each by its own expected count."""
+    gradient = observed - expected - L2 * (weights - start)
+    return weights + np.clip(RATE * gradient / (expected + L2 + 2.0), -1.0, 1.0).astype(np.float32)
 
-    The table has at most HISTORIES rows however large the corpus is; a few partitions hold it. A step sends the weights
-    out, each partition sums the expected counts of its histories by feature row and class, and the gradient, observed
-    minus expected, moves the weights, each by its own expected count.
+
+def train(counts: DataFrame, steps: int = STEPS) -> tuple[np.ndarray, DataFrame]:
+    """The shared weights, and a table of history and own, the weights of its trigram feature as bytes, by distributed gradient steps.
+
+    A step sends the shared weights out; each task sums the expected counts of its histories by feature row and class, and
+    the shared weights move on the driver. With the weights from before the step each history's own ones move in place,
+    as the table is written anew with the next step.
     """
     spark = counts.sparkSession
-    parts = persist_table(counts.repartition(PARTS, "history"))
+    table = persist_table(counts.repartition(PARTS, "history").withColumn("own", F.lit(None).cast("binary")))
+    weights, start = np.zeros((FEATURES, CLASSES), np.float32), None
+
+    def own_of(batch: pd.DataFrame) -> np.ndarray:
+        own = np.zeros((len(batch), CLASSES), np.float32)
+        for k, x in enumerate(batch["own"]):
+            if x is not None:
+                own[k] = np.frombuffer(x, np.float32)
+        return own
 
-    def sums(weights: np.ndarray | None):
+    def tables(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return feature_rows(batch["history"].to_numpy()), np.frombuffer(b"".join(batch["counts"]), np.int64).reshape(-1, CLASSES).astype(np.float32)
+
+    def sums(weights: np.ndarray | None) -> np.ndarray:
         shared = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = np.zeros((FEATURES, CLASSES))
             for batch in batches:
-                if not len(batch):
-                    continue
-                rows = feature_rows(batch["history"].to_numpy())
-                m = np.frombuffer(b"".join(batch["counts"]), np.int64).reshape(-1, CLASSES).astype(np.float64)
-                if shared.value is not None:
-                    m = np.exp(log_softmax(shared.value, rows)) * m.sum(axis=1, keepdims=True)
-                for k in range(rows.shape[1]):
-                    order = np.argsort(rows[:, k], kind="stable")
-                    r, first = np.unique(rows[order, k], return_index=True)
-                    out[r] += np.add.reduceat(m[order], first, axis=0)
+                if len(batch):
+                    rows, m = tables(batch)
+                    if shared.value is not None:
+                        m = np.exp(log_softmax(shared.value, rows, own_of(batch))) * m.sum(axis=1, keepdims=True)
+                    for k in range(rows.shape[1]):
+                        order = np.argsort(rows[:, k], kind="stable")
+                        r, first = np.unique(rows[order, k], return_index=True)
+                        out[r] += np.add.reduceat(m[order], first, axis=0)
             has = np.flatnonzero(out.any(axis=1))
-            yield pd.DataFrame({"row": has, "v": [x.tobytes() for x in out[has].astype(np.float32)]})
+            yield pd.DataFrame({"row": has, "v": [x.tobytes() for x in out[has]]})
 
-        total = np.zeros((FEATURES, CLASSES), np.float32)
-        for row, v in parts.coalesce(PARTS).mapInPandas(run, "row int, v binary").toPandas().itertuples(index=False):
-            total[row] += np.frombuffer(v, np.float32)
+        total = np.zeros((FEATURES, CLASSES))
+        for row, v in table.mapInPandas(run, "row int, v binary").toPandas().itertuples(index=False):
+            total[row] += np.frombuffer(v, np.float64)
         shared.destroy()
         return total
 
+    def moved(weights: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast(weights)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    rows, m = tables(batch)
+                    own = own_of(batch)
+                    own = _moved(own, 0.0, m, np.exp(log_softmax(shared.value, rows, own)) * m.sum(axis=1, keepdims=True))
+                    batch["own"] = [x.tobytes() for x in own]
+                    yield batch
+
+        return persist_table(table.mapInPandas(run, table.schema))
+
     observed = sums(None)
-    weights = np.zeros((FEATURES, CLASSES), np.float32)
-    bias = feature_rows(np.zeros(1, np.int64))[0, 0]
-    share = observed[bias] + 1
-    weights[bias] = np.log(share / share.sum())
+    share = observed[0] + 1
+    weights[0] = np.log(share / share.sum())
     start = weights.copy()
     for _ in range(steps):
-        expected = sums(weights)
-        for at in range(0, FEATURES, 512):
-            k = slice(at, at + 512)
-            gradient = observed[k] - expected[k] - L2 * (weights[k] - start[k])
-            weights[k] += np.clip(RATE * gradient / (expected[k] + L2 + 2.0), -1.0, 1.0).astype(np.float32)
-    return weights
+        expected, new = sums(weights), moved(weights)
+        drop_table(table)
+        weights, table = _moved(weights, start, observed, expected).astype(np.float32), new
+    return weights, table
 
 
 def class_totals(totals: DataFrame, top: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,13 +262,19 @@ def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     size = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = int(size["n"]), int(size["v"])
     top = [r["word"].encode("utf-8", "surrogatepass") for r in totals.filter("word <> ''").orderBy(F.desc("n"), "word").limit(TOP).collect()]
-    weights = train(history_counts(docs, top), steps)
+    weights, table = train(history_counts(docs, top), steps)
+    got = table.filter("own is not null").select("history", "own").toPandas()  # at most HISTORIES rows
+    own = np.zeros((HISTORIES, CLASSES), np.float32)
+    for h, x in zip(got["history"], got["own"], strict=True):
+        own[h] = np.frombuffer(x, np.float32)
+    del got
+    drop_table(table)
     cn, cv = class_totals(totals, top)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, cn, cv, top))
+    shared = docs.sparkSession.sparkContext.broadcast((weights, own, cn, cv, top))
     counts = words.select("block", "word").join(totals, "word").select("block", "word", "n")
 
     def run(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        weights, cn, cv, top = shared.value
+        weights, own, cn, cv, top = shared.value
         classes, words = Classes(top), [w.encode("utf-8", "surrogatepass") for w in known["word"]]
 
         class Numbers(dict):
@@ -256,7 +289,6 @@ def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
         number = Numbers(zip(words, range(len(words)), strict=True))
         word_class = np.fromiter((classes[w] for w in words), np.int32, len(words))
         word_count = known["n"].to_numpy(np.float64)
-        table = log_softmax(weights, feature_rows(np.arange(HISTORIES))) / np.log(10)
         in_class = np.log10(cn + SMOOTH * (cv + 1))
         base_of = np.log10(n_all + SMOOTH * (v_all + 1))
         made, held = [], []
@@ -272,9 +304,16 @@ def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
             c1[starts] = START
             c2 = np.concatenate(([START], c1[:-1]))
             c2[starts] = START
-            history = c1 * GROUPS + np.where(c2 == START, GROUPS - 1, c2 % (GROUPS - 1))
+            history, at = np.unique(c1 * (CLASSES + 1) + c2, return_inverse=True)
+            logp = np.empty(len(cls), np.float64)
+            order = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[order], np.arange(0, len(history) + 4096, 4096))
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                h, o = history[k * 4096 : (k + 1) * 4096], order[a:b]
+                if len(h):
+                    logp[o] = log_softmax(weights, feature_rows(h), own[h])[at[o] - k * 4096, cls[o]] / np.log(10)
             share = np.log10(n + SMOOTH)
-            made.append(np.column_stack([ends - starts, np.add.reduceat((n > 0).astype(np.int64), starts), np.add.reduceat(share - base_of, starts), np.add.reduceat(table[history, cls] + share - in_class[cls], starts)]))
+            made.append(np.column_stack([ends - starts, np.add.reduceat((n > 0).astype(np.int64), starts), np.add.reduceat(share - base_of, starts), np.add.reduceat(logp + share - in_class[cls], starts)]))
             held.clear()
 
         size = 0

@@ -267,3 +267,17 @@ def test_quality_takes_pseudo_labels_from_all_unlabelled_rows(spark, monkeypatch
     assert len(seen) == quality.ROUNDS and seen[1]["n"].sum() < first["n"].sum()
     scored = quality.score_documents(spark.createDataFrame(rest, schema), models).collect()
     assert all(r.kept == (r.doc_id % 2 == 0) for r in scored)
+
+
+def test_lm_tells_histories_apart_by_both_classes(spark):
+    """A class follows from the class two back; its number differs from another's by 32, and no two histories share a weight."""
+    assert lm_score.HISTORIES == 257 * 257 and len({tuple(r) for r in lm_score.feature_rows(np.arange(lm_score.HISTORIES)).tolist()}) == lm_score.HISTORIES
+    top = [b"w%d" % k for k in range(lm_score.TOP)]
+    text = " ".join(["w0 w5 w9"] * 60 + ["w32 w5 w77"] * 60)
+    docs = spark.createDataFrame([(k, text) for k in range(1, 6)], DOCS)
+    weights, table = lm_score.train(lm_score.history_counts(docs, top))
+    own = {r.history: np.frombuffer(r.own, np.float32) for r in table.collect()}
+    one, two = (c1 * 257 + c2 for c1, c2 in ((6, 1), (6, 33)))
+    for h, right, wrong in ((one, 10, 78), (two, 78, 10)):
+        p = np.exp(lm_score.log_softmax(weights, lm_score.feature_rows(np.array([h])), own[h][None]))[0]
+        assert p[right] > 0.8 and p[wrong] < 0.05 and math.isclose(p.sum(), 1, rel_tol=1e-4)
