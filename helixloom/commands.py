@@ -14,6 +14,7 @@ from .operators import contact_map as cm
 from .operators import graph, profile, schematic, solver
 from .operators.contact_map import ID, ContactMap
 from .operators.importers import from_scadnano, from_structure
+from .session import write_table
 from .sources import readers, writers
 
 
@@ -41,12 +42,11 @@ class Origami:
         keys = t["designs"].select(F.col(ID).alias("name"), F.xxhash64(ID).alias("key"))
         out = solver.solve(t["designs"].join(keys, t["designs"][ID] == keys["name"]).select(F.col("key").alias(ID), "scaffold53", "circular"), t["staples"].join(keys, t["staples"][ID] == keys["name"]).select(F.col("key").alias(ID), "staple_id", "seq53"), method, settings)
         # everything below reads the solver's rows several times
-        out = out.join(keys.withColumnRenamed("key", ID), ID).drop(ID).withColumnRenamed("name", ID).persist()
+        out = write_table(out.join(keys.withColumnRenamed("key", ID), ID).drop(ID).withColumnRenamed("name", ID))
         solved = t["designs"].join(out.filter("error is not null").select(ID), ID, "left_anti")
         made = cm.build(solved, out.filter("status = 'placed'").select(ID, "staple_id", "section_id", "i53", "runlen"), t["staples"])
         whole = cm.recompose(made, t["loopouts"], t["dangles"])
-        whole = ContactMap(whole.designs.persist(), whole.scaffold.persist(), whole.staples.persist())
-        return Origami(whole), out.filter("status is null or status <> 'placed'").select(ID, "staple_id", "status", "error")
+        return Origami(whole.materialise()), out.filter("status is null or status <> 'placed'").select(ID, "staple_id", "status", "error")
 
     # edits
     def delete(self, ids: list[int]) -> Origami:

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import complement, to_material, wrap
+from ..session import write_table
 
 ID = "design_id"
 
@@ -26,6 +27,22 @@ class ContactMap:
     scaffold: DataFrame
     staples: DataFrame
 
+    def materialise(self) -> ContactMap:
+        """The same map with its tables written to the shared folder, so that what follows is planned from there.
+
+        Edits are lazy, and each reads the map before several times: in a long chain of them write the map between two.
+        """
+        return ContactMap(*[write_table(t) for t in (self.designs, self.scaffold, self.staples)])
+
+    def save(self, folder: str) -> None:
+        """Writes the map's tables as Parquet below a folder, where load finds them."""
+        for name in ("designs", "scaffold", "staples"):
+            getattr(self, name).write.parquet(f"{folder.rstrip('/')}/{name}")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> ContactMap:
+        return ContactMap(*[spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in ("designs", "scaffold", "staples")])
+
     def claims(self) -> DataFrame:
         """design_id, i53, staple_id, section_id, staple_base_id for each hybridised staple base."""
         ids = F.expr("flatten(transform(section_lengths, (l, k) -> array_repeat(k, l)))")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.space import angle, distance, minus
+from ..session import drop_table, write_table
 
 ID = "design_id"
 
@@ -18,13 +19,14 @@ def band_pairs(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     """
     cell = lambda r, k: F.floor(r[k] / reach)
     near = F.array(*[F.struct(*[(cell(F.col("ra"), k) + d).alias(f"c{k}") for k, d in enumerate((x, y, z))]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
-    left = a.withColumn("_c", F.explode(near)).select(*a.columns, "_c.*")
+    # only ids and points are copied; the rest of a row joins what is left
+    left = a.select(ID, "a", F.struct(*[F.col("ra")[k].alias(f"x{k}") for k in range(3)]).alias("_p"), F.explode(near).alias("_c")).select(ID, "a", "_p", "_c.*")
     right = b.select(*b.columns, *[cell(F.col("rb"), k).alias(f"c{k}") for k in range(3)])
     at = left.join(right, [ID, "c0", "c1", "c2"]).drop("c0", "c1", "c2")
     ok = F.lit(True)
     for k in range(3):
-        ok = ok & (F.abs(F.col("ra")[k] - F.col("rb")[k]) <= reach)
-    return at.filter(ok)
+        ok = ok & (F.abs(F.col(f"_p.x{k}") - F.col("rb")[k]) <= reach)
+    return a.join(at.filter(ok).drop("_p"), [ID, "a"])
 
 
 def measured(pairs: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def strand_order(nucleotides: DataFrame) -> DataFrame:
     """nucleotides (design_id, nucleotide_id, strand_id, base, id3, id5; -1: none) with circular and k, the place from 5'.
 
     Places are found by doubling: each round doubles how far along the strand a nucleotide sees, so a strand of n takes
-    log2(n) rounds of joins. A circular strand starts at its smallest nucleotide if the largest is just before that, else at
+    log2(n) rounds of joins of ids and places, each written to the shared folder. A circular strand starts at its smallest nucleotide if the largest is just before that, else at
     its largest.
     """
     ends = nucleotides.groupBy(ID, "strand_id").agg(
@@ -90,13 +92,15 @@ def strand_order(nucleotides: DataFrame) -> DataFrame:
     at = nucleotides.join(ends, [ID, "strand_id"])
     # before: the next nucleotide towards 5', cut at the start of a circle
     before = F.when(F.col("circular") & (F.col("nucleotide_id") == start), -1).otherwise(F.col("id5"))
-    at = at.withColumn("up", before).withColumn("k", F.when(F.col("up") >= 0, 1).otherwise(0))
-    most = at.agg(F.max("n")).first()[0] or 1
+    now = write_table(at.select(ID, "nucleotide_id", before.alias("up"), F.when(before >= 0, 1).otherwise(0).alias("k"), "n"))
+    most = now.agg(F.max("n")).first()[0] or 1
     for _ in range(max(1, int(most - 1).bit_length())):
-        at = at.persist()  # each round reads the one before twice; its plan must not double
-        jump = at.select(ID, F.col("nucleotide_id").alias("up"), F.col("up").alias("_up"), F.col("k").alias("_k"))
-        at = at.join(jump, [ID, "up"], "left").withColumn("k", F.col("k") + F.coalesce("_k", F.lit(0))).withColumn("up", F.coalesce("_up", F.lit(-1))).drop("_up", "_k")
-    return at.select(ID, "nucleotide_id", "strand_id", "base", "circular", "n", "k")
+        jump = now.select(ID, F.col("nucleotide_id").alias("up"), F.col("up").alias("_up"), F.col("k").alias("_k"))
+        more = now.join(jump, [ID, "up"], "left")
+        new = write_table(more.select(ID, "nucleotide_id", F.coalesce("_up", F.lit(-1)).alias("up"), (F.col("k") + F.coalesce("_k", F.lit(0))).alias("k"), "n"))
+        drop_table(now)
+        now = new
+    return at.join(now.select(ID, "nucleotide_id", "k"), [ID, "nucleotide_id"]).select(ID, "nucleotide_id", "strand_id", "base", "circular", "n", "k")
 
 
 def scaffold_strand(ordered: DataFrame) -> DataFrame:

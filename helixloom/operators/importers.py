@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_table
 from . import geometry as geo
 from .contact_map import ID, ContactMap
 
@@ -76,14 +77,14 @@ def from_structure(topology: DataFrame, configuration: DataFrame, cutoff: float
     The longest strand is the scaffold. A design in which a nucleotide has two partners is not ok and has no pairs.
     Strands that pair with nothing are left out, and staples are numbered in the order of strands.
     """
-    order = geo.strand_order(topology).persist()  # read three times
+    order = write_table(geo.strand_order(topology))  # read three times
     which = geo.scaffold_strand(order).withColumnRenamed("strand_id", "scaffold")
     at = order.join(which, ID).join(configuration.select(ID, "nucleotide_id", "r", F.col("b")), [ID, "nucleotide_id"])
     sc = at.filter("strand_id = scaffold")
     a = sc.select(ID, F.col("nucleotide_id").alias("a"), F.col("r").alias("ra"), F.col("b").alias("ba"))
     b = at.filter("strand_id <> scaffold").select(ID, F.col("nucleotide_id").alias("b_"), F.col("r").alias("rb"), F.col("b").alias("bb")).withColumnRenamed("b_", "b")
     pairs, ok = geo.base_pairs(a, b, cutoff, most)
-    pairs = pairs.persist()
+    pairs = write_table(pairs)
     letters = sc.select(ID, F.col("k").cast("int").alias("i53"), F.col("base").alias("base_letter"))
     designs = sc.groupBy(ID).agg(F.first("circular").alias("circular"), F.first("n").cast("int").alias("n"))
     hit = pairs.join(sc.select(ID, F.col("nucleotide_id").alias("a"), F.col("k").cast("int").alias("i53")), [ID, "a"]).select(ID, F.col("b").alias("nucleotide_id"), "i53")

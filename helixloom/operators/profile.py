@@ -5,23 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import common_prefix, is_sequence_of, pairs
+from ..functions.sequence import is_sequence_of, pairs
 from .contact_map import ID, ContactMap
-from .matching import windows
+from .matching import common_letters, packed_places
 
 MOST_K = 25
+#: Letters by which the windows of a design are dealt out.
+HEAD = 4
 
 
 def kmer_repeats(design: DataFrame, most: int = MOST_K) -> DataFrame:
-    """design_id, k, repeats for k = 1 ... most: windows of k letters beyond the first of their kind.
+    """design_id, k, repeats for k = 1 ... most (21 to 42): windows of k letters beyond the first of their kind.
 
-    The windows of a design are sorted once; a window begins a new k-mer for each k beyond the prefix it shares with the
-    one before it, so one pass gives all k.
+    A window is two longs of three bits a letter, in which the end of a linear scaffold is 0. Windows are sorted once; one
+    begins a new k-mer for each k beyond the prefix it shares with the one before it, so one pass gives all k. They are
+    sorted within a design and the first HEAD letters, so that a long scaffold is many tasks; the first window of each
+    such part shares with the one before it what the first letters of the two parts share.
     """
-    at = windows(design, F.col("scaffold53"), most)
-    at = at.withColumn("same", F.coalesce(common_prefix("w", F.lag("w").over(Window.partitionBy(ID).orderBy("w", "p"))), F.lit(0)))
-    sizes = at.groupBy(ID, F.length("w").alias("len"), "same").agg(F.count("*").alias("c"))
-    per = sizes.filter("len > same or len > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("len"))))
+    letters = 21
+    code = F.translate(F.regexp_replace("scaffold53", "[^ACGTUN]", "x"), "ACGTUNx", "1234567")
+    at = packed_places(design, [(code, 3, "0")], letters, 2).withColumn("head", F.shiftright("a0", 3 * (letters - HEAD)).cast("int"))
+    unused = 3 * (2 * letters - most)
+    at = at.withColumn("a1", F.shiftleft(F.shiftright("a1", unused), unused))
+    w = Window.partitionBy(ID, "head").orderBy("a0", "a1")
+    at = at.withColumn("v0", F.lag("a0").over(w)).withColumn("v1", F.lag("a1").over(w))
+    same = F.when(F.col("v0").isNotNull(), common_letters([F.col("a0"), F.col("a1")], [F.col("v0"), F.col("v1")], 3, letters))
+    long = F.least(F.when(F.col("circular"), F.lit(most)).otherwise(F.col("n") - F.col("p")), F.lit(most))
+    sizes = at.groupBy(ID, "head", long.alias("len"), same.alias("same")).agg(F.count("*").alias("c"))
+    before = F.max("head").over(Window.partitionBy(ID).orderBy("head").rangeBetween(Window.unboundedPreceding, -1))
+    heads = F.when(F.col("before").isNotNull(), common_letters([F.col("head").cast("long")], [F.col("before").cast("long")], 3, HEAD))
+    sizes = sizes.withColumn("before", before).withColumn("same", F.coalesce("same", heads, F.lit(0)))
+    per = sizes.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("len"))))
     out = per.groupBy(ID, "k").agg(F.sum(F.when(F.col("k") <= F.col("same"), F.col("c")).otherwise(0)).alias("repeats"))
     every = design.select(ID, F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k"))
     return every.join(out, [ID, "k"], "left").select(ID, "k", F.coalesce("repeats", F.lit(0)).alias("repeats"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
-from ..session import prepare
+from ..session import engine, spread
 
 TILE = 16
 ALPHABET, BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
@@ -23,9 +23,11 @@ def encoded(text: Column) -> Column:
 
 def designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """design_id, scaffold_type, scaffold53, n, circular for each document with a letter."""
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    out = docs.select(F.col("doc_id").alias("design_id"), F.when(F.col("doc_id") % 2 == 0, "LINEAR").otherwise("CIRCULAR").alias("scaffold_type"), encoded(F.col("text")).alias("scaffold53"))
-    return out.withColumn("n", F.length("scaffold53")).withColumn("circular", F.col("scaffold_type") == "CIRCULAR").filter("n > 0")
+    docs = engine(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    out = docs.select(F.col("doc_id").alias("design_id"), encoded(F.col("text")).alias("scaffold53"))
+    # the letters are worked out before the exchange, not again for each row that a scaffold is exploded to
+    out = spread(out.filter("scaffold53 <> ''")).withColumn("circular", F.col("design_id") % 2 != 0).withColumn("n", F.length("scaffold53"))
+    return out.select("design_id", F.when(F.col("circular"), "CIRCULAR").otherwise("LINEAR").alias("scaffold_type"), "scaffold53", "n", "circular")
 
 
 def staples(design: DataFrame) -> DataFrame:
@@ -35,7 +37,8 @@ def staples(design: DataFrame) -> DataFrame:
     at = design.filter(groups > 0).withColumn("m", F.explode(F.sequence(F.lit(0), 2 * groups - 1)))
     first = o + 4 * TILE * F.floor(F.col("m") / 2) + TILE * (F.col("m") % 2)
     at = at.withColumn("a", first.cast("int")).withColumn("b", (first + 2 * TILE).cast("int"))
-    part = lambda c: reverse_complement(F.substring(F.col("scaffold53"), F.col(c) + 1, F.lit(TILE)))
+    # of a binary a piece costs its own length, of a text the way there
+    part = lambda c: reverse_complement(F.substring(F.col("scaffold53").cast("binary"), F.col(c) + 1, F.lit(TILE)).cast("string"))
     section = lambda c: F.struct((F.col(c) + TILE - 1).alias("i53"), F.lit(TILE).alias("runlen"))
     return at.select("design_id", F.col("m").cast("int").alias("staple_id"), F.concat(part("a"), part("b")).alias("seq53"), F.array(section("a"), section("b")).alias("sections"))
 

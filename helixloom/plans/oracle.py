@@ -7,7 +7,7 @@ DESIGN = """design as (
     translate(reverse(s), 'ACGT', 'TGCA') as rc
   from (select doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') as s from documents) where length(s) > 0),
 staple as (
-  select design_id, circular, n, cast(m as bigint) as staple_id, a, a + 32 as b,
+  select design_id, circular, n, o, cast(m as bigint) as staple_id, a, a + 32 as b,
     translate(reverse(substr(scaffold53, a + 1, 16)), 'ACGT', 'TGCA') || translate(reverse(substr(scaffold53, a + 33, 16)), 'ACGT', 'TGCA') as seq53
   from (select *, o + 64 * (m // 2) + 16 * (m % 2) as a from (select *, unnest(range(0, 2 * ((n - o) // 64))) as m from design)))"""
 
@@ -98,6 +98,13 @@ WINDOW25 = """win as (
 rep as (select design_id, k, count(*) filter (length(w) >= k) - count(distinct left(w, k)) filter (length(w) >= k) as repeats from win, (select unnest(range(1, 26)) as k) group by 1, 2)"""
 
 
+#: each base when the first sections have lost their 5' base; free: pairs with nothing, lone: a free domain of one base
+LONE = """cut as (select *, staple_id < 0 or (section_id = 0 and base_id = 0) as free from base),
+near as (select *, coalesce(lag(free) over w, false) as f5, coalesce(lead(free) over w, false) as f3, first_value(free) over (partition by design_id order by i53) as first,
+    first_value(free) over (partition by design_id order by i53 desc) as last from cut window w as (partition by design_id order by i53)),
+alone as (select *, free and not f5 and not f3 and not (circular and i53 in (0, n - 1) and first and last) as lone from near)"""
+
+
 def sql() -> dict[str, str]:
     base = f"with {DESIGN}, {BASE}"
     full = f"{base}, {domain()}"
@@ -120,8 +127,9 @@ select design_id, staple_id, count(*) as candidates, cast(max(mu) as bigint) as
         "naive_routes": routes(),
         "contactmap_scaffold": f"""{full} select design_id, dom as scaffold_domain_id, cast(min(i53) as bigint) as first, cast(max(i53) as bigint) as last, count(*) as bases, cast(min(staple_id) as bigint) as staple_id,
   cast(max(section_id) as bigint) as section_id, cast(sum(base_id) as bigint) as base_ids from dom group by 1, 2""",
-        "contactmap_staple": f"""{full}, spot as (select design_id * 1000000000 + i53 as key, dom from dom) select s.design_id, staple_id, cast(2 as bigint) as num_sections, seq53 as sequence53, '16;16' as section_lengths,
-  cast(x.dom as varchar) || ';' || cast(y.dom as varchar) as domain_ids, {joined(STAPLE_BASES)} as base_i53 from staple s join spot x on x.key = s.design_id * 1000000000 + s.a join spot y on y.key = s.design_id * 1000000000 + s.b""",
+        # a tile is a domain of its own; on a circle the bases before the first tile are domain 0
+        "contactmap_staple": f"""with {DESIGN} select design_id, staple_id, cast(2 as bigint) as num_sections, seq53 as sequence53, '16;16' as section_lengths,
+  cast(cast((a - o) // 16 + o // 8 as bigint) as varchar) || ';' || cast(cast((b - o) // 16 + o // 8 as bigint) as varchar) as domain_ids, {joined(STAPLE_BASES)} as base_i53 from staple""",
         "domain_islands": f"{full} select design_id, circular, count(distinct dom) as domains, arg_max(dom, i53) as last_domain from dom group by 1, 2",
         "event_islands": """with r as (select *, sum(new) over (partition by user_id order by ts, event_id) as run from (
   select *, case when lag(event_type) over (partition by user_id order by ts, event_id) <> event_type then 1 else 0 end as new from events)), g as (select user_id, run, count(*) as n from r group by 1, 2)
@@ -166,12 +174,8 @@ select design_id, cast(case when staple_id % 5 = 2 then 9999 + row_number() over
 select design_id, staple_id, case when i3 >= a and i3 < a + 15 then (a + 15 - i3) || ';' || (i3 - a + 1) || ';16' when i3 >= b and i3 < b + 15 then '16;' || (b + 15 - i3) || ';' || (i3 - b + 1) else '16;16' end as section_lengths,
   {joined("list_transform(l, lambda x: (x - i3 - 1 + n) % n)")} as base_i53 from p""",
         "circularise": f"with {DESIGN} select design_id, not circular as done from design",
-        "delete_1nt_remap": f"""{base}, cut as (select *, staple_id >= 0 and section_id = 0 and base_id = 0 as gone from base), moved as (select *, sum(case when gone then 1 else 0 end) over (partition by design_id order by i53) as so from cut),
-one as (select design_id, i53, staple_id, gone, so, (circular and i53 in (0, n - 1)) as edge,
-  case when gone then coalesce(lag(not gone and staple_id >= 0) over (partition by design_id order by i53), true) and coalesce(lead(not gone and staple_id >= 0) over (partition by design_id order by i53), true) else false end as alone from moved),
-nxt as (select *, sum(case when alone then 1 else 0 end) over (partition by design_id order by i53) as before,
-  case when staple_id < 0 and not coalesce(lag(staple_id < 0) over (partition by design_id order by i53), false) and not coalesce(lead(staple_id < 0) over (partition by design_id order by i53), false) then true else false end as lone from one)
-select design_id, count(*) - count(*) filter (alone) as left, count(*) filter (alone) as deleted, cast(sum(case when staple_id >= 0 and not gone then i53 - before else 0 end) as bigint) as places from nxt group by 1""",
+        "delete_1nt_remap": f"""{base}, {LONE}, nxt as (select *, sum(case when lone then 1 else 0 end) over (partition by design_id order by i53) as before from alone)
+select design_id, count(*) - count(*) filter (lone) as left, count(*) filter (lone) as deleted, cast(sum(case when free then 0 else i53 - before end) as bigint) as places from nxt group by 1""",
         "band_join_pairs": f"with {VECTOR} select cast(design_id as bigint) as design_id, a, b, round(d, 6) as d, round(ta, 4) as ta, round(tb, 4) as tb from m",
         "monogamous_pairs": f"with {VECTOR}, k as (select * from m where d <= 0.06 and ta <= 60 and tb <= 60) select cast(design_id as bigint) as design_id, mutual, cheats, one_sided from ({kinds('k', 'design_id')})",
         "grid_pair_counts": f"""with {VECTOR}, k as (select m.*, cutoff, most from m, (select unnest([0.02, 0.03, 0.04, 0.05, 0.06])::double as cutoff), (select unnest([30, 60, 90, 120])::double as most) where d <= cutoff and ta <= most and tb <= most)

@@ -12,7 +12,7 @@ from ..operators import contact_map as cm
 from ..operators import geometry as geo
 from ..operators import matching as mt
 from ..operators import profile as pf
-from ..session import prepare
+from ..session import engine
 from . import derived
 
 ID = "design_id"
@@ -38,7 +38,7 @@ def _long(*names: str) -> list:
 
 
 def seq_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = (prepare(spark).read.parquet(f"{sf_dir}/{t}.parquet").select("text") for t in ("documents", "benchmark"))
+    docs, items = (engine(spark).read.parquet(f"{sf_dir}/{t}.parquet").select("text") for t in ("documents", "benchmark"))
     code = derived.encoded(F.col("text"))
     forms = {"raw": F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "code": code, "starred": F.regexp_replace(code, "CC", "*CC"), "double": F.regexp_replace(code, "CC", "**"), "mixed": F.regexp_replace(code, "TT", "UT")}
     at = docs.unionByName(items).filter("text is not null").select(F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("s")) for k, v in forms.items()])).alias("x"))
@@ -111,7 +111,7 @@ def domain_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
+    e = engine(spark).read.parquet(f"{sf_dir}/events.parquet")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     new = F.when(F.col("event_type") != F.lag("event_type").over(w), 1).otherwise(0)
     at = e.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).groupBy("user_id", "run").agg(F.count("*").alias("n"))
@@ -245,7 +245,7 @@ def rotation_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet").filter("embedding is not null and size(embedding) >= 6")
+    e = engine(spark).read.parquet(f"{sf_dir}/embeddings.parquet").filter("embedding is not null and size(embedding) >= 6")
     part = lambda a: F.transform(F.slice("embedding", a, 3), lambda x: x.cast("double"))
     at = e.select(F.col("label").alias(ID), "vec_id", part(1).alias("r"), part(4).alias("b"))
     one = at.filter("vec_id % 2 = 0").select(ID, F.col("vec_id").alias("a"), F.col("r").alias("ra"), F.col("b").alias("ba"))
@@ -301,7 +301,7 @@ def dl_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_list_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = prepare(spark).read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("strand_id"), F.col("o_orderkey").alias("nucleotide_id"))
+    o = engine(spark).read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("strand_id"), F.col("o_orderkey").alias("nucleotide_id"))
     w = Window.partitionBy("strand_id").orderBy("nucleotide_id")
     n = o.select(F.lit(0).alias(ID), "nucleotide_id", "strand_id", F.lit("A").alias("base"), F.coalesce(F.lag("nucleotide_id").over(w), F.lit(-1)).alias("id3"), F.coalesce(F.lead("nucleotide_id").over(w), F.lit(-1)).alias("id5"))
     return geo.strand_order(n).select("strand_id", "nucleotide_id", F.col("k").cast("long").alias("k"))
