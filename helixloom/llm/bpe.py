@@ -15,13 +15,11 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import prepare
-from .shared import documents
+from .shared import documents, map_columns
 
 #: Fixed value: the pattern of byte-level BPE tokenizers.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -156,22 +154,23 @@ def load(path: str) -> Tokenizer:
         return Tokenizer(f.read())
 
 
-def bpe_columns(docs: DataFrame, vocab: str, text_col: str = "text", digests: bool = False) -> DataFrame:
+def bpe_columns(docs: DataFrame, vocab: str, text_col: str = "text", digests: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Adds n_tokens long, and token_ids (text, joined by commas) and decoded; with digests their SHA-256 instead.
 
     vocab is the path of a tokenizer file that each worker can read. A null text counts as an empty one: no tokens, empty
-    ids and text. Columns of these names in the input are replaced; others pass through.
+    ids and text. Columns of these names in the input are replaced; others pass through, or only those named by keep.
+    Texts are cut into words whole, whatever their length; a table without rows gives none.
     """
-    prepare(docs.sparkSession)
     names = ["ids_sha256", "decoded_sha256"] if digests else ["token_ids", "decoded"]
-    docs = docs.drop("n_tokens", *names)
-    schema = StructType(list(docs.schema)).add("n_tokens", "long").add(names[0], "string").add(names[1], "string")
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_tokens", *names)]
+    made_columns = StructType().add("n_tokens", "long").add(names[0], "string").add(names[1], "string")
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work():
         tokenizer = load(vocab)
-        for batch in batches:
-            texts = ["" if t is None or t != t else t for t in batch[text_col]]
+
+        def run(texts: list[str | None]) -> list:
+            texts = [t or "" for t in texts]
             made: list[tuple[int, str, str]] = []
             at, chars = 0, 0
             for k, t in enumerate(texts):
@@ -179,12 +178,11 @@ def bpe_columns(docs: DataFrame, vocab: str, text_col: str = "text", digests: bo
                 if chars > 4_000_000 or k + 1 == len(texts):
                     made += [(n, sha(i), sha(d)) if digests else (n, i, d) for n, i, d in tokenizer.run(texts[at : k + 1])]
                     at, chars = k + 1, 0
-            batch["n_tokens"] = [m[0] for m in made]
-            batch[names[0]] = [m[1] for m in made]
-            batch[names[1]] = [m[2] for m in made]
-            yield batch
+            return [list(x) for x in zip(*made, strict=True)] if made else [[], [], []]
+
+        return run
 
-    return docs.mapInPandas(run, schema)
+    return map_columns(docs, [text_col], keep, made_columns, work)
 
 
 def default_vocab() -> str:
@@ -195,5 +193,4 @@ def default_vocab() -> str:
 
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return bpe_columns(docs, default_vocab(), digests=True).drop("text")
+    return bpe_columns(documents(spark, sf_dir), default_vocab(), digests=True, keep=["doc_id"])

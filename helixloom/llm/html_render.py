@@ -14,11 +14,11 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..session import prepare
+from .shared import map_columns
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -321,21 +321,16 @@ def render(html: str | None) -> str | None:
     return "\n".join(boxes[0].done())
 
 
-def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """The table with a column of visible text. A null page gives null; a column of that name is replaced, others pass through."""
-    prepare(pages.sparkSession)
-    pages = pages.drop(out_col)
-    schema = StructType(list(pages.schema)).add(out_col, "string")
+def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The table with a column of visible text. A null page gives null, an empty one an empty text; pages are read whole.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch[out_col] = [render(h if isinstance(h, str) else None) for h in batch[html_col]]
-            yield batch
-
-    return pages.mapInPandas(run, schema)
+    A column of that name is replaced, others pass through, or only those named by keep. No rows give no rows.
+    """
+    keep = [c for c in (pages.columns if keep is None else keep) if c.lower() != out_col.lower()]
+    work = lambda: lambda htmls: [[render(h) for h in htmls]]
+    return map_columns(pages, [html_col], keep, StructType().add(out_col, "string"), work)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page: page_id, url, text."""
-    pages = prepare(spark).read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return extract_text(pages).drop("html")
+    return extract_text(prepare(spark).read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"])

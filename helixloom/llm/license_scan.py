@@ -10,14 +10,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import prepare
-from .shared import documents
+from .shared import documents, map_columns
 
 # Licence sentences by identifier, and rules in the order in which they are tried.
 SENTENCES = {
@@ -87,8 +84,8 @@ RULES = [
     ("Unlicense", ["unlicense"]),
     ("All-rights-reserved", ["rights"]),
 ]
-#: Each sentence holds one of these, so a text without any of them needs no further look.
-ANCHORS = ("licens", "permission", "copyright", "warrant", "redistribut", "rights reserved", "public domain", "merchantab")
+#: Each sentence holds one of these inside a word, so a text without any of them, however it is wrapped, needs no further look.
+ANCHORS = ("licens", "permission", "copyright", "warrant", "redistribut", "reserved", "unencumbered", "merchantab")
 
 _CUT = re.compile(r"\n|(?<=[.;:!?])\s+")
 _WORD = re.compile(r"[^\W_]+")
@@ -158,31 +155,34 @@ class Scanner:
         return [(name, known[a][1], known[b][2]) for name, a, b in found], rest, len(known)
 
 
-def scan_licences(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def scan_licences(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds licences (distinct, sorted, joined by commas), n_licences (matches), licence_spans (licence:start-end, joined by
     semicolons, in characters), n_sentences and unknown (identifiers no rule takes, joined by commas).
 
-    A null or empty text has none of them. Columns of these names in the input are replaced; others pass through.
+    A null or empty text has none of them; of rules that fit at one place the first counts; texts are read whole. Columns of
+    these names in the input are replaced; others pass through, or only those named by keep. No rows give no rows.
     """
-    prepare(docs.sparkSession)
-    names = ["licences", "n_licences", "licence_spans", "n_sentences", "unknown"]
-    docs = docs.drop(*names)
-    schema = StructType(list(docs.schema)).add("licences", "string").add("n_licences", "long").add("licence_spans", "string").add("n_sentences", "long").add("unknown", "string")
+    made = StructType().add("licences", "string").add("n_licences", "long").add("licence_spans", "string").add("n_sentences", "long").add("unknown", "string")
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made.names]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work():
         scanner = Scanner()
-        for batch in batches:
-            made = [scanner.scan(t if isinstance(t, str) else None) for t in batch[text_col]]
-            batch["licences"] = [",".join(sorted({x[0] for x in m[0]})) for m in made]
-            batch["n_licences"] = [len(m[0]) for m in made]
-            batch["licence_spans"] = [";".join(f"{x[0]}:{x[1]}-{x[2]}" for x in m[0]) for m in made]
-            batch["n_sentences"] = [m[2] for m in made]
-            batch["unknown"] = [",".join(m[1]) for m in made]
-            yield batch
 
-    return docs.mapInPandas(run, schema)
+        def run(texts: list[str | None]) -> list:
+            got = [scanner.scan(t) for t in texts]
+            return [
+                [",".join(sorted({x[0] for x in m[0]})) for m in got],
+                [len(m[0]) for m in got],
+                [";".join(f"{x[0]}:{x[1]}-{x[2]}" for x in m[0]) for m in got],
+                [m[2] for m in got],
+                [",".join(m[1]) for m in got],
+            ]
+
+        return run
+
+    return map_columns(docs, [text_col], keep, made, work)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, licences, n_licences, licence_spans, n_sentences, unknown."""
-    return scan_licences(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return scan_licences(documents(spark, sf_dir), keep=["doc_id"])

@@ -2,36 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from ..session import prepare
+from ..session import drop_table, prepare, write_table
 
 #: Most members of a group that one task holds at once; larger groups are dealt out in blocks.
 BLOCK = 20_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/helixloom-{uuid.uuid4().hex}"
-
-
 def persist_table(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, and any executor can read it."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
+    """write_table, noted in the scope that is open."""
+    out = write_table(df)
     if SCOPES:
         SCOPES[-1].append(out)
     return out
@@ -51,16 +41,6 @@ def table_scope() -> Iterator[list[DataFrame]]:
         SCOPES.pop()
 
 
-def drop_table(df: DataFrame | None) -> None:
-    """Removes the files of a table written by persist_table that nothing needs any more."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        df._shared_path = None
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have yet."""
     have = {c.lower() for c in df.columns}
@@ -69,6 +49,32 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def column(name: str):
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_columns(df: DataFrame, reads: list[str], keeps: list[str], made: StructType, work: Callable[[], Callable[..., list]]) -> DataFrame:
+    """The columns keeps as they are, and the columns made, which work()(lists of the columns reads) gives for a batch.
+
+    What is kept stays in Arrow: no value of it, an id beside a null among them, goes through another type.
+    """
+    prepare(df.sparkSession)
+    at = df.select(*[column(c).alias(f"k{i}") for i, c in enumerate(keeps)], *[column(c).alias(f"r{i}") for i, c in enumerate(reads)])
+    names, types, n = [f.name for f in made], [to_arrow_type(f.dataType) for f in made], len(keeps)
+    out = StructType([at.schema[f"k{i}"] for i in range(n)] + [type(f)(f"m{i}", f.dataType, True) for i, f in enumerate(made)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        todo = work()
+        for batch in batches:
+            got = todo(*[batch.column(n + i).to_pylist() for i in range(len(reads))])
+            arrays = [batch.column(i) for i in range(n)] + [pa.array(v, type=t) for v, t in zip(got, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f"k{i}" for i in range(n)] + [f"m{i}" for i in range(len(types))])
+
+    done = at.mapInArrow(run, out)
+    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keeps)], *[F.col(f"m{i}").alias(c) for i, c in enumerate(names)])
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Adds a unique long per row and fixes it by writing the table, so that repeated ids and rows stay apart."""
     return persist_table(df.withColumn(name, F.monotonically_increasing_id()))

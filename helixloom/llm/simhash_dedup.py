@@ -6,14 +6,13 @@ which they meet. In each shard a BK-tree holds the fingerprints: children hang b
 to it, and a search follows only edges whose distance is within the radius of the query's own.
 
 The tree of a shard goes to the tasks that need it, not to all executors: shards of all documents together grow with the
-input, so a broadcast would have no bound. A shard beyond the block size is cut into chunks; a task gets the tree of one
-chunk and the queries of another, for each pair of chunks. Of each shard only the links of a spanning forest leave it, so
+input, so a broadcast would have no bound. A shard beyond the block size is cut into chunks, and a task builds one tree of
+both chunks of a pair, for each pair. Of each shard only the links of a spanning forest leave it, so
 a group of n near copies gives fewer than n rows a shard.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,9 +20,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..session import prepare
-from .shared import connected_components, deal_groups, documents, fresh, map_groups, persist_table, with_row_id
+from .shared import connected_components, deal_groups, documents, fresh, map_columns, map_groups, persist_table, with_row_id
 
 SEED = 42
 SHINGLE = 4
@@ -53,16 +52,8 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """The carried columns and fp, the fingerprint as a signed long."""
-    prepare(docs.sparkSession)
-    schema = docs.select(*carry).schema.add("fp", "long")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[carry].copy()
-            out["fp"] = np.array([fingerprint(t, size) for t in batch[text_col]], np.uint64).view(np.int64)
-            yield out
-
-    return docs.select(*carry, text_col).mapInPandas(run, schema)
+    work = lambda: lambda texts: [np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)]
+    return map_columns(docs, [text_col], carry, StructType().add("fp", "long"), work)
 
 
 class BKTree:
