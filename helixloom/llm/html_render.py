@@ -2,8 +2,10 @@
 
 A tokenizer and a tree builder with implied end tags give start, text and end events in document order; a renderer keeps
 a stack of open boxes and writes all visible text as a text browser would: blank lines around paragraphs and headings,
-line breaks, list markers with indents, preformatted text as it stands, and tables with cells padded to columns. Elements
-that are not rendered (scripts, styles, the head), and those hidden by an attribute or inline style, give nothing.
+line breaks, list markers with indents, preformatted text as it stands, and tables with cells padded to columns, spans and
+double-width letters included. Elements that are not rendered (scripts, styles, the head, a dialog or the body of a details
+element that is not open), and those hidden by an attribute or by display: none, give nothing. What visibility hides may
+show again further in.
 
 Both work with explicit stacks, so nesting depth is bounded by memory only, and in time linear in the page, tables apart.
 """
@@ -13,6 +15,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
+from unicodedata import combining, east_asian_width
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -52,7 +56,10 @@ WALLS = frozenset("table td th caption template html button object marquee apple
 # In a tag a quote delimits only straight after the = of an attribute; one that is never closed delimits nothing.
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|</?([a-zA-Z][^\s/>]*)((?>[\s/]+|=?[^\s/>=]+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)?|=)*+)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<(?![a-zA-Z!?/])", re.S)
 _ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"(?<![-\w])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?<![-\w])visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Most columns and rows of a cell.
+COLSPAN, ROWSPAN = 1000, 65534
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -214,19 +221,55 @@ class Box:
         return self.lines
 
 
-def lay_out(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of a table: the lines of each cell in columns as wide as their longest line, two blanks apart."""
-    width: list[int] = []
-    for row in rows:
-        for k, cell in enumerate(row):
-            w = max(map(len, cell), default=0)
-            if k == len(width):
-                width.append(w)
-            width[k] = max(width[k], w)
+def wide(s: str) -> int:
+    """Columns that a text takes: two for a double-width letter, none for a combining mark."""
+    return len(s) if s.isascii() else sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in s)
+
+
+class Cell:
+    """Lines of a table cell, and how many columns and rows it takes; no rows stand for all that are left."""
+
+    def __init__(self, lines: list[str], columns: int = 1, rows: int = 1) -> None:
+        self.lines, self.columns, self.rows, self.at = lines, columns, rows, 0
+
+
+def place(rows: list[list[Cell]]) -> None:
+    """Gives each cell its first column: the next that no cell from above takes."""
+    busy: dict[int, int] = {}  # column: the last row that it is taken in
+    for r, row in enumerate(rows):
+        k = 0
+        for cell in row:
+            while busy.get(k, -1) >= r:
+                k += 1
+            cell.at = k
+            if cell.rows != 1:
+                for c in range(k, k + cell.columns):
+                    busy[c] = r + (cell.rows or len(rows)) - 1
+            k += cell.columns
+
+
+def lay_out(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table: the lines of each cell in columns as wide as their longest line, two blanks apart.
+
+    A cell over several columns widens the last of them if they are too narrow. A cell over several rows stands in its first.
+    """
+    place(rows)
+    width = [0] * max((c.at + c.columns for row in rows for c in row), default=0)
+    for cell in sorted((c for row in rows for c in row), key=lambda c: c.columns):
+        need = max(map(wide, cell.lines), default=0)
+        if need:
+            have = sum(width[cell.at : cell.at + cell.columns]) + 2 * (cell.columns - 1)
+            width[cell.at + cell.columns - 1] += max(0, need - have)
+    starts = [0, *accumulate(w + 2 for w in width)]
     out = []
     for row in rows:
-        for i in range(max((len(c) for c in row), default=0)):
-            out.append("  ".join((cell[i] if i < len(cell) else "").ljust(width[k]) for k, cell in enumerate(row)).rstrip())
+        for i in range(max((len(c.lines) for c in row), default=0)):
+            line, at = [], 0
+            for cell in row:
+                if i < len(cell.lines) and cell.lines[i]:
+                    line += [" " * (starts[cell.at] - at), cell.lines[i]]
+                    at = starts[cell.at] + wide(cell.lines[i])
+            out.append("".join(line).rstrip())
     return out
 
 
@@ -234,26 +277,50 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTR.finditer(raw)))}
 
 
+def _span(value: str, most: int, least: int) -> int:
+    """A span attribute as a number; 1 if it is none."""
+    value = value.strip()
+    return max(least, min(most, int(value[:9]))) if value.isascii() and value.isdigit() else 1
+
+
+class Element:
+    """An open element that is rendered: whether visibility shows its text, and whether it is a closed details element."""
+
+    def __init__(self, name: str, shown: bool, shut: bool = False) -> None:
+        self.name, self.shown, self.shut, self.summary = name, shown, shut, False
+
+
 def render(html: str | None) -> str | None:
     """The visible text of a page; null for a null, empty for a page that shows nothing."""
     if html is None:
         return None
     boxes = [Box()]
-    tables: list[list[list[list[str]]]] = []
+    spans: list[tuple[int, int]] = []
+    tables: list[list[list[Cell]]] = []
     lists: list[int | None] = []
     pre = 0
     hidden: list[str] = []  # open elements from the outermost hidden one on
+    path = [Element("", True)]
     for kind, name, raw in events(html):
-        box = boxes[-1]
+        box, within = boxes[-1], path[-1]
         if kind == "text":
-            if not hidden:
+            if not hidden and within.shown and not within.shut:
                 box.text(name, pre > 0)
             continue
         if kind == "start":
             a = _attributes(raw) if raw and not raw.isspace() else {}
-            if hidden or name in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _GONE.search(a.get("style", "")) or name == "input":
+            first = within.shut and name == "summary" and not within.summary
+            if first:
+                within.summary = True
+            style = a.get("style", "")
+            if hidden or name in UNSEEN or "hidden" in a or name == "input" or within.shut and not first or name == "dialog" and "open" not in a or style and _GONE.search(style):
                 hidden.append(name)
                 continue
+            shown = within.shown
+            if style:
+                for m in _VISIBILITY.finditer(style):
+                    shown = m[1].lower() == "visible"
+            path.append(Element(name, shown, name == "details" and "open" not in a))
             if name in BLOCK2:
                 box.block(1 if name in ("ul", "ol", "menu", "dir") and lists else 2)
             elif name in BLOCK1:
@@ -261,11 +328,12 @@ def render(html: str | None) -> str | None:
             if name == "br":
                 box.line_break()
             elif name == "hr":
-                box.open()
-                box.now.append("---")
+                if shown:
+                    box.open()
+                    box.now.append("---")
                 box.block(2)
             elif name == "img":
-                if a.get("alt", "").strip():
+                if shown and a.get("alt", "").strip():
                     box.text(a["alt"], False)
             elif name == "pre":
                 pre += 1
@@ -292,10 +360,12 @@ def render(html: str | None) -> str | None:
                 if not tables[-1]:
                     tables[-1].append([])
                 boxes.append(Box())
+                spans.append((_span(a.get("colspan", ""), COLSPAN, 1), _span(a.get("rowspan", ""), ROWSPAN, 0)))
             continue
         if hidden:
             hidden.pop()
             continue
+        path.pop()
         if name == "pre":
             pre -= 1
         elif name in ("ul", "ol", "menu", "dir") and lists:
@@ -306,7 +376,7 @@ def render(html: str | None) -> str | None:
             if box.indents:
                 box.indents.pop()
         elif name in ("td", "th") and tables and len(boxes) > 1:
-            tables[-1][-1].append(boxes.pop().done())
+            tables[-1][-1].append(Cell(boxes.pop().done(), *spans.pop()))
             box = boxes[-1]
         elif name == "table" and tables:
             rows = tables.pop()
