@@ -18,7 +18,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,8 +79,6 @@ class Hashes:
         self.known: dict[str, int] = {}
 
     def tokens(self, tokens: list[str]) -> np.ndarray:
-        import xxhash
-
         known = self.known
         if len(known) > 1_000_000:
             known.clear()
@@ -87,20 +86,22 @@ class Hashes:
             known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 11)
         return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
-    def readings(self, tokens: list[str], either: list[int], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash of each window, its hash with the tokens at either read as names, and the windows that have that second reading.
+    def readings(self, tokens: list[str], surface: list[str], either: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each window of width tokens, its hash with the tokens at either read as names, and the windows that have that second reading.
 
-        A text of fewer tokens is one window, one without tokens has none.
+        A window of placeholders alone would meet any other of its kind, so it is hashed by what they stand for.
         """
         n = len(tokens)
-        if not n:
+        if n < width:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h, width = self.tokens(tokens), min(size, n)
-        first = _roll(h, width)
+        h = self.tokens(tokens)
+        first, slots = _roll(h, width), self.tokens([NUMBER, NAME, UNIT])
+        plain = (h != slots[0]) & (h != slots[1]) & (h != slots[2])
+        words = np.concatenate(([0], np.cumsum(plain)))
+        for k in np.flatnonzero(words[width:] == words[:-width]).tolist():
+            first[k] = xxhash.xxh64_intdigest("\x02".join(surface[k : k + width]).encode("utf-8", "surrogatepass"), 13)
         if not either:
             return first, first, np.zeros(0, np.int64)
-        slots = self.tokens([NUMBER, NAME, UNIT])
-        plain = (h != slots[0]) & (h != slots[1]) & (h != slots[2])
         plain[either] = False
         may = np.zeros(n, bool)
         may[either] = True
@@ -133,63 +134,83 @@ def _slots(tokens: list[str], surface: list[str], at: int, size: int) -> str:
 
 
 def benchmark_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """h, item, ipos, total, islots, second: the windows of columns item and text, in their readings; second marks a second one."""
+    """h, item, ipos, total, islots, second, width, exact: the windows of columns item and text, in their readings.
+
+    second marks a second reading. An item of fewer than size tokens is one window of its own width, and exact: so short a
+    template says little, so its values must be the document's too. Items without tokens have no window.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            for item, text in zip(batch["item"], batch["text"], strict=True):
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 tokens, surface, either = template(text or "")
-                h, named, at = hashes.readings(tokens, either, size)
+                width = min(size, len(tokens))
+                if not width:
+                    continue
+                h, named, at = hashes.readings(tokens, surface, either, width)
                 for x, k, words, second in ((h, np.arange(len(h)), tokens, False), (named[at], at, _named(tokens, either), True)):
-                    if len(k):
-                        yield pd.DataFrame({"h": x.view(np.int64), "item": item, "ipos": k, "total": len(h), "islots": [_slots(words, surface, j, size) for j in k.tolist()], "second": second})
+                    n = len(k)
+                    if n:
+                        slots = [_slots(words, surface, j, width) for j in k.tolist()]
+                        made = [x.view(np.int64), pa.array([item] * n, pa.int64()), k.astype(np.int32), np.full(n, len(h), np.int32), slots, np.full(n, second), np.full(n, width, np.int32), np.full(n, width < size)]
+                        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], names=columns)
 
     prepare(items.sparkSession)
-    return items.mapInPandas(run, "h long, item long, ipos int, total int, islots string, second boolean")
+    columns = ["h", "item", "ipos", "total", "islots", "second", "width", "exact"]
+    return items.mapInArrow(run, "h long, item long, ipos int, total int, islots string, second boolean, width int, exact boolean")
 
 
-def candidates(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> DataFrame:
+def candidates(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """h, doc, id, dpos, dslots, second: windows of columns doc, id and text that may be in bench, and a row with dpos -1 and the id for each document."""
     table = np.zeros(1 << BITS >> 3, np.uint8)
     slots = bench.select(F.col("h").bitwiseAND((1 << BITS) - 1).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()  # at most 2**BITS
     np.bitwise_or.at(table, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+    widths = sorted(r["width"] for r in bench.select("width").distinct().collect())  # at most WINDOW
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
-    columns = ["h", "doc", "id", "dpos", "dslots", "second"]
+    names = ["h", "doc", "id", "dpos", "dslots", "second"]
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        h, doc, at, slots, second = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.nulls(len(out), pa.int64()), pa.array(at, pa.int32()), pa.array(slots, pa.string()), pa.array(second, pa.bool_())], names=names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = Hashes(), np.frombuffer(shared.value, np.uint8)
 
         def found(texts: list[tuple[int, int]], tokens: list[str], surface: list[str], either: list[int]) -> Iterator[tuple]:
             """Rows of texts that lie end to end, given as (doc, first token); a window over two texts is none."""
-            h, named, at = hashes.readings(tokens, either, size)
-            starts = np.array([x[1] for x in texts], np.int64)
-            within = np.ones(len(h), bool)
-            if len(texts) > 1:
-                within[np.subtract.outer(starts[1:], np.arange(1, size)).ravel()] = False
-            for x, k, second in ((h, None, False), (named[at], at, True)):
-                low = (x & np.uint64((1 << BITS) - 1)).astype(np.int64)
-                hit = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
-                k = hit if k is None else k[hit]
-                x, k = x[hit][within[k]], k[within[k]]
-                if not len(k):
-                    continue
-                names = _named(tokens, either) if second else tokens
-                text = np.searchsorted(starts, k, "right") - 1
-                for v, j, t in zip(x.view(np.int64).tolist(), k.tolist(), text.tolist(), strict=True):
-                    yield v, texts[t][0], None, j - texts[t][1], _slots(names, surface, j, size), second
+            starts, names = np.array([x[1] for x in texts], np.int64), None
+            for width in widths:
+                h, named, at = hashes.readings(tokens, surface, either, width)
+                within = np.ones(len(h), bool)
+                cross = np.subtract.outer(starts[1:], np.arange(1, width)).ravel()
+                within[cross[(cross >= 0) & (cross < len(h))]] = False
+                for x, k, second in ((h, None, False), (named[at], at, True)):
+                    low = (x & np.uint64((1 << BITS) - 1)).astype(np.int64)
+                    hit = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+                    k = hit if k is None else k[hit]
+                    x, k = x[hit][within[k]], k[within[k]]
+                    if not len(k):
+                        continue
+                    if second and names is None:
+                        names = _named(tokens, either)
+                    words = names if second else tokens
+                    text = np.searchsorted(starts, k, "right") - 1
+                    for v, j, t in zip(x.view(np.int64).tolist(), k.tolist(), text.tolist(), strict=True):
+                        yield v, texts[t][0], j - texts[t][1], _slots(words, surface, j, width), second
 
         for batch in batches:
-            yield pd.DataFrame({"h": 0, "doc": batch["doc"], "id": batch["id"], "dpos": -1, "dslots": "", "second": False})
+            n = batch.num_rows
+            doc, text = batch.column("doc"), batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), doc, batch.column("id"), pa.array(np.full(n, -1, np.int32)), pa.array([""] * n, pa.string()), pa.array(np.zeros(n, bool))], names=names)
             out, texts, held = [], [], ([], [], [])
-            for doc, text in zip(batch["doc"], batch["text"], strict=True):
-                if not text:
+            for d, t in zip(doc.to_pylist(), text, strict=True):
+                if not t:
                     continue
-                made = template(text)
-                if len(made[0]) < size:
-                    out += found([(doc, 0)], *made)
+                made = template(t)
+                if not made[0]:
                     continue
-                texts.append((doc, len(held[0])))
+                texts.append((d, len(held[0])))
                 held[2].extend([len(held[0]) + k for k in made[2]])
                 held[0].extend(made[0])
                 held[1].extend(made[1])
@@ -197,14 +218,14 @@ def candidates(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> DataFra
                     out += found(texts, *held)
                     texts, held = [], ([], [], [])
                 if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=columns)
+                    yield rows(out)
                     out = []
             if texts:
                 out += found(texts, *held)
             if out:
-                yield pd.DataFrame(out, columns=columns)
+                yield rows(out)
 
-    return docs.select("doc", "id", "text").mapInPandas(run, "h long, doc long, id long, dpos int, dslots string, second boolean")
+    return docs.select("doc", "id", "text").mapInArrow(run, "h long, doc long, id long, dpos int, dslots string, second boolean")
 
 
 def matches(found: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -214,7 +235,7 @@ def matches(found: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> D
     windows in several readings the one of both first readings counts. If values of first readings clash, the diagonal
     goes; where values of second readings clash, with any on the diagonal, the hits of second readings that hold one go.
     """
-    hits = found.filter("dpos >= 0").join(bench.withColumnRenamed("second", "_second"), "h")
+    hits = found.filter("dpos >= 0").join(bench.withColumnRenamed("second", "_second"), "h").filter("not exact or islots = dslots")
     window = ["doc", "item", "ipos", "total", "diagonal"]
     hits = hits.select("doc", "item", "ipos", "total", (F.col("dpos") - F.col("ipos")).alias("diagonal"), F.struct((F.col("second") | F.col("_second")).alias("second"), "islots", "dslots").alias("r"))
     hits = persist_table(hits.groupBy(*window).agg(F.min("r").alias("r")).select(*window, "r.*"))
@@ -240,10 +261,13 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that no benchmark item contaminates, columns unchanged. Null and empty texts stay, as do all if the benchmark is empty."""
+    """The documents that no benchmark item contaminates, columns unchanged. Null and empty texts stay, as do all if the benchmark is empty.
+
+    Texts are read whole, whatever their length.
+    """
     row = fresh(docs, "_row")
     rows, bench = with_row_id(docs, row), persist_table(benchmark_windows(_items(benchmark), size))
-    bad = matches(candidates(rows.select(F.col(row).alias("doc"), F.lit(0).cast("long").alias("id"), F.col(text_col).alias("text")), bench, size), bench, coverage)
+    bad = matches(candidates(rows.select(F.col(row).alias("doc"), F.lit(0).cast("long").alias("id"), F.col(text_col).alias("text")), bench), bench, coverage)
     return rows.join(bad.select(F.col("doc").alias(row)).distinct(), row, "left_anti").drop(row)
 
 
@@ -254,7 +278,7 @@ def flag_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, co
     """
     bench = persist_table(benchmark_windows(_items(benchmark), size))
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-    ids = persist_table(candidates(rows.select(F.col("_row").alias("doc"), F.col("doc_id").cast("long").alias("id"), "text"), bench, size))
+    ids = persist_table(candidates(rows.select(F.col("_row").alias("doc"), F.col("doc_id").cast("long").alias("id"), "text"), bench))
     found = matches(ids, bench, coverage)
     per = found.groupBy(F.col("doc").alias("_row")).agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item")).cast("array<string>")).alias("item_ids"), F.max("coverage").alias("coverage"))
     out = ids.filter("dpos = -1").select(F.col("doc").alias("_row"), F.col("id").alias("doc_id")).join(per, "_row", "left")
