@@ -1,7 +1,7 @@
 """Quality classifier by co-training.
 
-A document has two views: its text, as hashed words and the shapes of odd ones, and its page metadata: language, source,
-size and layout. Two logistic models, one a view, learn from a sample of labelled documents; over some rounds each marks
+A document has two views: its text, as hashed words, the shapes of odd ones and figures of its layout, and its page
+metadata, of which nothing is read from the text: language, source, stated size and pairs of these. Two logistic models, one a view, learn from a sample of labelled documents; over some rounds each marks
 the documents of which it is surest among all unlabelled ones, and the other learns from those too. Each view's scores are then
 calibrated on labelled documents held back from training, and the calibrated log-odds are added with weights that are
 fitted there as well. Two targets share the views: low quality and toxic; a document is kept if neither is likely.
@@ -24,9 +24,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import prepare
-from .shared import documents, drop_table, persist_table
+from .shared import documents, drop_table, map_columns, persist_table
 
 LABELLED = 5_000
 #: Marked documents of a part, about.
@@ -59,8 +60,8 @@ class Features:
             out.append(zlib.crc32(b"\x02caps") & size)
         return tuple(out)
 
-    def text(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted feature ids and their values: 1 + log of the share in a thousand words, at least 1."""
+    def text(self, text: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted feature ids and their values: for words a damped log of their number, for layout 1."""
         known = self.known
         if len(known) > 500_000:
             known.clear()
@@ -70,14 +71,16 @@ class Features:
             if f is None:
                 f = known[w] = self.word(w)
             ids += f
-        if not ids:
-            return np.zeros(0, np.int32), np.zeros(0, np.float32)
-        at, many = np.unique(np.array(ids, np.int32), return_counts=True)
-        return at, (0.3 + np.log1p(many * (300.0 / (300.0 + len(words)))) / 3).astype(np.float32)
+        at, many = np.unique(np.array(ids, np.int32), return_counts=True) if ids else (np.zeros(0, np.int32), np.zeros(0))
+        value = 0.3 + np.log1p(many * (300.0 / (300.0 + len(words)))) / 3
+        shape = np.unique(np.array(self.layout(text, words), np.int32))
+        shape = shape[~np.isin(shape, at)]
+        order = np.argsort(both := np.concatenate([at, shape]), kind="stable")
+        return both[order], np.concatenate([value, np.ones(len(shape))])[order].astype(np.float32)
 
     @staticmethod
-    def meta(text: str, words: list[str], lang: str | None, source: str | None) -> list[int]:
-        """Metadata as ids: language, source, and the size and layout figures cut into steps."""
+    def layout(text: str, words: list[str]) -> list[int]:
+        """Figures of a text's size and layout, cut into steps, as ids."""
         n, nw = len(text), len(words)
         upper = sum(map(str.isupper, words))
         plain = sum(map(str.isalnum, words))
@@ -93,19 +96,31 @@ class Features:
             "marks": min(9, int(10 * sum(text.count(c) for c in "#*&%$!") / max(1, nw))),
             "kinds": int(20 * len(set(words)) / max(1, nw)),
             "urls": min(5, text.count("://")),
-            "lang": lang,
-            "source": source,
         }
-        return [zlib.crc32(f"{k}={v}".encode("utf-8", "surrogatepass")) % _META for k, v in figures.items()]
+        return [zlib.crc32(f"\x03{k}={v}".encode()) & (1 << BITS) - 1 for k, v in figures.items()]
+
+    @staticmethod
+    def meta(lang: str | None, source: str | None, size: int | None) -> list[int]:
+        """Metadata as ids: language, source, stated size in steps, and pairs of them."""
+        size = None if size is None else int(2 * math.log2(max(0, size) + 1))
+        known = {"lang": lang, "source": source, "size": size, "lang,source": (lang, source), "lang,size": (lang, size), "source,size": (source, size)}
+        return [zlib.crc32(f"{k}={v}".encode("utf-8", "surrogatepass")) % _META for k, v in known.items()]
+
+
+#: Columns that are read: the text and, where the table has them, the metadata.
+READS = ("text", "lang", "source", "n_chars")
 
 
-def rows_of(batch: pd.DataFrame, features: Features) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    lang = batch["lang"] if "lang" in batch else [None] * len(batch)
-    source = batch["source"] if "source" in batch else [None] * len(batch)
-    for text, a, b in zip(batch["text"], lang, source, strict=True):
-        text = text if isinstance(text, str) else ""
-        words = text.split()
-        yield *features.text(words), Features.meta(text, words, a, b)
+def read_columns(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns keep and READS, null for metadata that the table lacks."""
+    kinds = ("string", "string", "string", "long")
+    return docs.select(*keep, *[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in zip(READS, kinds, strict=True)])
+
+
+def rows_of(texts: list, langs: list, sources: list, sizes: list, features: Features) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    for text, a, b, n in zip(texts, langs, sources, sizes, strict=True):
+        words = (text or "").split()
+        yield *features.text(text or "", words), Features.meta(a, b, n)
 
 
 class Sparse:
@@ -346,19 +361,21 @@ def train_models(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -
     prepare(docs.sparkSession)
     truth = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
     first = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)  # bounded by the sample size
+    docs = read_columns(docs, ["doc_id"]).withColumn("tie", F.xxhash64("doc_id", "text"))
     sample = docs.filter("doc_id is not null").join(F.broadcast(first), "doc_id")
-    none = F.lit(None).cast("double")
-    rest = docs.join(truth.select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns, none.alias("q"), none.alias("t"))
+    rest = docs.join(truth.select("doc_id").hint("merge"), "doc_id", "left_anti")
+    packed_columns = StructType().add("ids", "binary").add("values", "binary").add("meta", "binary")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work():
         features = Features()
-        for batch in batches:
-            made = list(rows_of(batch, features))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "tie": batch["tie"], "q": batch["q"], "t": batch["t"], "ids": [m[0].astype(np.uint16).tobytes() for m in made], "values": [m[1].tobytes() for m in made], "meta": [np.array(m[2], np.uint16).tobytes() for m in made]})
 
-    schema = "doc_id long, tie long, q double, t double, ids binary, values binary, meta binary"
-    tie = F.xxhash64("doc_id", "text").alias("tie")
-    got = sample.select("*", tie).mapInPandas(run, schema).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+        def run(*columns: list) -> list:
+            made = list(rows_of(*columns, features))
+            return [[m[0].astype(np.uint16).tobytes() for m in made], [m[1].tobytes() for m in made], [np.array(m[2], np.uint16).tobytes() for m in made]]
+
+        return run
+
+    got = map_columns(sample, list(READS), ["doc_id", "q", "t"], packed_columns, work).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     views, learns = views_of(got), np.array([zlib.crc32(str(d).encode()) % 4 != 0 for d in got["doc_id"]], bool)
     truths, known = {}, {}
     for target, column, bad in (("low", "q", lambda v: v < 0.5), ("toxic", "t", lambda v: v >= 0.5)):
@@ -369,7 +386,7 @@ def train_models(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -
     both = Labelled(views, truths)
     models = {}
     if both.weight:
-        table = persist_table(rest.select("*", tie).mapInPandas(run, schema).select("tie", "ids", "values", "meta"))
+        table = persist_table(map_columns(rest, list(READS), ["tie"], packed_columns, work))
         models = co_train(both, table)
         drop_table(table)
     out = {}
@@ -396,34 +413,37 @@ def _score(model: dict, ids: np.ndarray, values: np.ndarray, meta: list[int]) ->
 SCORES = ("p_text", "p_meta", "p_low", "p_toxic")
 
 
-def score_documents(docs: DataFrame, models: dict[str, dict], low: float = 0.65, toxic: float = 0.5) -> DataFrame:
+def score_documents(docs: DataFrame, models: dict[str, dict], low: float = 0.65, toxic: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """Adds p_text and p_meta (low quality by each view), p_low and p_toxic (both views, calibrated) and kept.
 
-    kept is false if p_low is over low or p_toxic over toxic. Null and empty texts are scored by their metadata and the bias.
-    Columns of these names in the input are replaced; others pass through; language and source may be missing or null.
+    kept is false if p_low is over low or p_toxic over toxic. Null and empty texts are scored by their metadata and the bias,
+    long ones whole. Columns of these names in the input are replaced; others pass through, or only those named by keep;
+    language, source and n_chars may be missing or null. No rows give no rows.
     """
-    prepare(docs.sparkSession)
-    docs = docs.drop(*SCORES, "kept")
-    schema = docs.select("*", *[F.lit(0.0).alias(c) for c in SCORES], F.lit(True).alias("kept")).schema
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (*SCORES, "kept")]
+    made = StructType([StructField(c, DoubleType()) for c in SCORES]).add("kept", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(models)
+    have = [c for c in READS if c in docs.columns]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work():
         features, m = Features(), shared.value
-        for batch in batches:
-            out = np.zeros((len(batch), 4))
-            for k, (ids, values, meta) in enumerate(rows_of(batch, features)):
+
+        def run(*columns: list) -> list:
+            n = len(columns[0])
+            given = dict(zip(have, columns, strict=True))
+            out = np.zeros((n, 4))
+            for k, (ids, values, meta) in enumerate(rows_of(*[given.get(c, [None] * n) for c in READS], features)):
                 a, b, both = _score(m["low"], ids, values, meta)
                 out[k] = a, b, both, _score(m["toxic"], ids, values, meta)[2]
-            for k, c in enumerate(SCORES):
-                batch[c] = out[:, k]
-            batch["kept"] = (out[:, 2] <= low) & (out[:, 3] <= toxic)
-            yield batch
+            return [*out.T, (out[:, 2] <= low) & (out[:, 3] <= toxic)]
+
+        return run
 
-    return docs.mapInPandas(run, schema)
+    return map_columns(docs, have, keep, made, work)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, p_text, p_meta, p_low, p_toxic, kept."""
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    docs = documents(spark, sf_dir)
     models = train_models(docs, prepare(spark).read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_documents(docs, models).drop("text", "lang", "source")
+    return score_documents(docs, models, keep=["doc_id"])
