@@ -3,23 +3,31 @@
 A token's probability is that of its class given the two tokens before, times that of the token in its class. Frequent
 words are classes of their own; the others go to classes by a hash of their last letters, which also places words that
 training never saw. The class model is a softmax over features of the history: the previous class, the class before it (a
-skip feature), both in order (a trigram feature) and a bias. Each has weights of its own. It is trained on every training
-token: tokens with equal history are the same for the model, so counts of (history, class) are gathered once over the
-whole corpus and each gradient step runs over them in parallel. The weights of a trigram feature stay in the table with
-the counts of its history and move there; the sums for the others come back as one matrix of fixed size. Within a class, smoothed counts give the token's share, with one share for unseen words, so probabilities add to one.
-
-Counts of all words come from the whole corpus. Documents stay in blocks; each block sends its distinct words with their
-counts, and gets back the totals of those words only, so no task and no driver holds the vocabulary.
+skip feature), both in order (a trigram feature), the previous word (an n-gram feature, by a 64-bit hash of the word) and a
+bias. Each has weights of its own. Within a class, smoothed counts give the token's share, with one share for unseen
+words, so probabilities add to one.
+
+Training takes every training token, in two parts. The class features first: tokens with equal history are the same for
+them, so counts of (history, class) are gathered once over the whole corpus and each gradient step runs over them in
+parallel. The weights of a trigram feature stay in the table with the counts of its history and move there; the sums for
+the others come back as one matrix of fixed size. Then the words: counts of (word, next class) go out by the word's hash,
+and each task moves the weights of its own words, with the classes' shares after the word's class as the model to start
+from. That table has a row for each word seen LEAST_WORD times or more, so it grows with the corpus and is never gathered;
+a pair seen less than PAIR times in training, or a weight that rounds to nothing, has no entry.
+
+A first pass turns documents into blocks: one row with the token numbers of some megabytes of text and the words they stand
+for. A block sends the hashes of its distinct words out and gets back their totals and weights, so no task and no driver
+holds the vocabulary, and no later pass cuts texts into words again.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +40,25 @@ CLASSES, TOP = 256, 120
 #: Rows of the matrix of shared weights: bias, previous class and class before it, each of the two also "before the text".
 FEATURES = 1 + 2 * (CLASSES + 1)
 STEPS, RATE, L2 = 16, 0.4, 3.0
+#: Gradient steps for a word's weights, how often a word and a pair of word and class must be seen to have any, and steps of a stored weight to one.
+WORD_STEPS, LEAST_WORD, PAIR, FINE = 10, 16, 2, 16
 SMOOTH = 0.1
 #: Partitions of the table of histories, and so of matrices that a step brings to the driver.
 PARTS = 6
-#: Documents of a block share a look-up of words.
-BLOCK_DOCS = 5_000
+#: Bytes of text from which a block ends; a longer text is one block with those before it.
+BLOCK_BYTES = 16_000_000
 END = b""
 START = CLASSES  # stands for "before the text" in a history
 HISTORIES = (CLASSES + 1) ** 2
+SEED = 17
+
+
+def word_hash(w: bytes) -> int:
+    return xxhash.xxh64_intdigest(w, SEED)
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -52,111 +71,243 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-class Classes(dict):
-    """The class of each word, given the frequent ones; a mapping that works out and remembers words that it lacks."""
+def ending(w: bytes) -> int:
+    """The class of a word that is none of its own: by its last letters, without marks around them."""
+    if not w:
+        return 0
+    core = w.strip(b".,;:!?\"'()[]") or w
+    return 1 + TOP + zlib.crc32(core[-3:] if len(core) > 3 else b"." + core) % (CLASSES - 1 - TOP)
+
 
-    def __init__(self, top: list[bytes]) -> None:
-        super().__init__({END: 0} | {w: k for k, w in enumerate(top, 1)})
-        self.first, self.fixed = 1 + TOP, len(self)
+class Numbers(dict):
+    """A number for each word in the order in which they are met."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
-            for k in list(self)[self.fixed :]:
-                del self[k]
-        core = w.strip(b".,;:!?\"'()[]") or w
-        c = self[w] = self.first + zlib.crc32(core[-3:] if len(core) > 3 else b"." + core) % (CLASSES - self.first)
-        return c
+        k = self[w] = len(self)
+        return k
 
 
-def feature_rows(history: np.ndarray) -> np.ndarray:
-    """Rows of the shared weights for histories: bias, previous class, class before it."""
-    return np.column_stack([np.zeros_like(history), 1 + history // (CLASSES + 1), 2 + CLASSES + history % (CLASSES + 1)])
-
-
-def log_softmax(weights: np.ndarray, rows: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-    """Log-probabilities of the classes; own are the weights of the trigram feature of each row, 0 if not given."""
-    z = weights[rows[:, 0]] + weights[rows[:, 1]]
-    z += weights[rows[:, 2]]
-    if own is not None:
-        z += own
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+BLOCK = "block long, docs array<long>, ends binary, ids binary, words binary, counts binary"
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, text and block, written to the shared folder: rows in the order of the scan, at most BLOCK_DOCS a block."""
-    at = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_id"))
-    block = F.shiftright("_id", 33) * F.lit(1 << 24) + F.floor(F.col("_id").bitwiseAND((1 << 33) - 1) / BLOCK_DOCS)
-    return persist_table(at.select("doc_id", "text", block.cast("long").alias("block")))
+    """Columns BLOCK, written to the shared folder: documents in the order of the scan, cut at BLOCK_BYTES.
 
+    ends are the places after each document's last token, ids the numbers of the tokens, words what they stand for, one a
+    line, and counts how often training documents have each.
+    """
 
-def block_words(docs: DataFrame) -> DataFrame:
-    """block, word, n: the distinct tokens of each block, and how often its training documents have them (0 if never)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, counts, others = None, Counter(), set()
+        part, made = TaskContext.get().partitionId(), 0
+        number, docs, ids, size = Numbers({END: 0}), [], [], 0
 
-        def out() -> pd.DataFrame:
-            words = [*counts, *others.difference(counts)]
-            return pd.DataFrame({"block": now, "word": [w.decode("utf-8", "surrogatepass") for w in words], "n": [counts.get(w, 0) for w in words]})
+        def out() -> pa.RecordBatch:
+            flat, lengths = np.concatenate(ids), np.array([len(x) for x in ids])
+            learns = np.repeat(np.array([not held_out(d) for d in docs]), lengths)
+            counts = np.bincount(flat[learns], minlength=len(number)).astype(np.int32)
+            row = [part << 32 | made, docs, np.cumsum(lengths).astype(np.int64).tobytes(), flat.tobytes(), b"\n".join(number), counts.tobytes()]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["block", "docs", "ends", "ids", "words", "counts"])
 
         for batch in batches:
-            for doc, text, block in zip(batch["doc_id"], batch["text"], batch["block"], strict=True):
-                if block != now:
-                    if now is not None:
-                        yield out()
-                    now, counts, others = block, Counter(), set()
-                (others if held_out(_id(doc)) else counts).update(tokens_of(text))
-        if now is not None:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                tokens = tokens_of(text)
+                docs.append(doc)
+                ids.append(np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens)))
+                size += len(text or "")
+                if size >= BLOCK_BYTES:
+                    yield out()
+                    made += 1
+                    number, docs, ids, size = Numbers({END: 0}), [], [], 0
+        if docs:
             yield out()
 
-    return docs.mapInPandas(run, "block long, word string, n long")
+    return persist_table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BLOCK))
+
+
+def block_words(table: DataFrame) -> DataFrame:
+    """block, idx, h, n, e: the words of each block by their hash, how often its training documents have them, their ending's class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, counts in zip(*[batch.column(c).to_pylist() for c in ("block", "words", "counts")], strict=True):
+                words, counts = words.split(b"\n"), np.frombuffer(counts, np.int32).astype(np.int64)
+                h, e = hashes_of(words), np.fromiter(map(ending, words), np.int16, len(words))
+                for k in range(0, len(words), 50_000):
+                    n = len(words[k : k + 50_000])
+                    made = [np.full(n, block, np.int64), np.arange(k, k + n, dtype=np.int32), h[k : k + n], counts[k : k + n], e[k : k + n]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["block", "idx", "h", "n", "e"])
+
+    return table.select("block", "words", "counts").mapInArrow(run, "block long, idx int, h long, n long, e short")
+
 
+def words_with(table: DataFrame, wanted: list[int]) -> dict[int, bytes]:
+    """The words with the hashes wanted, which are few."""
 
-def _id(doc):
-    """The id as an integer; pandas turns integers with nulls among them into floats."""
-    return None if doc is None or doc != doc else int(doc)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want = set(wanted)
+        for batch in batches:
+            for words in batch.column("words").to_pylist():
+                words = words.split(b"\n")
+                hit = [(h, w) for h, w in zip(hashes_of(words).tolist(), words, strict=True) if h in want]
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in hit], pa.int64()), pa.array([w for _, w in hit], pa.binary())], names=["h", "w"])
+
+    return {r["h"]: bytes(r["w"]) for r in table.select("words").mapInArrow(run, "h long, w binary").distinct().collect()}
+
+
+def classes_of(words: list[bytes], top: dict[bytes, int]) -> np.ndarray:
+    get = top.get
+    return np.fromiter((get(w) or ending(w) for w in words), np.int64, len(words))
 
 
-def history_counts(docs: DataFrame, top: list[bytes]) -> DataFrame:
-    """history, counts over all training tokens: how often each class follows, as bytes of CLASSES 64-bit integers.
+def _before(x: np.ndarray, starts: np.ndarray, none: int) -> np.ndarray:
+    """The value before each place, none at the start of a document."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[starts] = none
+    return out
 
-    A task adds up its documents in one array of fixed size; rows of a history meet again in one partition.
+
+def pair_counts(table: DataFrame, top: dict[bytes, int], buckets: int) -> DataFrame:
+    """bucket, a, b, c, own as bytes over the training tokens of a block: what follows what, and how often.
+
+    Buckets below zero, -1 - history % PARTS: a are keys history * CLASSES + class, c their counts. The others, a word's hash %
+    buckets: a are hashes of words, own their classes, b how many entries each has in c, which holds classes, 16 bits each, and
+    then counts, 32 bits each. The end counts as no word before the next document's first.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, counts = Classes(top), np.zeros((HISTORIES, CLASSES), np.int32)  # of one task
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if not held_out(_id(doc)):
-                    tokens = tokens_of(text)
-                    c = np.fromiter(map(classes.__getitem__, tokens), np.int64, len(tokens))
-                    np.add.at(counts.reshape(-1), _history(c) * CLASSES + c, 1)
-        has = np.flatnonzero(counts.any(axis=1))
-        for k in range(0, len(has), 2000):
-            h = has[k : k + 2000]
-            yield pd.DataFrame({"history": h, "counts": [x.astype(np.int64).tobytes() for x in counts[h]]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
+            for docs, ends, ids, words in zip(*[batch.column(c).to_pylist() for c in ("docs", "ends", "ids", "words")], strict=True):
+                words, ids, ends = words.split(b"\n"), np.frombuffer(ids, np.int32), np.frombuffer(ends, np.int64)
+                starts = np.concatenate(([0], ends[:-1]))
+                learns = np.repeat(np.array([not held_out(d) for d in docs]), ends - starts)
+                own = classes_of(words, top)
+                cls = own[ids]
+                c1 = _before(cls, starts, START)
+                c2 = _before(c1, starts, START)
+                key, many = np.unique((c1 * (CLASSES + 1) + c2)[learns] * CLASSES + cls[learns], return_counts=True)
+                out = []
+                part = key // CLASSES % PARTS
+                for p in range(PARTS):
+                    m = part == p
+                    out.append((-1 - p, key[m].astype(np.int32).tobytes(), None, many[m].astype(np.int32).tobytes(), None))
+                w1 = _before(ids.astype(np.int64), starts, -1)
+                use = learns & (w1 >= 0)
+                key, many = np.unique(w1[use] * CLASSES + cls[use], return_counts=True)
+                word, first, size = np.unique(key // CLASSES, return_index=True, return_counts=True)
+                h = hashes_of([words[k] for k in word.tolist()])
+                bucket = h.view(np.uint64) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    o = order[cuts[b] : cuts[b + 1]]
+                    at = np.repeat(first[o] - np.concatenate(([0], np.cumsum(size[o])[:-1])), size[o]) + np.arange(size[o].sum())
+                    out.append((b, h[o].tobytes(), size[o].astype(np.int16).tobytes(), (key[at] % CLASSES).astype(np.int16).tobytes() + many[at].astype(np.int32).tobytes(), own[word[o]].astype(np.int16).tobytes()))
+                for k in range(0, len(out), 64):
+                    rows = list(zip(*out[k : k + 64], strict=True))
+                    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types, strict=True)], names=["bucket", "a", "b", "c", "own"])
+
+    return table.select("docs", "ends", "ids", "words").mapInArrow(run, "bucket int, a binary, b binary, c binary, own binary")
+
+
+def history_counts(pairs: DataFrame) -> DataFrame:
+    """history, counts over all training tokens: how often each class follows, as bytes of CLASSES 64-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # of fixed size: the histories of a part
         for batch in batches:
-            for h, x in zip(batch["history"], batch["counts"], strict=True):
-                x = np.frombuffer(x, np.int64)
-                total[h] = total[h] + x if h in total else x
-        has = list(total)
-        for k in range(0, len(has), 2000):
-            h = has[k : k + 2000]
-            yield pd.DataFrame({"history": h, "counts": [total[x].tobytes() for x in h]})
+            for bucket, a, c in zip(*[batch.column(x).to_pylist() for x in ("bucket", "a", "c")], strict=True):
+                part = -1 - bucket
+                key, n = np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(c, np.int32)
+                if part not in total:
+                    total[part] = np.zeros((HISTORIES // PARTS + 1) * CLASSES, np.int64)
+                total[part][key // CLASSES // PARTS * CLASSES + key % CLASSES] += n
+        for part, counts in total.items():
+            counts = counts.reshape(-1, CLASSES)
+            has = np.flatnonzero(counts.any(axis=1))
+            for k in range(0, len(has), 1000):
+                at = has[k : k + 1000]
+                yield pa.RecordBatch.from_arrays([pa.array(at * PARTS + part), pa.array([x.tobytes() for x in counts[at]], pa.binary())], names=["history", "counts"])
+
+    return pairs.filter("bucket < 0").select("bucket", "a", "c").repartition(PARTS, "bucket").mapInArrow(run, "history long, counts binary")
+
+
+def word_weights(pairs: DataFrame, shares: np.ndarray, buckets: int) -> DataFrame:
+    """h, cls, weights: the weights of words seen LEAST_WORD times or more, as bytes: classes, and weights in steps of 1 / FINE.
+
+    shares has the classes' probabilities after each class, which are where a word's weights start from.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast(np.log(shares))
+
+    def learn(own: np.ndarray, row: np.ndarray, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Weights of entries (row, cls, n) of words whose classes are own."""
+        start, many = shared.value[own], np.bincount(row, n, len(own))
+        w, use = np.zeros(len(n)), n >= PAIR
+        for _ in range(WORD_STEPS):
+            z = start.copy()
+            z[row, cls] += w
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            expected = many[row] * (z[row, cls] / z.sum(axis=1)[row])
+            w = np.where(use, w + np.clip((n - expected - L2 * w) / (expected + L2), -1.0, 1.0), 0.0)
+        return w
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for bucket, *bytes_ in zip(*[batch.column(x).to_pylist() for x in ("bucket", "a", "b", "c", "own")], strict=True):
+                held.setdefault(bucket, []).append(bytes_)
+        for some in held.values():
+            h = np.concatenate([np.frombuffer(a, np.int64) for a, *_ in some])
+            size = np.concatenate([np.frombuffer(b, np.int16) for _, b, *_ in some]).astype(np.int64)
+            own = np.concatenate([np.frombuffer(o, np.int16) for *_, o in some]).astype(np.int64)
+            cls = np.concatenate([np.frombuffer(c, np.int16, len(c) // 6) for _, _, c, _ in some]).astype(np.int64)
+            n = np.concatenate([np.frombuffer(c, np.int32, len(c) // 6, len(c) // 3) for _, _, c, _ in some]).astype(np.float64)
+            some.clear()
+            words, first, at = np.unique(h, return_index=True, return_inverse=True)
+            key, inverse = np.unique(np.repeat(at, size) * CLASSES + cls, return_inverse=True)
+            n = np.bincount(inverse, n)
+            word, cls = key // CLASSES, key % CLASSES
+            keep = np.bincount(word, n, len(words)) >= LEAST_WORD
+            own, number = own[first], np.cumsum(keep) - 1
+            m = keep[word]
+            word, cls, n, h, own = number[word[m]], cls[m], n[m], words[keep], own[keep]
+            cuts = np.searchsorted(word, np.arange(0, len(h) + 2048, 2048))
+            for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                mine = slice(k * 2048, (k + 1) * 2048)
+                if i == j:
+                    continue
+                w = np.clip(np.rint(FINE * learn(own[mine], word[i:j] - k * 2048, cls[i:j], n[i:j])), -127, 127).astype(np.int8)
+                has = w != 0
+                row, c, w = word[i:j][has] - k * 2048, cls[i:j][has].astype(np.uint8), w[has]
+                ends = np.searchsorted(row, np.arange(len(own[mine]) + 1))
+                some_h = [x for x, (a, b) in zip(h[mine].tolist(), zip(ends[:-1], ends[1:], strict=True), strict=True) if b > a]
+                cut = [(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(some_h, pa.int64()), pa.array([c[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([w[a:b].tobytes() for a, b in cut], pa.binary())], names=["h", "cls", "weights"])
+
+    return pairs.filter("bucket >= 0").repartition(buckets, "bucket").mapInArrow(run, "h long, cls binary, weights binary")
 
-    each = docs.select("doc_id", "text").mapInPandas(run, "history long, counts binary")
-    return each.repartition("history").mapInPandas(add, "history long, counts binary")
 
+def feature_rows(history: np.ndarray) -> np.ndarray:
+    """Rows of the shared weights for histories: bias, previous class, class before it."""
+    return np.column_stack([np.zeros_like(history), 1 + history // (CLASSES + 1), 2 + CLASSES + history % (CLASSES + 1)])
 
-def _history(c: np.ndarray) -> np.ndarray:
-    c1 = np.concatenate(([START], c[:-1]))
-    c2 = np.concatenate(([START], c1[:-1]))
-    return c1 * (CLASSES + 1) + c2
+
+def log_softmax(weights: np.ndarray, rows: np.ndarray, own: np.ndarray | None = None, more: tuple | None = None) -> np.ndarray:
+    """Log-probabilities of the classes; own are the weights of the trigram feature of each row, more (row, class, weight) those of words."""
+    z = weights[rows[:, 0]] + weights[rows[:, 1]]
+    z += weights[rows[:, 2]]
+    if own is not None:
+        z += own
+    if more is not None:
+        z[more[0], more[1]] += more[2]
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
 
 
 def _moved(weights: np.ndarray, start: np.ndarray | float, observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -165,8 +316,10 @@ def _moved(weights: np.ndarray, start: np.ndarray | float, observed: np.ndarray,
     return weights + np.clip(RATE * gradient / (expected + L2 + 2.0), -1.0, 1.0).astype(np.float32)
 
 
-def train(counts: DataFrame, steps: int = STEPS) -> tuple[np.ndarray, DataFrame]:
-    """The shared weights, and a table of history and own, the weights of its trigram feature as bytes, by distributed gradient steps.
+def train(counts: DataFrame, steps: int = STEPS) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """The shared weights, a table of history and own, the weights of its trigram feature as bytes, and observed counts of feature rows.
+
+    By distributed gradient steps.
 
     A step sends the shared weights out; each task sums the expected counts of its histories by feature row and class, and
     the shared weights move on the driver. With the weights from before the step each history's own ones move in place,
@@ -231,109 +384,122 @@ def train(counts: DataFrame, steps: int = STEPS) -> tuple[np.ndarray, DataFrame]
         expected, new = sums(weights), moved(weights)
         drop_table(table)
         weights, table = _moved(weights, start, observed, expected).astype(np.float32), new
-    return weights, table
+    return weights, table, observed
 
 
-def class_totals(totals: DataFrame, top: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens and distinct training words of each class."""
+def collect_own(table: DataFrame) -> np.ndarray:
+    """The trigram weights of all histories, at most HISTORIES rows, as 16-bit floats."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes = Classes(top)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = np.array([classes[w.encode("utf-8", "surrogatepass")] for w in batch["word"]], np.int64)
-            yield pd.DataFrame({"class": np.arange(CLASSES), "n": np.bincount(c, batch["n"], CLASSES).astype(np.int64), "v": np.bincount(c, minlength=CLASSES)})
+            short = [np.frombuffer(x, np.float32).astype(np.float16).tobytes() for x in batch.column("own").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("history"), pa.array(short, pa.binary())], names=["history", "own"])
+
+    own = np.zeros((HISTORIES, CLASSES), np.float16)
+    for part in range(PARTS):  # a part at a time, to keep the driver small
+        some = table.filter(f"own is not null and history % {PARTS} = {part}").select("history", "own")
+        got = some.mapInArrow(run, "history long, own binary").toArrow()
+        for h, x in zip(got.column("history").to_pylist(), got.column("own"), strict=True):
+            own[h] = np.frombuffer(x.as_buffer(), np.float16)
+    return own
+
 
-    got = totals.mapInPandas(run, "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
-    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
-    n[got["class"]], v[got["class"]] = got["n"], got["v"]
-    return n, v
+def shares_after(observed: np.ndarray) -> np.ndarray:
+    """The probability of each class after each class (the last: at the start) from the counts of feature rows, smoothed by all."""
+    all_, after = observed[0] + 1.0, observed[1 : CLASSES + 2]
+    return (after + 20.0 * all_ / all_.sum()) / (after.sum(axis=1, keepdims=True) + 20.0)
 
 
 def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     The model learns from the documents whose crc32 of the id is not a multiple of 10. A null text counts as an empty
-    one, which has the end as its only token; repeated ids and equal rows are documents of their own. No documents give no rows.
+    one, which has the end as its only token; repeated ids and equal rows are documents of their own; of words seen equally
+    often those of the smaller hash become classes; long texts are scored whole. No documents give no rows.
     """
-    prepare(docs.sparkSession)
-    docs = blocks(docs.select("doc_id", "text"))
-    words = persist_table(block_words(docs))
-    totals = persist_table(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
+    spark = prepare(docs.sparkSession)
+    table = blocks(docs.select("doc_id", "text"))
+    words = block_words(table)
+    totals = persist_table(words.groupBy("h").agg(F.sum("n").alias("n"), F.max("e").alias("e")).filter("n > 0"))
     size = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = int(size["n"]), int(size["v"])
-    top = [r["word"].encode("utf-8", "surrogatepass") for r in totals.filter("word <> ''").orderBy(F.desc("n"), "word").limit(TOP).collect()]
-    weights, table = train(history_counts(docs, top), steps)
-    got = table.filter("own is not null").select("history", "own").toPandas()  # at most HISTORIES rows
-    own = np.zeros((HISTORIES, CLASSES), np.float32)
-    for h, x in zip(got["history"], got["own"], strict=True):
-        own[h] = np.frombuffer(x, np.float32)
-    del got
-    drop_table(table)
-    cn, cv = class_totals(totals, top)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, own, cn, cv, top))
-    counts = words.select("block", "word").join(totals, "word").select("block", "word", "n")
-
-    def run(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    end = int(np.uint64(word_hash(END)).view(np.int64))
+    best = totals.filter(F.col("h") != end).orderBy(F.desc("n"), "h").limit(TOP).collect()
+    of = words_with(table, [r["h"] for r in best]) if best else {}
+    top = {of[r["h"]]: k for k, r in enumerate(best, 1)}
+    cv = np.zeros(CLASSES)
+    for r in totals.groupBy("e").count().collect():
+        cv[r["e"]] = r["count"]
+    for k, r in enumerate(best, 1):
+        cv[r["e"]] -= 1
+        cv[k] += 1
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table.count())
+    pairs = persist_table(pair_counts(table, top, buckets))
+    weights, histories, observed = train(history_counts(pairs), steps)
+    own = collect_own(histories)
+    drop_table(histories)
+    found = persist_table(word_weights(pairs, shares_after(observed), buckets))
+    drop_table(pairs)
+    known = totals.select("h", "n").join(found, "h", "left")
+    mine = words.select("block", "idx", "h").join(known, "h").drop("h")
+    shared = spark.sparkContext.broadcast((weights, own, observed[0], cv, top))
+
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
         weights, own, cn, cv, top = shared.value
-        classes, words = Classes(top), [w.encode("utf-8", "surrogatepass") for w in known["word"]]
-
-        class Numbers(dict):
-            """A number for each word; words without a count get one when they are met."""
-
-            def __missing__(self, w: bytes) -> int:
-                k = self[w] = len(self)
-                unseen.append(classes[w])
-                return k
-
-        unseen: list[int] = []
-        number = Numbers(zip(words, range(len(words)), strict=True))
-        word_class = np.fromiter((classes[w] for w in words), np.int32, len(words))
-        word_count = known["n"].to_numpy(np.float64)
+        row = {c: block.column(c)[0].as_py() for c in ("ends", "ids", "words")}
+        docs = block.column("docs")[0].as_py()
+        words, ids, ends = row["words"].split(b"\n"), np.frombuffer(row["ids"], np.int32), np.frombuffer(row["ends"], np.int64)
+        starts = np.concatenate(([0], ends[:-1]))
+        cls = classes_of(words, top)
+        idx = known.column("idx").to_numpy()
+        count = np.zeros(len(words))
+        count[idx] = known.column("n").to_numpy()
+        # entries of a word's weights: from first[w] on, as many as size[w]
+        mine_c = known.column("cls").to_pylist()
+        lengths = np.fromiter((len(x) if x else 0 for x in mine_c), np.int64, len(mine_c))
+        entry_c = np.frombuffer(b"".join(x for x in mine_c if x), np.uint8).astype(np.int64)
+        entry_w = np.frombuffer(b"".join(x for x in known.column("weights").to_pylist() if x), np.int8).astype(np.float32) / FINE
+        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        first[idx], size[idx] = np.cumsum(lengths) - lengths, lengths
+        word = cls[ids]
+        c1 = _before(word, starts, START)
+        history = c1 * (CLASSES + 1) + _before(c1, starts, START)
+        w1 = _before(ids.astype(np.int64), starts, 0)
+        # the end, which is number 0, is before no token, so it stands for words without weights
+        w1 = np.where(size[w1] > 0, w1, 0)
+        w1[starts] = 0
+        key, at = np.unique(w1 * HISTORIES + history, return_inverse=True)
+        logp = np.empty(len(ids))
+        order = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange(0, len(key) + 2048, 2048))
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            some, o = key[k * 2048 : (k + 1) * 2048], order[a:b]
+            if not len(some):
+                continue
+            w, h = some // HISTORIES, some % HISTORIES
+            many = np.where(w > 0, size[w], 0)
+            r = np.repeat(np.arange(len(w)), many)
+            e = np.repeat(first[w] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            z = log_softmax(weights, feature_rows(h), own[h].astype(np.float32), (r, entry_c[e], entry_w[e]))
+            logp[o] = z[at[o] - k * 2048, word[o]]
+        share = np.log10(count + SMOOTH)
+        base = np.log10(n_all + SMOOTH * (v_all + 1))
         in_class = np.log10(cn + SMOOTH * (cv + 1))
-        base_of = np.log10(n_all + SMOOTH * (v_all + 1))
-        made, held = [], []
-
-        def flush() -> None:
-            if not held:
-                return
-            ids, ends = np.concatenate(held), np.cumsum([len(x) for x in held])
-            starts = np.concatenate(([0], ends[:-1]))
-            cls = np.concatenate((word_class, np.array(unseen, np.int32)))[ids]
-            n = np.concatenate((word_count, np.zeros(len(unseen))))[ids]
-            c1 = np.concatenate(([START], cls[:-1]))
-            c1[starts] = START
-            c2 = np.concatenate(([START], c1[:-1]))
-            c2[starts] = START
-            history, at = np.unique(c1 * (CLASSES + 1) + c2, return_inverse=True)
-            logp = np.empty(len(cls), np.float64)
-            order = np.argsort(at, kind="stable")
-            cuts = np.searchsorted(at[order], np.arange(0, len(history) + 4096, 4096))
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                h, o = history[k * 4096 : (k + 1) * 4096], order[a:b]
-                if len(h):
-                    logp[o] = log_softmax(weights, feature_rows(h), own[h])[at[o] - k * 4096, cls[o]] / np.log(10)
-            share = np.log10(n + SMOOTH)
-            made.append(np.column_stack([ends - starts, np.add.reduceat((n > 0).astype(np.int64), starts), np.add.reduceat(share - base_of, starts), np.add.reduceat(logp + share - in_class[cls], starts)]))
-            held.clear()
-
-        size = 0
-        for text in mine["text"]:
-            tokens = tokens_of(text)
-            held.append(np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens)))
-            size += len(tokens)
-            if size > 500_000:
-                flush()
-                size = 0
-        flush()
-        got = np.concatenate(made) if made else np.zeros((0, 4))
-        out = pd.DataFrame({"doc_id": mine["doc_id"]})
-        out["held_out"] = [held_out(_id(d)) for d in mine["doc_id"]]
-        out["n_tokens"], out["n_known"], out["train_tokens"] = got[:, 0].astype(np.int64), got[:, 1].astype(np.int64), n_all
-        out["base_score"], out["score"] = got[:, 2], got[:, 3]
-        return out
+        share = share[ids]
+        per = lambda x: np.add.reduceat(x, starts)
+        made = {
+            "doc_id": pa.array(docs, pa.int64()),
+            "held_out": pa.array([held_out(d) for d in docs]),
+            "n_tokens": pa.array(ends - starts),
+            "n_known": pa.array(per((count > 0).astype(np.int64)[ids])),
+            "train_tokens": pa.array(np.full(len(docs), n_all, np.int64)),
+            "base_score": pa.array(per(share - base)),
+            "score": pa.array(per(logp / np.log(10) + share - in_class[word])),
+        }
+        return pa.table(made)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(run, schema)
+    return table.select("block", "docs", "ends", "ids", "words").groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(run, schema)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

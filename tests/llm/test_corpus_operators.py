@@ -187,11 +187,36 @@ def test_lm(spark):
 
 
 def test_lm_probabilities_add_to_one():
-    classes = lm_score.Classes([b"the"])
     w = np.random.default_rng(0).normal(size=(lm_score.FEATURES, lm_score.CLASSES)).astype(np.float32)
-    p = np.exp(lm_score.log_softmax(w, lm_score.feature_rows(np.arange(50))))
+    more = (np.array([0, 0, 3]), np.array([5, 7, 9]), np.array([1.5, -2.0, 3.0], np.float32))
+    p = np.exp(lm_score.log_softmax(w, lm_score.feature_rows(np.arange(50)), None, more))
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    assert classes[b"the"] == 1 and classes[b""] == 0 and lm_score.TOP < classes[b"unseen"] < lm_score.CLASSES
+    assert lm_score.classes_of([b"the", b"", b"unseen"], {b"the": 1}).tolist()[:2] == [1, 0] and lm_score.TOP < lm_score.ending(b"unseen") < lm_score.CLASSES
+
+
+def test_lm_words_have_weights_of_their_own(spark):
+    """Two words of one class are followed by different words, which only a word's own weights can tell."""
+    r = random.Random(8)
+    a, b = "ringing", "singing"
+    assert lm_score.ending(a.encode()) == lm_score.ending(b.encode())
+    fill = [f"{x}{y}{z}" for x in "bcdfg" for y in "aeiou" for z in "lmnprst"]
+    docs = [(k, " ".join(x for _ in range(30) for x in ((a, "bells") if r.random() < 0.5 else (b, "songs")) + tuple(r.sample(fill, 6)))) for k in range(60)]
+    table = lm_score.blocks(spark.createDataFrame(docs, DOCS))
+    top = {w.encode(): k for k, w in enumerate(fill[:118], 1)}
+    pairs = lm_score.pair_counts(table, top, 3)
+    n = np.ones((lm_score.FEATURES, lm_score.CLASSES))
+    got = {x.h: (np.frombuffer(x.cls, np.uint8), np.frombuffer(x.weights, np.int8) / lm_score.FINE) for x in lm_score.word_weights(pairs, lm_score.shares_after(n), 3).collect()}
+    at = lambda w: got[int(np.uint64(lm_score.word_hash(w.encode())).view(np.int64))]
+    bells, songs = (lm_score.ending(w) for w in (b"bells", b"songs"))
+    one, two = (dict(zip(*(x.tolist() for x in at(w)), strict=True)) for w in (a, b))
+    assert one[bells] > 2 and two[songs] > 2 and songs not in one and bells not in two
+
+
+def test_lm_ids_beside_nulls(spark):
+    big = (1 << 60) + 1
+    got = lm_score.score_documents(spark.createDataFrame([(big, "a b c"), (None, "a b"), (big + 1, None)], DOCS)).collect()
+    assert {x.doc_id for x in got} == {big, big + 1, None}
+    assert {x.doc_id: x.held_out for x in got}[big] == (zlib.crc32(str(big).encode()) % 10 == 0)
 
 
 def test_quality(spark):
@@ -272,10 +297,10 @@ def test_quality_takes_pseudo_labels_from_all_unlabelled_rows(spark, monkeypatch
 def test_lm_tells_histories_apart_by_both_classes(spark):
     """A class follows from the class two back; its number differs from another's by 32, and no two histories share a weight."""
     assert lm_score.HISTORIES == 257 * 257 and len({tuple(r) for r in lm_score.feature_rows(np.arange(lm_score.HISTORIES)).tolist()}) == lm_score.HISTORIES
-    top = [b"w%d" % k for k in range(lm_score.TOP)]
+    top = {b"w%d" % k: k + 1 for k in range(lm_score.TOP)}
     text = " ".join(["w0 w5 w9"] * 60 + ["w32 w5 w77"] * 60)
     docs = spark.createDataFrame([(k, text) for k in range(1, 6)], DOCS)
-    weights, table = lm_score.train(lm_score.history_counts(docs, top))
+    weights, table, _ = lm_score.train(lm_score.history_counts(lm_score.pair_counts(lm_score.blocks(docs), top, 2)))
     own = {r.history: np.frombuffer(r.own, np.float32) for r in table.collect()}
     one, two = (c1 * 257 + c2 for c1, c2 in ((6, 1), (6, 33)))
     for h, right, wrong in ((one, 10, 78), (two, 78, 10)):
