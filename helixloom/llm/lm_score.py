@@ -12,12 +12,13 @@ them, so counts of (history, class) are gathered once over the whole corpus and
 parallel. The weights of a trigram feature stay in the table with the counts of its history and move there; the sums for
 the others come back as one matrix of fixed size. Then the words: counts of (word, next class) go out by the word's hash,
 and each task moves the weights of its own words, with the classes' shares after the word's class as the model to start
-from. That table has a row for each word seen LEAST_WORD times or more, so it grows with the corpus and is never gathered;
+from. Words seen LEAST_WORD times or more have weights, so what is learnt grows with the corpus, and it is never gathered;
 a pair seen less than PAIR times in training, or a weight that rounds to nothing, has no entry.
 
 A first pass turns documents into blocks: one row with the token numbers of some megabytes of text and the words they stand
-for. A block sends the hashes of its distinct words out and gets back their totals and weights, so no task and no driver
-holds the vocabulary, and no later pass cuts texts into words again.
+for. A block sends its distinct words by their hashes to buckets, packed, and a bucket answers each block with the totals
+and weights of the words that it asked for, so no task and no driver holds the vocabulary, and no later pass cuts texts
+into words again.
 """
 
 from __future__ import annotations
@@ -46,7 +47,9 @@ SMOOTH = 0.1
 #: Partitions of the table of histories, and so of matrices that a step brings to the driver.
 PARTS = 6
 #: Bytes of text from which a block ends; a longer text is one block with those before it.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 6_000_000
+#: Words that blocks send to a bucket, about.
+BUCKET_WORDS = 1_000_000
 END = b""
 START = CLASSES  # stands for "before the text" in a history
 HISTORIES = (CLASSES + 1) ** 2
@@ -87,7 +90,7 @@ class Numbers(dict):
         return k
 
 
-BLOCK = "block long, docs array<long>, ends binary, ids binary, words binary, counts binary"
+BLOCK = "block long, docs array<long>, ends binary, ids binary, words binary, counts binary, n_words long"
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -107,9 +110,9 @@ def blocks(docs: DataFrame) -> DataFrame:
             flat, lengths = np.concatenate(ids), np.array([len(x) for x in ids])
             learns = np.repeat(np.array([not held_out(d) for d in docs]), lengths)
             counts = np.bincount(flat[learns], minlength=len(number)).astype(np.int32)
-            row = [part << 32 | made, docs, np.cumsum(lengths).astype(np.int64).tobytes(), flat.tobytes(), b"\n".join(number), counts.tobytes()]
-            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["block", "docs", "ends", "ids", "words", "counts"])
+            row = [part << 32 | made, docs, np.cumsum(lengths).astype(np.int64).tobytes(), flat.tobytes(), b"\n".join(number), counts.tobytes(), len(number)]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["block", "docs", "ends", "ids", "words", "counts", "n_words"])
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -127,20 +130,55 @@ def blocks(docs: DataFrame) -> DataFrame:
     return persist_table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BLOCK))
 
 
-def block_words(table: DataFrame) -> DataFrame:
-    """block, idx, h, n, e: the words of each block by their hash, how often its training documents have them, their ending's class."""
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types.values(), strict=True)], names=list(types))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def dealt(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by bucket, and where each bucket starts and the last ends in it."""
+    bucket = h.view(np.uint64) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _buckets_of(batches: Iterator[pa.RecordBatch], columns: list[str]) -> dict[int, list[tuple]]:
+    held: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for bucket, *rest in zip(*[batch.column(x).to_pylist() for x in ("bucket", *columns)], strict=True):
+            held.setdefault(bucket, []).append(tuple(rest))
+    return held
+
+
+def word_figures(table: DataFrame, buckets: int) -> DataFrame:
+    """v, n, e and h: of each class e of endings the distinct training words and their tokens, h null; and frequent words, v null.
+
+    Each bucket names its TOP + 1 most frequent words, so the TOP of all but the end are among them.
+    """
+    ask = {"bucket": pa.int32(), "h": pa.binary(), "n": pa.binary(), "e": pa.binary()}
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, words, counts in zip(*[batch.column(c).to_pylist() for c in ("block", "words", "counts")], strict=True):
-                words, counts = words.split(b"\n"), np.frombuffer(counts, np.int32).astype(np.int64)
+            for words, n in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                words, n = words.split(b"\n"), np.frombuffer(n, np.int32)
+                words, n = [w for w, k in zip(words, n.tolist(), strict=True) if k], n[n > 0]
                 h, e = hashes_of(words), np.fromiter(map(ending, words), np.int16, len(words))
-                for k in range(0, len(words), 50_000):
-                    n = len(words[k : k + 50_000])
-                    made = [np.full(n, block, np.int64), np.arange(k, k + n, dtype=np.int32), h[k : k + n], counts[k : k + n], e[k : k + n]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["block", "idx", "h", "n", "e"])
+                order, cuts = dealt(h, buckets)
+                h, n, e = h[order], n[order], e[order]
+                some = [(b, h[i:j].tobytes(), n[i:j].tobytes(), e[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
+                yield _batch(some, ask)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _buckets_of(batches, ["h", "n", "e"]).values():
+            h, first, at = np.unique(np.concatenate([np.frombuffer(x[0], np.int64) for x in some]), return_index=True, return_inverse=True)
+            n = np.bincount(at, np.concatenate([np.frombuffer(x[1], np.int32) for x in some])).astype(np.int64)
+            e = np.concatenate([np.frombuffer(x[2], np.int16) for x in some])[first].astype(np.int64)
+            v, tokens, best = np.bincount(e, minlength=CLASSES), np.bincount(e, n, CLASSES), np.lexsort((h, -n))[: TOP + 1]
+            rows = [(int(v[k]), int(tokens[k]), int(k), None) for k in np.flatnonzero(v)] + [(None, int(n[k]), int(e[k]), int(h[k])) for k in best]
+            yield _batch(rows, {"v": pa.int64(), "n": pa.int64(), "e": pa.int32(), "h": pa.int64()})
 
-    return table.select("block", "words", "counts").mapInArrow(run, "block long, idx int, h long, n long, e short")
+    sent = table.select("words", "counts").mapInArrow(send, "bucket int, h binary, n binary, e binary")
+    return persist_table(sent.repartition(buckets, "bucket").mapInArrow(count, "v long, n long, e int, h long"))
 
 
 def words_with(table: DataFrame, wanted: list[int]) -> dict[int, bytes]:
@@ -171,17 +209,18 @@ def _before(x: np.ndarray, starts: np.ndarray, none: int) -> np.ndarray:
 
 
 def pair_counts(table: DataFrame, top: dict[bytes, int], buckets: int) -> DataFrame:
-    """bucket, a, b, c, own as bytes over the training tokens of a block: what follows what, and how often.
+    """What follows what, and how often, over the training tokens of each block: block, bucket and packed columns, two kinds of rows.
 
-    Buckets below zero, -1 - history % PARTS: a are keys history * CLASSES + class, c their counts. The others, a word's hash %
-    buckets: a are hashes of words, own their classes, b how many entries each has in c, which holds classes, 16 bits each, and
-    then counts, 32 bits each. The end counts as no word before the next document's first.
+    Of buckets below zero, -1 - history % PARTS: h are keys history * CLASSES + class, n their counts. Of the others, by words'
+    hashes: h are the hashes of the block's words, n their training tokens, own their classes, size how many entries each has in
+    cls and many, the classes that follow it and how often. What is before a document's first token is no word.
     """
+    types = {"block": pa.int64(), "bucket": pa.int32()} | dict.fromkeys(("h", "n", "own", "size", "cls", "many"), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, ends, ids, words in zip(*[batch.column(c).to_pylist() for c in ("docs", "ends", "ids", "words")], strict=True):
-                words, ids, ends = words.split(b"\n"), np.frombuffer(ids, np.int32), np.frombuffer(ends, np.int64)
+            for block, docs, ends, ids, words, n in zip(*[batch.column(c).to_pylist() for c in ("block", "docs", "ends", "ids", "words", "counts")], strict=True):
+                words, ids, ends, n = words.split(b"\n"), np.frombuffer(ids, np.int32), np.frombuffer(ends, np.int64), np.frombuffer(n, np.int32)
                 starts = np.concatenate(([0], ends[:-1]))
                 learns = np.repeat(np.array([not held_out(d) for d in docs]), ends - starts)
                 own = classes_of(words, top)
@@ -189,29 +228,29 @@ def pair_counts(table: DataFrame, top: dict[bytes, int], buckets: int) -> DataFr
                 c1 = _before(cls, starts, START)
                 c2 = _before(c1, starts, START)
                 key, many = np.unique((c1 * (CLASSES + 1) + c2)[learns] * CLASSES + cls[learns], return_counts=True)
-                out = []
-                part = key // CLASSES % PARTS
+                part, out = key // CLASSES % PARTS, []
                 for p in range(PARTS):
                     m = part == p
-                    out.append((-1 - p, key[m].astype(np.int32).tobytes(), None, many[m].astype(np.int32).tobytes(), None))
+                    out.append((block, -1 - p, key[m].astype(np.int32).tobytes(), many[m].astype(np.int32).tobytes(), None, None, None, None))
+                yield _batch(out, types)
                 w1 = _before(ids.astype(np.int64), starts, -1)
                 use = learns & (w1 >= 0)
-                key, many = np.unique(w1[use] * CLASSES + cls[use], return_counts=True)
-                word, first, size = np.unique(key // CLASSES, return_index=True, return_counts=True)
-                h = hashes_of([words[k] for k in word.tolist()])
-                bucket = h.view(np.uint64) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    o = order[cuts[b] : cuts[b + 1]]
-                    at = np.repeat(first[o] - np.concatenate(([0], np.cumsum(size[o])[:-1])), size[o]) + np.arange(size[o].sum())
-                    out.append((b, h[o].tobytes(), size[o].astype(np.int16).tobytes(), (key[at] % CLASSES).astype(np.int16).tobytes() + many[at].astype(np.int32).tobytes(), own[word[o]].astype(np.int16).tobytes()))
-                for k in range(0, len(out), 64):
-                    rows = list(zip(*out[k : k + 64], strict=True))
-                    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types, strict=True)], names=["bucket", "a", "b", "c", "own"])
-
-    return table.select("docs", "ends", "ids", "words").mapInArrow(run, "bucket int, a binary, b binary, c binary, own binary")
+                order, cuts = dealt(hashes_of(words), buckets)
+                place = np.empty(len(words), np.int64)
+                place[order] = np.arange(len(words))
+                key, many = np.unique(place[w1[use]] * CLASSES + cls[use], return_counts=True)  # words in the order in which they are sent
+                size, cls, many = np.bincount(key // CLASSES, minlength=len(words)).astype(np.int16), (key % CLASSES).astype(np.uint8), many.astype(np.int32)
+                entry = np.searchsorted(key, cuts * CLASSES).tolist()
+                h, n, own, cuts = hashes_of([words[k] for k in order.tolist()]), n[order], own[order].astype(np.int16), cuts.tolist()
+                out = [
+                    (block, b, h[i:j].tobytes(), n[i:j].tobytes(), own[i:j].tobytes(), size[i:j].tobytes(), cls[x:y].tobytes(), many[x:y].tobytes())
+                    for b, (i, j, x, y) in enumerate(zip(cuts[:-1], cuts[1:], entry[:-1], entry[1:], strict=True))
+                    if j > i
+                ]
+                yield _batch(out, types)
+
+    schema = "block long, bucket int, h binary, n binary, own binary, size binary, cls binary, many binary"
+    return table.select("block", "docs", "ends", "ids", "words", "counts").mapInArrow(run, schema)
 
 
 def history_counts(pairs: DataFrame) -> DataFrame:
@@ -220,7 +259,7 @@ def history_counts(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}  # of fixed size: the histories of a part
         for batch in batches:
-            for bucket, a, c in zip(*[batch.column(x).to_pylist() for x in ("bucket", "a", "c")], strict=True):
+            for bucket, a, c in zip(*[batch.column(x).to_pylist() for x in ("bucket", "h", "n")], strict=True):
                 part = -1 - bucket
                 key, n = np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(c, np.int32)
                 if part not in total:
@@ -233,63 +272,61 @@ def history_counts(pairs: DataFrame) -> DataFrame:
                 at = has[k : k + 1000]
                 yield pa.RecordBatch.from_arrays([pa.array(at * PARTS + part), pa.array([x.tobytes() for x in counts[at]], pa.binary())], names=["history", "counts"])
 
-    return pairs.filter("bucket < 0").select("bucket", "a", "c").repartition(PARTS, "bucket").mapInArrow(run, "history long, counts binary")
+    return pairs.filter("bucket < 0").select("bucket", "h", "n").repartition(PARTS, "bucket").mapInArrow(run, "history long, counts binary")
 
 
 def word_weights(pairs: DataFrame, shares: np.ndarray, buckets: int) -> DataFrame:
-    """h, cls, weights: the weights of words seen LEAST_WORD times or more, as bytes: classes, and weights in steps of 1 / FINE.
+    """What buckets answer: block, bucket, total, size, cls, weights, packed, for the words that a block has sent, in its order.
 
-    shares has the classes' probabilities after each class, which are where a word's weights start from.
+    total are training tokens of all blocks; size tells how many entries each word has in cls and weights, which are in steps
+    of 1 / FINE. shares has the classes' probabilities after each class, which are where a word's weights start from.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(np.log(shares))
+    types = {"block": pa.int64(), "bucket": pa.int32()} | dict.fromkeys(("total", "size", "cls", "weights"), pa.binary())
 
     def learn(own: np.ndarray, row: np.ndarray, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Weights of entries (row, cls, n) of words whose classes are own."""
         start, many = shared.value[own], np.bincount(row, n, len(own))
+        p = np.exp(start[row, cls])
         w, use = np.zeros(len(n)), n >= PAIR
         for _ in range(WORD_STEPS):
-            z = start.copy()
-            z[row, cls] += w
-            z -= z.max(axis=1, keepdims=True)
-            np.exp(z, out=z)
-            expected = many[row] * (z[row, cls] / z.sum(axis=1)[row])
+            # all but the entries keep their share, so the entries alone give the sum of a row
+            total = 1 + np.bincount(row, p * np.expm1(w), len(own))
+            expected = many[row] * p * np.exp(w) / total[row]
             w = np.where(use, w + np.clip((n - expected - L2 * w) / (expected + L2), -1.0, 1.0), 0.0)
         return w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for bucket, *bytes_ in zip(*[batch.column(x).to_pylist() for x in ("bucket", "a", "b", "c", "own")], strict=True):
-                held.setdefault(bucket, []).append(bytes_)
-        for some in held.values():
-            h = np.concatenate([np.frombuffer(a, np.int64) for a, *_ in some])
-            size = np.concatenate([np.frombuffer(b, np.int16) for _, b, *_ in some]).astype(np.int64)
-            own = np.concatenate([np.frombuffer(o, np.int16) for *_, o in some]).astype(np.int64)
-            cls = np.concatenate([np.frombuffer(c, np.int16, len(c) // 6) for _, _, c, _ in some]).astype(np.int64)
-            n = np.concatenate([np.frombuffer(c, np.int32, len(c) // 6, len(c) // 3) for _, _, c, _ in some]).astype(np.float64)
-            some.clear()
+        for bucket, some in _buckets_of(batches, ["block", "h", "n", "own", "size", "cls", "many"]).items():
+            flat = lambda k, kind: np.concatenate([np.frombuffer(x[k], kind) for x in some])  # noqa: E731, B023
+            h, lengths = flat(1, np.int64), [len(x[1]) // 8 for x in some]
             words, first, at = np.unique(h, return_index=True, return_inverse=True)
-            key, inverse = np.unique(np.repeat(at, size) * CLASSES + cls, return_inverse=True)
-            n = np.bincount(inverse, n)
+            total, own = np.bincount(at, flat(2, np.int32)).astype(np.int64), flat(3, np.int16)[first].astype(np.int64)
+            key, inverse = np.unique(np.repeat(at, flat(4, np.int16).astype(np.int64)) * CLASSES + flat(5, np.uint8), return_inverse=True)
+            n = np.bincount(inverse, flat(6, np.int32), len(key))
+            some = [x[0] for x in some]
             word, cls = key // CLASSES, key % CLASSES
-            keep = np.bincount(word, n, len(words)) >= LEAST_WORD
-            own, number = own[first], np.cumsum(keep) - 1
-            m = keep[word]
-            word, cls, n, h, own = number[word[m]], cls[m], n[m], words[keep], own[keep]
-            cuts = np.searchsorted(word, np.arange(0, len(h) + 2048, 2048))
-            for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                mine = slice(k * 2048, (k + 1) * 2048)
-                if i == j:
-                    continue
-                w = np.clip(np.rint(FINE * learn(own[mine], word[i:j] - k * 2048, cls[i:j], n[i:j])), -127, 127).astype(np.int8)
-                has = w != 0
-                row, c, w = word[i:j][has] - k * 2048, cls[i:j][has].astype(np.uint8), w[has]
-                ends = np.searchsorted(row, np.arange(len(own[mine]) + 1))
-                some_h = [x for x, (a, b) in zip(h[mine].tolist(), zip(ends[:-1], ends[1:], strict=True), strict=True) if b > a]
-                cut = [(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array(some_h, pa.int64()), pa.array([c[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([w[a:b].tobytes() for a, b in cut], pa.binary())], names=["h", "cls", "weights"])
-
-    return pairs.filter("bucket >= 0").repartition(buckets, "bucket").mapInArrow(run, "h long, cls binary, weights binary")
+            keep = (total >= LEAST_WORD)[word]
+            word, cls, n = word[keep], cls[keep], n[keep]
+            w = np.clip(np.rint(FINE * learn(own, word, cls, n)), -127, 127).astype(np.int8) if len(n) else np.zeros(0, np.int8)
+            has = w != 0
+            word, cls, w = word[has], cls[has].astype(np.uint8), w[has]
+            many = np.bincount(word, minlength=len(words))
+            begin = np.cumsum(many) - many
+            out, a = [], 0
+            for block, k in zip(some, lengths, strict=True):
+                mine = at[a : a + k]
+                a += k
+                size = many[mine]
+                e = np.repeat(begin[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                out.append((block, bucket, total[mine].tobytes(), size.astype(np.int16).tobytes(), cls[e].tobytes(), w[e].tobytes()))
+                if len(out) == 256:
+                    yield _batch(out, types)
+                    out = []
+            yield _batch(out, types)
+
+    asked = pairs.filter("bucket >= 0").repartition(buckets, "bucket")
+    return asked.mapInArrow(run, "block long, bucket int, total binary, size binary, cls binary, weights binary")
 
 
 def feature_rows(history: np.ndarray) -> np.ndarray:
@@ -297,19 +334,31 @@ def feature_rows(history: np.ndarray) -> np.ndarray:
     return np.column_stack([np.zeros_like(history), 1 + history // (CLASSES + 1), 2 + CLASSES + history % (CLASSES + 1)])
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray, own: np.ndarray | None = None, more: tuple | None = None) -> np.ndarray:
-    """Log-probabilities of the classes; own are the weights of the trigram feature of each row, more (row, class, weight) those of words."""
+def log_softmax(weights: np.ndarray, rows: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Log-probabilities of the classes; own are the weights of the trigram feature of each row, 0 if not given."""
     z = weights[rows[:, 0]] + weights[rows[:, 1]]
     z += weights[rows[:, 2]]
     if own is not None:
         z += own
-    if more is not None:
-        z[more[0], more[1]] += more[2]
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+_BASE: list[tuple] = []
+
+
+def base_model(model: tuple) -> np.ndarray:
+    """Log-probabilities of the classes after each history, without the words' weights; a worker works them out once a model."""
+    if not _BASE or _BASE[0][0] is not model:
+        out = np.empty((HISTORIES, CLASSES), np.float32)
+        for k in range(0, HISTORIES, 2048):
+            h = np.arange(k, min(k + 2048, HISTORIES))
+            out[h] = log_softmax(model[0], feature_rows(h), model[1][h].astype(np.float32))
+        _BASE[:] = [(model, out)]
+    return _BASE[0][1]
+
+
 def _moved(weights: np.ndarray, start: np.ndarray | float, observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
     """Weights after a step along observed minus expected counts, each by its own expected count."""
     gradient = observed - expected - L2 * (weights - start)
@@ -419,69 +468,65 @@ def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """
     spark = prepare(docs.sparkSession)
     table = blocks(docs.select("doc_id", "text"))
-    words = block_words(table)
-    totals = persist_table(words.groupBy("h").agg(F.sum("n").alias("n"), F.max("e").alias("e")).filter("n > 0"))
-    size = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_all, v_all = int(size["n"]), int(size["v"])
+    sent = table.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sent // BUCKET_WORDS))
+    figures = word_figures(table, buckets)
+    cv, n_all, v_all = np.zeros(CLASSES), 0, 0
+    for r in figures.filter("h is null").groupBy("e").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect():
+        cv[r["e"]], n_all, v_all = r["v"], n_all + r["n"], v_all + r["v"]
     end = int(np.uint64(word_hash(END)).view(np.int64))
-    best = totals.filter(F.col("h") != end).orderBy(F.desc("n"), "h").limit(TOP).collect()
+    best = figures.filter(F.col("h").isNotNull() & (F.col("h") != end)).orderBy(F.desc("n"), "h").limit(TOP).collect()
     of = words_with(table, [r["h"] for r in best]) if best else {}
     top = {of[r["h"]]: k for k, r in enumerate(best, 1)}
-    cv = np.zeros(CLASSES)
-    for r in totals.groupBy("e").count().collect():
-        cv[r["e"]] = r["count"]
     for k, r in enumerate(best, 1):
         cv[r["e"]] -= 1
         cv[k] += 1
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table.count())
     pairs = persist_table(pair_counts(table, top, buckets))
     weights, histories, observed = train(history_counts(pairs), steps)
     own = collect_own(histories)
     drop_table(histories)
-    found = persist_table(word_weights(pairs, shares_after(observed), buckets))
-    drop_table(pairs)
-    known = totals.select("h", "n").join(found, "h", "left")
-    mine = words.select("block", "idx", "h").join(known, "h").drop("h")
+    answers = word_weights(pairs, shares_after(observed), buckets)
     shared = spark.sparkContext.broadcast((weights, own, observed[0], cv, top))
 
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
-        weights, own, cn, cv, top = shared.value
+        model = shared.value
+        _, _, cn, cv, top = model
+        first_of = base_model(model)
         row = {c: block.column(c)[0].as_py() for c in ("ends", "ids", "words")}
         docs = block.column("docs")[0].as_py()
         words, ids, ends = row["words"].split(b"\n"), np.frombuffer(row["ids"], np.int32), np.frombuffer(row["ends"], np.int64)
         starts = np.concatenate(([0], ends[:-1]))
-        cls = classes_of(words, top)
-        idx = known.column("idx").to_numpy()
-        count = np.zeros(len(words))
-        count[idx] = known.column("n").to_numpy()
-        # entries of a word's weights: from first[w] on, as many as size[w]
-        mine_c = known.column("cls").to_pylist()
-        lengths = np.fromiter((len(x) if x else 0 for x in mine_c), np.int64, len(mine_c))
-        entry_c = np.frombuffer(b"".join(x for x in mine_c if x), np.uint8).astype(np.int64)
-        entry_w = np.frombuffer(b"".join(x for x in known.column("weights").to_pylist() if x), np.int8).astype(np.float32) / FINE
-        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        first[idx], size[idx] = np.cumsum(lengths) - lengths, lengths
-        word = cls[ids]
-        c1 = _before(word, starts, START)
+        # answers stand in the order of buckets, and in each in that of the words sent
+        by = np.argsort(known.column("bucket").to_numpy())
+        flat = lambda c, kind: np.frombuffer(b"".join([known.column(c)[k].as_py() for k in by.tolist()]), kind)
+        order, _ = dealt(hashes_of(words), buckets)
+        count, size = np.empty(len(words)), np.empty(len(words), np.int64)
+        count[order], sizes = flat("total", np.int64), flat("size", np.int16).astype(np.int64)
+        size[order] = sizes
+        first = np.empty(len(words), np.int64)
+        first[order] = np.cumsum(sizes) - sizes
+        entry_c, entry_w = flat("cls", np.uint8).astype(np.int64), flat("weights", np.int8) / FINE
+        sort = np.argsort(entry_key := np.repeat(order, sizes) * CLASSES + entry_c)
+        entry_key = entry_key[sort]
+        cls = classes_of(words, top)[ids]
+        c1 = _before(cls, starts, START)
         history = c1 * (CLASSES + 1) + _before(c1, starts, START)
-        w1 = _before(ids.astype(np.int64), starts, 0)
-        # the end, which is number 0, is before no token, so it stands for words without weights
-        w1 = np.where(size[w1] > 0, w1, 0)
-        w1[starts] = 0
-        key, at = np.unique(w1 * HISTORIES + history, return_inverse=True)
-        logp = np.empty(len(ids))
-        order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(0, len(key) + 2048, 2048))
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            some, o = key[k * 2048 : (k + 1) * 2048], order[a:b]
-            if not len(some):
-                continue
-            w, h = some // HISTORIES, some % HISTORIES
-            many = np.where(w > 0, size[w], 0)
-            r = np.repeat(np.arange(len(w)), many)
-            e = np.repeat(first[w] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            z = log_softmax(weights, feature_rows(h), own[h].astype(np.float32), (r, entry_c[e], entry_w[e]))
-            logp[o] = z[at[o] - k * 2048, word[o]]
+        logp = first_of[history, cls].astype(np.float64)
+        w1 = _before(ids.astype(np.int64), starts, 0)  # the end, number 0, is before no token and has no weights
+        t = np.flatnonzero(size[w1] > 0)
+        if len(t):
+            w1 = w1[t]
+            at = np.searchsorted(entry_key, asked := w1 * CLASSES + cls[t]).clip(max=len(entry_key) - 1)
+            logp[t] += np.where(entry_key[at] == asked, entry_w[sort][at], 0.0)
+            key, at = np.unique(w1 * HISTORIES + history[t], return_inverse=True)
+            norm = np.empty(len(key))
+            for k in range(0, len(key), 50_000):
+                w, h = key[k : k + 50_000] // HISTORIES, key[k : k + 50_000] % HISTORIES
+                many = size[w]
+                e = np.repeat(first[w] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                r = np.repeat(np.arange(len(w)), many)
+                norm[k : k + 50_000] = np.log1p(np.bincount(r, np.exp(first_of[h[r], entry_c[e]]) * np.expm1(entry_w[e]), len(w)))
+            logp[t] -= norm[at]
         share = np.log10(count + SMOOTH)
         base = np.log10(n_all + SMOOTH * (v_all + 1))
         in_class = np.log10(cn + SMOOTH * (cv + 1))
@@ -494,12 +539,12 @@ def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
             "n_known": pa.array(per((count > 0).astype(np.int64)[ids])),
             "train_tokens": pa.array(np.full(len(docs), n_all, np.int64)),
             "base_score": pa.array(per(share - base)),
-            "score": pa.array(per(logp / np.log(10) + share - in_class[word])),
+            "score": pa.array(per(logp / np.log(10) + share - in_class[cls])),
         }
         return pa.table(made)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return table.select("block", "docs", "ends", "ids", "words").groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(run, schema)
+    return table.select("block", "docs", "ends", "ids", "words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
