@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +43,12 @@ CLASSES, TOP = 256, 120
 FEATURES = 1 + 2 * (CLASSES + 1)
 STEPS, RATE, L2 = 16, 0.4, 3.0
 #: Gradient steps for a word's weights, how often a word and a pair of word and class must be seen to have any, and steps of a stored weight to one.
-WORD_STEPS, LEAST_WORD, PAIR, FINE = 10, 16, 2, 16
+WORD_STEPS, LEAST_WORD, PAIR, FINE = 10, 16, 2, 4
 SMOOTH = 0.1
 #: Partitions of the table of histories, and so of matrices that a step brings to the driver.
 PARTS = 6
 #: Bytes of text from which a block ends; a longer text is one block with those before it.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 10_000_000
 #: Words that blocks send to a bucket, about.
 BUCKET_WORDS = 1_000_000
 END = b""
@@ -56,6 +57,16 @@ HISTORIES = (CLASSES + 1) ** 2
 SEED = 17
 
 
+def zipped(x: np.ndarray | bytes) -> bytes:
+    """Bytes for a row that moves or is stored; most counts are small, and most tokens frequent."""
+    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+
+
+def unzipped(x: bytes, kind: type | None = None) -> np.ndarray | bytes:
+    out = zstandard.ZstdDecompressor().decompress(x)
+    return out if kind is None else np.frombuffer(out, kind)
+
+
 def word_hash(w: bytes) -> int:
     return xxhash.xxh64_intdigest(w, SEED)
 
@@ -97,7 +108,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     """Columns BLOCK, written to the shared folder: documents in the order of the scan, cut at BLOCK_BYTES.
 
     ends are the places after each document's last token, ids the numbers of the tokens, words what they stand for, one a
-    line, and counts how often training documents have each.
+    line, and counts how often training documents have each; all of these are zipped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +121,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             flat, lengths = np.concatenate(ids), np.array([len(x) for x in ids])
             learns = np.repeat(np.array([not held_out(d) for d in docs]), lengths)
             counts = np.bincount(flat[learns], minlength=len(number)).astype(np.int32)
-            row = [part << 32 | made, docs, np.cumsum(lengths).astype(np.int64).tobytes(), flat.tobytes(), b"\n".join(number), counts.tobytes(), len(number)]
+            row = [part << 32 | made, docs, zipped(np.cumsum(lengths).astype(np.int64)), zipped(flat), zipped(b"\n".join(number)), zipped(counts), len(number)]
             types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["block", "docs", "ends", "ids", "words", "counts", "n_words"])
 
@@ -160,19 +171,19 @@ def word_figures(table: DataFrame, buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, n in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                words, n = words.split(b"\n"), np.frombuffer(n, np.int32)
+                words, n = unzipped(words).split(b"\n"), unzipped(n, np.int32)
                 words, n = [w for w, k in zip(words, n.tolist(), strict=True) if k], n[n > 0]
                 h, e = hashes_of(words), np.fromiter(map(ending, words), np.int16, len(words))
                 order, cuts = dealt(h, buckets)
                 h, n, e = h[order], n[order], e[order]
-                some = [(b, h[i:j].tobytes(), n[i:j].tobytes(), e[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
+                some = [(b, h[i:j].tobytes(), zipped(n[i:j]), zipped(e[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
                 yield _batch(some, ask)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _buckets_of(batches, ["h", "n", "e"]).values():
             h, first, at = np.unique(np.concatenate([np.frombuffer(x[0], np.int64) for x in some]), return_index=True, return_inverse=True)
-            n = np.bincount(at, np.concatenate([np.frombuffer(x[1], np.int32) for x in some])).astype(np.int64)
-            e = np.concatenate([np.frombuffer(x[2], np.int16) for x in some])[first].astype(np.int64)
+            n = np.bincount(at, np.concatenate([unzipped(x[1], np.int32) for x in some])).astype(np.int64)
+            e = np.concatenate([unzipped(x[2], np.int16) for x in some])[first].astype(np.int64)
             v, tokens, best = np.bincount(e, minlength=CLASSES), np.bincount(e, n, CLASSES), np.lexsort((h, -n))[: TOP + 1]
             rows = [(int(v[k]), int(tokens[k]), int(k), None) for k in np.flatnonzero(v)] + [(None, int(n[k]), int(e[k]), int(h[k])) for k in best]
             yield _batch(rows, {"v": pa.int64(), "n": pa.int64(), "e": pa.int32(), "h": pa.int64()})
@@ -188,7 +199,7 @@ def words_with(table: DataFrame, wanted: list[int]) -> dict[int, bytes]:
         want = set(wanted)
         for batch in batches:
             for words in batch.column("words").to_pylist():
-                words = words.split(b"\n")
+                words = unzipped(words).split(b"\n")
                 hit = [(h, w) for h, w in zip(hashes_of(words).tolist(), words, strict=True) if h in want]
                 yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in hit], pa.int64()), pa.array([w for _, w in hit], pa.binary())], names=["h", "w"])
 
@@ -209,7 +220,7 @@ def _before(x: np.ndarray, starts: np.ndarray, none: int) -> np.ndarray:
 
 
 def pair_counts(table: DataFrame, top: dict[bytes, int], buckets: int) -> DataFrame:
-    """What follows what, and how often, over the training tokens of each block: block, bucket and packed columns, two kinds of rows.
+    """What follows what, and how often, over the training tokens of each block: block, bucket and zipped columns, two kinds of rows.
 
     Of buckets below zero, -1 - history % PARTS: h are keys history * CLASSES + class, n their counts. Of the others, by words'
     hashes: h are the hashes of the block's words, n their training tokens, own their classes, size how many entries each has in
@@ -220,7 +231,7 @@ def pair_counts(table: DataFrame, top: dict[bytes, int], buckets: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, docs, ends, ids, words, n in zip(*[batch.column(c).to_pylist() for c in ("block", "docs", "ends", "ids", "words", "counts")], strict=True):
-                words, ids, ends, n = words.split(b"\n"), np.frombuffer(ids, np.int32), np.frombuffer(ends, np.int64), np.frombuffer(n, np.int32)
+                words, ids, ends, n = unzipped(words).split(b"\n"), unzipped(ids, np.int32), unzipped(ends, np.int64), unzipped(n, np.int32)
                 starts = np.concatenate(([0], ends[:-1]))
                 learns = np.repeat(np.array([not held_out(d) for d in docs]), ends - starts)
                 own = classes_of(words, top)
@@ -231,7 +242,7 @@ def pair_counts(table: DataFrame, top: dict[bytes, int], buckets: int) -> DataFr
                 part, out = key // CLASSES % PARTS, []
                 for p in range(PARTS):
                     m = part == p
-                    out.append((block, -1 - p, key[m].astype(np.int32).tobytes(), many[m].astype(np.int32).tobytes(), None, None, None, None))
+                    out.append((block, -1 - p, zipped(key[m].astype(np.int32)), zipped(many[m].astype(np.int32)), None, None, None, None))
                 yield _batch(out, types)
                 w1 = _before(ids.astype(np.int64), starts, -1)
                 use = learns & (w1 >= 0)
@@ -243,7 +254,7 @@ def pair_counts(table: DataFrame, top: dict[bytes, int], buckets: int) -> DataFr
                 entry = np.searchsorted(key, cuts * CLASSES).tolist()
                 h, n, own, cuts = hashes_of([words[k] for k in order.tolist()]), n[order], own[order].astype(np.int16), cuts.tolist()
                 out = [
-                    (block, b, h[i:j].tobytes(), n[i:j].tobytes(), own[i:j].tobytes(), size[i:j].tobytes(), cls[x:y].tobytes(), many[x:y].tobytes())
+                    (block, b, h[i:j].tobytes(), *map(zipped, (n[i:j], own[i:j], size[i:j], cls[x:y], many[x:y])))
                     for b, (i, j, x, y) in enumerate(zip(cuts[:-1], cuts[1:], entry[:-1], entry[1:], strict=True))
                     if j > i
                 ]
@@ -261,7 +272,7 @@ def history_counts(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             for bucket, a, c in zip(*[batch.column(x).to_pylist() for x in ("bucket", "h", "n")], strict=True):
                 part = -1 - bucket
-                key, n = np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(c, np.int32)
+                key, n = unzipped(a, np.int32).astype(np.int64), unzipped(c, np.int32)
                 if part not in total:
                     total[part] = np.zeros((HISTORIES // PARTS + 1) * CLASSES, np.int64)
                 total[part][key // CLASSES // PARTS * CLASSES + key % CLASSES] += n
@@ -276,7 +287,7 @@ def history_counts(pairs: DataFrame) -> DataFrame:
 
 
 def word_weights(pairs: DataFrame, shares: np.ndarray, buckets: int) -> DataFrame:
-    """What buckets answer: block, bucket, total, size, cls, weights, packed, for the words that a block has sent, in its order.
+    """What buckets answer: block, bucket, total, size, cls, weights, zipped, for the words that a block has sent, in its order.
 
     total are training tokens of all blocks; size tells how many entries each word has in cls and weights, which are in steps
     of 1 / FINE. shares has the classes' probabilities after each class, which are where a word's weights start from.
@@ -298,8 +309,8 @@ def word_weights(pairs: DataFrame, shares: np.ndarray, buckets: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, some in _buckets_of(batches, ["block", "h", "n", "own", "size", "cls", "many"]).items():
-            flat = lambda k, kind: np.concatenate([np.frombuffer(x[k], kind) for x in some])  # noqa: E731, B023
-            h, lengths = flat(1, np.int64), [len(x[1]) // 8 for x in some]
+            flat = lambda k, kind: np.concatenate([unzipped(x[k], kind) for x in some])  # noqa: E731, B023
+            h, lengths = np.concatenate([np.frombuffer(x[1], np.int64) for x in some]), [len(x[1]) // 8 for x in some]
             words, first, at = np.unique(h, return_index=True, return_inverse=True)
             total, own = np.bincount(at, flat(2, np.int32)).astype(np.int64), flat(3, np.int16)[first].astype(np.int64)
             key, inverse = np.unique(np.repeat(at, flat(4, np.int16).astype(np.int64)) * CLASSES + flat(5, np.uint8), return_inverse=True)
@@ -319,7 +330,7 @@ def word_weights(pairs: DataFrame, shares: np.ndarray, buckets: int) -> DataFram
                 a += k
                 size = many[mine]
                 e = np.repeat(begin[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                out.append((block, bucket, total[mine].tobytes(), size.astype(np.int16).tobytes(), cls[e].tobytes(), w[e].tobytes()))
+                out.append((block, bucket, *map(zipped, (total[mine], size.astype(np.int16), cls[e], w[e]))))
                 if len(out) == 256:
                     yield _batch(out, types)
                     out = []
@@ -494,11 +505,11 @@ def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
         first_of = base_model(model)
         row = {c: block.column(c)[0].as_py() for c in ("ends", "ids", "words")}
         docs = block.column("docs")[0].as_py()
-        words, ids, ends = row["words"].split(b"\n"), np.frombuffer(row["ids"], np.int32), np.frombuffer(row["ends"], np.int64)
+        words, ids, ends = unzipped(row["words"]).split(b"\n"), unzipped(row["ids"], np.int32), unzipped(row["ends"], np.int64)
         starts = np.concatenate(([0], ends[:-1]))
         # answers stand in the order of buckets, and in each in that of the words sent
         by = np.argsort(known.column("bucket").to_numpy())
-        flat = lambda c, kind: np.frombuffer(b"".join([known.column(c)[k].as_py() for k in by.tolist()]), kind)
+        flat = lambda c, kind: np.frombuffer(b"".join([unzipped(known.column(c)[k].as_py()) for k in by.tolist()]), kind)
         order, _ = dealt(hashes_of(words), buckets)
         count, size = np.empty(len(words)), np.empty(len(words), np.int64)
         count[order], sizes = flat("total", np.int64), flat("size", np.int16).astype(np.int64)

@@ -207,8 +207,8 @@ def test_lm_words_have_weights_of_their_own(spark):
     got = {}
     sent = {(x.block, x.bucket): np.frombuffer(x.h, np.int64) for x in pairs.filter("bucket >= 0").collect()}
     for x in lm_score.word_weights(pairs, lm_score.shares_after(n), 3).collect():
-        cls, weight, at = np.frombuffer(x.cls, np.uint8), np.frombuffer(x.weights, np.int8) / lm_score.FINE, 0
-        for h, size in zip(sent[x.block, x.bucket].tolist(), np.frombuffer(x.size, np.int16).tolist(), strict=True):
+        cls, weight, at = lm_score.unzipped(x.cls, np.uint8), lm_score.unzipped(x.weights, np.int8) / lm_score.FINE, 0
+        for h, size in zip(sent[x.block, x.bucket].tolist(), lm_score.unzipped(x.size, np.int16).tolist(), strict=True):
             got[h] = (cls[at : at + size], weight[at : at + size])
             at += size
     at = lambda w: got[int(np.uint64(lm_score.word_hash(w.encode())).view(np.int64))]
