@@ -43,12 +43,12 @@ CLASSES, TOP = 256, 120
 FEATURES = 1 + 2 * (CLASSES + 1)
 STEPS, RATE, L2 = 16, 0.4, 3.0
 #: Gradient steps for a word's weights, how often a word and a pair of word and class must be seen to have any, and steps of a stored weight to one.
-WORD_STEPS, LEAST_WORD, PAIR, FINE = 10, 16, 2, 4
+WORD_STEPS, LEAST_WORD, PAIR, FINE = 10, 16, 2, 2
 SMOOTH = 0.1
 #: Partitions of the table of histories, and so of matrices that a step brings to the driver.
 PARTS = 6
 #: Bytes of text from which a block ends; a longer text is one block with those before it.
-BLOCK_BYTES = 10_000_000
+BLOCK_BYTES = 14_000_000
 #: Words that blocks send to a bucket, about.
 BUCKET_WORDS = 1_000_000
 END = b""
@@ -208,7 +208,7 @@ def words_with(table: DataFrame, wanted: list[int]) -> dict[int, bytes]:
 
 def classes_of(words: list[bytes], top: dict[bytes, int]) -> np.ndarray:
     get = top.get
-    return np.fromiter((get(w) or ending(w) for w in words), np.int64, len(words))
+    return np.fromiter((get(w) or ending(w) for w in words), np.int32, len(words))
 
 
 def _before(x: np.ndarray, starts: np.ndarray, none: int) -> np.ndarray:
@@ -219,40 +219,56 @@ def _before(x: np.ndarray, starts: np.ndarray, none: int) -> np.ndarray:
     return out
 
 
-def pair_counts(table: DataFrame, top: dict[bytes, int], buckets: int) -> DataFrame:
-    """What follows what, and how often, over the training tokens of each block: block, bucket and zipped columns, two kinds of rows.
+def _told(batch: pa.RecordBatch, top: dict[bytes, int]) -> Iterator[tuple]:
+    """Of each block its id, words, their counts and classes, token numbers, document starts, and which tokens train."""
+    for block, docs, ends, ids, words, n in zip(*[batch.column(c).to_pylist() for c in ("block", "docs", "ends", "ids", "words", "counts")], strict=True):
+        words, ends = unzipped(words).split(b"\n"), unzipped(ends, np.int64)
+        starts = np.concatenate(([0], ends[:-1]))
+        learns = np.repeat(np.array([not held_out(d) for d in docs]), ends - starts)
+        yield block, words, unzipped(n, np.int32), classes_of(words, top), unzipped(ids, np.int32), starts, learns
+
+
+TOLD = ["block", "docs", "ends", "ids", "words", "counts"]
 
-    Of buckets below zero, -1 - history % PARTS: h are keys history * CLASSES + class, n their counts. Of the others, by words'
-    hashes: h are the hashes of the block's words, n their training tokens, own their classes, size how many entries each has in
-    cls and many, the classes that follow it and how often. What is before a document's first token is no word.
-    """
-    types = {"block": pa.int64(), "bucket": pa.int32()} | dict.fromkeys(("h", "n", "own", "size", "cls", "many"), pa.binary())
+
+def history_pairs(table: DataFrame, top: dict[bytes, int]) -> DataFrame:
+    """part, keys, n of each block: keys history * CLASSES + class over its training tokens and how often, zipped; part is history % PARTS."""
+    types = {"part": pa.int32(), "keys": pa.binary(), "n": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, docs, ends, ids, words, n in zip(*[batch.column(c).to_pylist() for c in ("block", "docs", "ends", "ids", "words", "counts")], strict=True):
-                words, ids, ends, n = unzipped(words).split(b"\n"), unzipped(ids, np.int32), unzipped(ends, np.int64), unzipped(n, np.int32)
-                starts = np.concatenate(([0], ends[:-1]))
-                learns = np.repeat(np.array([not held_out(d) for d in docs]), ends - starts)
-                own = classes_of(words, top)
+            for _, _, _, own, ids, starts, learns in _told(batch, top):
                 cls = own[ids]
                 c1 = _before(cls, starts, START)
                 c2 = _before(c1, starts, START)
                 key, many = np.unique((c1 * (CLASSES + 1) + c2)[learns] * CLASSES + cls[learns], return_counts=True)
-                part, out = key // CLASSES % PARTS, []
-                for p in range(PARTS):
-                    m = part == p
-                    out.append((block, -1 - p, zipped(key[m].astype(np.int32)), zipped(many[m].astype(np.int32)), None, None, None, None))
-                yield _batch(out, types)
-                w1 = _before(ids.astype(np.int64), starts, -1)
-                use = learns & (w1 >= 0)
-                order, cuts = dealt(hashes_of(words), buckets)
-                place = np.empty(len(words), np.int64)
-                place[order] = np.arange(len(words))
-                key, many = np.unique(place[w1[use]] * CLASSES + cls[use], return_counts=True)  # words in the order in which they are sent
+                part = key // CLASSES % PARTS
+                yield _batch([(p, zipped(key[part == p].astype(np.int32)), zipped(many[part == p].astype(np.int32))) for p in range(PARTS)], types)
+
+    return table.select(*TOLD).mapInArrow(run, "part int, keys binary, n binary")
+
+
+def word_pairs(table: DataFrame, top: dict[bytes, int], buckets: int) -> DataFrame:
+    """block, bucket, h, n, own, size, cls, many: what blocks send to a bucket of words by hash, zipped.
+
+    h are the hashes of the block's words, n their training tokens, own their classes, size how many entries each has in cls
+    and many, the classes that follow it in training and how often. What is before a document's first token is no word.
+    """
+    types = {"block": pa.int64(), "bucket": pa.int32()} | dict.fromkeys(("h", "n", "own", "size", "cls", "many"), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, n, own, ids, starts, learns in _told(batch, top):
+                h = hashes_of(words)
+                order, cuts = dealt(h, buckets)
+                place = np.empty(len(words), np.int32)
+                place[order] = np.arange(len(words), dtype=np.int32)
+                w1 = _before(ids, starts, -1)
+                learns &= w1 >= 0
+                key, many = np.unique(place[w1[learns]].astype(np.int64) * CLASSES + own[ids[learns]], return_counts=True)  # words in the order in which they are sent
                 size, cls, many = np.bincount(key // CLASSES, minlength=len(words)).astype(np.int16), (key % CLASSES).astype(np.uint8), many.astype(np.int32)
                 entry = np.searchsorted(key, cuts * CLASSES).tolist()
-                h, n, own, cuts = hashes_of([words[k] for k in order.tolist()]), n[order], own[order].astype(np.int16), cuts.tolist()
+                h, n, own, cuts = h[order], n[order], own[order].astype(np.int16), cuts.tolist()
                 out = [
                     (block, b, h[i:j].tobytes(), *map(zipped, (n[i:j], own[i:j], size[i:j], cls[x:y], many[x:y])))
                     for b, (i, j, x, y) in enumerate(zip(cuts[:-1], cuts[1:], entry[:-1], entry[1:], strict=True))
@@ -260,8 +276,7 @@ def pair_counts(table: DataFrame, top: dict[bytes, int], buckets: int) -> DataFr
                 ]
                 yield _batch(out, types)
 
-    schema = "block long, bucket int, h binary, n binary, own binary, size binary, cls binary, many binary"
-    return table.select("block", "docs", "ends", "ids", "words", "counts").mapInArrow(run, schema)
+    return table.select(*TOLD).mapInArrow(run, "block long, bucket int, h binary, n binary, own binary, size binary, cls binary, many binary")
 
 
 def history_counts(pairs: DataFrame) -> DataFrame:
@@ -270,8 +285,7 @@ def history_counts(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}  # of fixed size: the histories of a part
         for batch in batches:
-            for bucket, a, c in zip(*[batch.column(x).to_pylist() for x in ("bucket", "h", "n")], strict=True):
-                part = -1 - bucket
+            for part, a, c in zip(*[batch.column(x).to_pylist() for x in ("part", "keys", "n")], strict=True):
                 key, n = unzipped(a, np.int32).astype(np.int64), unzipped(c, np.int32)
                 if part not in total:
                     total[part] = np.zeros((HISTORIES // PARTS + 1) * CLASSES, np.int64)
@@ -283,7 +297,7 @@ def history_counts(pairs: DataFrame) -> DataFrame:
                 at = has[k : k + 1000]
                 yield pa.RecordBatch.from_arrays([pa.array(at * PARTS + part), pa.array([x.tobytes() for x in counts[at]], pa.binary())], names=["history", "counts"])
 
-    return pairs.filter("bucket < 0").select("bucket", "h", "n").repartition(PARTS, "bucket").mapInArrow(run, "history long, counts binary")
+    return pairs.repartition(PARTS, "part").mapInArrow(run, "history long, counts binary")
 
 
 def word_weights(pairs: DataFrame, shares: np.ndarray, buckets: int) -> DataFrame:
@@ -336,8 +350,7 @@ def word_weights(pairs: DataFrame, shares: np.ndarray, buckets: int) -> DataFram
                     out = []
             yield _batch(out, types)
 
-    asked = pairs.filter("bucket >= 0").repartition(buckets, "bucket")
-    return asked.mapInArrow(run, "block long, bucket int, total binary, size binary, cls binary, weights binary")
+    return pairs.repartition(buckets, "bucket").mapInArrow(run, "block long, bucket int, total binary, size binary, cls binary, weights binary")
 
 
 def feature_rows(history: np.ndarray) -> np.ndarray:
@@ -492,11 +505,10 @@ def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     for k, r in enumerate(best, 1):
         cv[r["e"]] -= 1
         cv[k] += 1
-    pairs = persist_table(pair_counts(table, top, buckets))
-    weights, histories, observed = train(history_counts(pairs), steps)
+    weights, histories, observed = train(history_counts(history_pairs(table, top)), steps)
     own = collect_own(histories)
     drop_table(histories)
-    answers = word_weights(pairs, shares_after(observed), buckets)
+    answers = word_weights(word_pairs(table, top, buckets), shares_after(observed), buckets)
     shared = spark.sparkContext.broadcast((weights, own, observed[0], cv, top))
 
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
@@ -519,14 +531,15 @@ def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
         entry_c, entry_w = flat("cls", np.uint8).astype(np.int64), flat("weights", np.int8) / FINE
         sort = np.argsort(entry_key := np.repeat(order, sizes) * CLASSES + entry_c)
         entry_key = entry_key[sort]
-        cls = classes_of(words, top)[ids]
+        own_class = classes_of(words, top)
+        cls = own_class[ids]
         c1 = _before(cls, starts, START)
         history = c1 * (CLASSES + 1) + _before(c1, starts, START)
         logp = first_of[history, cls].astype(np.float64)
-        w1 = _before(ids.astype(np.int64), starts, 0)  # the end, number 0, is before no token and has no weights
+        w1 = _before(ids, starts, 0)  # the end, number 0, is before no token and has no weights
         t = np.flatnonzero(size[w1] > 0)
         if len(t):
-            w1 = w1[t]
+            w1 = w1[t].astype(np.int64)
             at = np.searchsorted(entry_key, asked := w1 * CLASSES + cls[t]).clip(max=len(entry_key) - 1)
             logp[t] += np.where(entry_key[at] == asked, entry_w[sort][at], 0.0)
             key, at = np.unique(w1 * HISTORIES + history[t], return_inverse=True)

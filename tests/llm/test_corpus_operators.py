@@ -202,10 +202,10 @@ def test_lm_words_have_weights_of_their_own(spark):
     docs = [(k, " ".join(x for _ in range(30) for x in ((a, "bells") if r.random() < 0.5 else (b, "songs")) + tuple(r.sample(fill, 6)))) for k in range(60)]
     table = lm_score.blocks(spark.createDataFrame(docs, DOCS))
     top = {w.encode(): k for k, w in enumerate(fill[:118], 1)}
-    pairs = lm_score.pair_counts(table, top, 3)
+    pairs = lm_score.word_pairs(table, top, 3)
     n = np.ones((lm_score.FEATURES, lm_score.CLASSES))
     got = {}
-    sent = {(x.block, x.bucket): np.frombuffer(x.h, np.int64) for x in pairs.filter("bucket >= 0").collect()}
+    sent = {(x.block, x.bucket): np.frombuffer(x.h, np.int64) for x in pairs.collect()}
     for x in lm_score.word_weights(pairs, lm_score.shares_after(n), 3).collect():
         cls, weight, at = lm_score.unzipped(x.cls, np.uint8), lm_score.unzipped(x.weights, np.int8) / lm_score.FINE, 0
         for h, size in zip(sent[x.block, x.bucket].tolist(), lm_score.unzipped(x.size, np.int16).tolist(), strict=True):
@@ -305,7 +305,7 @@ def test_lm_tells_histories_apart_by_both_classes(spark):
     top = {b"w%d" % k: k + 1 for k in range(lm_score.TOP)}
     text = " ".join(["w0 w5 w9"] * 60 + ["w32 w5 w77"] * 60)
     docs = spark.createDataFrame([(k, text) for k in range(1, 6)], DOCS)
-    weights, table, _ = lm_score.train(lm_score.history_counts(lm_score.pair_counts(lm_score.blocks(docs), top, 2)))
+    weights, table, _ = lm_score.train(lm_score.history_counts(lm_score.history_pairs(lm_score.blocks(docs), top)))
     own = {r.history: np.frombuffer(r.own, np.float32) for r in table.collect()}
     one, two = (c1 * 257 + c2 for c1, c2 in ((6, 1), (6, 33)))
     for h, right, wrong in ((one, 10, 78), (two, 78, 10)):
