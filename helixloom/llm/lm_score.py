@@ -544,12 +544,12 @@ def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
             logp[t] += np.where(entry_key[at] == asked, entry_w[sort][at], 0.0)
             key, at = np.unique(w1 * HISTORIES + history[t], return_inverse=True)
             norm = np.empty(len(key))
-            for k in range(0, len(key), 50_000):
-                w, h = key[k : k + 50_000] // HISTORIES, key[k : k + 50_000] % HISTORIES
+            for k in range(0, len(key), 16_000):
+                w, h = key[k : k + 16_000] // HISTORIES, key[k : k + 16_000] % HISTORIES
                 many = size[w]
                 e = np.repeat(first[w] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 r = np.repeat(np.arange(len(w)), many)
-                norm[k : k + 50_000] = np.log1p(np.bincount(r, np.exp(first_of[h[r], entry_c[e]]) * np.expm1(entry_w[e]), len(w)))
+                norm[k : k + 16_000] = np.log1p(np.bincount(r, np.exp(first_of[h[r], entry_c[e]]) * np.expm1(entry_w[e]), len(w)))
             logp[t] -= norm[at]
         share = np.log10(count + SMOOTH)
         base = np.log10(n_all + SMOOTH * (v_all + 1))
