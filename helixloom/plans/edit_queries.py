@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sequence as seq
 from ..operators import contact_map as cm
 from ..operators import geometry as geo
 from ..session import engine
-from .oracle import BASE, DESIGN, LONE, STAPLE_BASES, VECTOR, joined, kinds
+from .oracle import BASE, DESIGN, LONE, STAPLE_BASES, VECTOR, domain, joined, kinds
 from .queries import ID, REACH, _base, _joined, _long, _vectors
 
 
@@ -262,6 +263,89 @@ select design_id, case when kind > 0 then cast(greatest(k, 0) + 3 as bigint) end
 from x where kind > 0 or k <= 0"""
 
 
+def contact_map_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps written in the contact-map format, headings too, and read again."""
+    from ..sources.readers import contact_map_tables
+    from ..sources.writers import contact_map_csv
+
+    text = contact_map_csv(_map(spark, sf_dir), "x.csv", "test")
+    no = F.row_number().over(Window.partitionBy(ID).orderBy("part", "ord"))
+    m, st, sc, errors = contact_map_tables(text.select(ID, F.lit(0).alias("file_size"), no.alias("line_no"), "line"))
+    places = F.aggregate("base_i53", F.lit(0).cast("long"), lambda a, x: a + x)
+    own = st.groupBy(ID).agg(F.sum("num_sections").alias("sections"), F.sum(places).alias("places"), F.sum(F.size("section_lengths")).alias("lengths"))
+    dom = sc.groupBy(ID).agg((F.max("scaffold_domain_id") + 1).cast("long").alias("domains"), F.sum("staple_base_id").alias("base_ids"))
+    bad = errors.groupBy(ID).agg(F.count("*").alias("errors"))
+    at = _digests(m).join(m.designs, ID).join(dom, ID).join(own, ID, "left").join(bad, ID, "left")
+    return at.select(ID, "n", "scaffold", "staples", "sequences", "circular", "domains", "base_ids", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("sections", "places", "lengths", "errors")])
+
+
+CONTACT_MAP_READER = f"""with {DESIGN}, {BASE}, {domain()}, g as (select design_id, max(dom) + 1 as domains, cast(sum(base_id) as bigint) as base_ids from dom group by 1),
+st as (select design_id, count(*) as k, md5(string_agg(seq53, '' order by staple_id)) as t, cast(sum(16 * (a + b + 15)) as bigint) as p from staple group by 1)
+select design_id, cast(n as bigint) as n, md5(scaffold53) as scaffold, coalesce(k, 0) as staples, coalesce(t, '') as sequences, circular, domains, base_ids,
+  coalesce(2 * k, 0) as sections, coalesce(p, 0) as places, coalesce(2 * k, 0) as lengths, cast(0 as bigint) as errors
+from design join g using (design_id) left join st using (design_id)"""
+
+
+def staple_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossovers, loopouts and dangles of a map whose staples of four hold the next after a loopout, and some have dangles."""
+    from ..operators.graph import edges
+
+    m = _map(spark, sf_dir)
+    heads = m.staples.filter("staple_id % 4 = 0")
+    loops = heads.select(ID, "staple_id", F.lit(0).alias("ord"), F.lit("TTT").alias("seq"), (F.col("staple_id") + 1).alias("extra_staple_id"))
+    put = lambda k, s: F.when(F.col("staple_id") % k == 0, s).otherwise("")
+    m = cm.recompose(m, loops, m.staples.select(ID, "staple_id", put(3, "GGAA").alias("dangle5"), put(5, "GA").alias("dangle3")))
+    at = edges(m.materialise()).filter("type in ('crossover', 'loopout', 'dangle')").groupBy(ID, "type")
+    return at.agg(F.count("*").alias("edges"), *[F.sum(c).cast("long").alias(t) for c, t in (("runlen", "runlen"), ("source", "sources"), ("target", "targets"))])
+
+
+STAPLE_EDGES = f"""with {DESIGN}, x as (select s.*, t.a as ta, t.b as tb from staple s left join staple t
+  on t.design_id = s.design_id and t.staple_id = s.staple_id + 1 and s.staple_id % 4 = 0 where s.staple_id % 4 <> 1),
+e as (select design_id, 'crossover' as type, 0 as runlen, a as source, b + 15 as target from staple
+  union all select design_id, 'loopout', 3, b, ta + 15 from x where ta is not null
+  union all select design_id, 'dangle', 4, -(a + 15 + 10000000), a + 15 from x where staple_id % 3 = 0
+  union all select design_id, 'dangle', 2, coalesce(tb, b), coalesce(tb, b) + 10000000 from x where staple_id % 5 = 0)
+select design_id, type, count(*) as edges, cast(sum(runlen) as bigint) as runlen, cast(sum(source) as bigint) as sources, cast(sum(target) as bigint) as targets
+from e group by 1, 2"""
+
+
+def letter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pairs with what, letter by letter."""
+    letters = F.array(*map(F.lit, "ACGTUN"))
+    at = engine(spark).range(1).select(F.explode(letters).alias("a")).select("a", F.explode(letters).alias("b"))
+    text = lambda c: F.coalesce(F.array_join(c, ""), F.lit(""))
+    return at.select(
+        "a", "b", seq.pairs("a", "b").alias("paired"), seq.is_sequence_of("a", "DNA").alias("dna"), seq.is_sequence_of("a", "RNA").alias("rna"),
+        text(seq.partners("a", "DNA")).alias("partners"), text(seq.partners("a", "RNA", watson_crick=False)).alias("wobbles"),
+        seq.leading_pairs(F.concat("a", F.lit("AC"), "b"), F.concat("b", F.lit("TG"), "a")).cast("long").alias("leading"),
+    )
+
+
+LETTER_PAIRS = """with l as (select unnest(['A', 'C', 'G', 'T', 'U', 'N']) as x), p as (
+  select s.x as a, t.x as b, replace(s.x, 'U', 'T') || replace(t.x, 'U', 'T') in ('AT', 'TA', 'CG', 'GC') as paired from l s, l t)
+select a, b, paired, a in ('A', 'C', 'G', 'T') as dna, a in ('A', 'C', 'G', 'U') as rna,
+  case a when 'A' then 'T' when 'C' then 'G' when 'G' then 'C' when 'N' then '' else 'A' end as partners,
+  case a when 'A' then 'U' when 'C' then 'G' when 'G' then 'CU' when 'N' then '' else 'AG' end as wobbles,
+  cast(case when paired then 4 else 0 end as bigint) as leading from p"""
+
+
+def pair_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of base pairs, both ways round."""
+    from ..sources.writers import pair_list
+
+    at = pair_list(geo.base_pairs(*_vectors(spark, sf_dir), PAIR_CUTOFF, PAIR_ANGLE)[0])
+    return at.select(*_long(ID, "part", "ord"), "line")
+
+
+PAIR_LIST_LINES = f"""with {VECTOR}, k as (select * from m where d <= {PAIR_CUTOFF} and ta <= {PAIR_ANGLE} and tb <= {PAIR_ANGLE}),
+bad as (select design_id from k group by design_id, a having count(*) > 1 union select design_id from k group by design_id, b having count(*) > 1),
+g as (select * from k where design_id not in (select design_id from bad)),
+x as (select distinct design_id, 0 as part, 0 as ord, 'scaffold nucleotide id, staple nucleotide id paired with' as line from g
+  union all select distinct design_id, 2, 0, 'staple nucleotide id, scaffold nucleotide id paired with' from g
+  union all select design_id, 1, a, a || ',' || b from g union all select design_id, 3, b, b || ',' || a from g)
+select cast(design_id as bigint) as design_id, cast(part as bigint) as part, cast(ord as bigint) as ord, line from x"""
+
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in [
@@ -269,5 +353,6 @@ QUERIES = {
         (remove_at_one_base, REMOVE_AT_ONE_BASE), (recompose_broken, RECOMPOSE_BROKEN), (base_pairs_first, BASE_PAIRS_FIRST),
         (grid_best_region, GRID_BEST_REGION), (consensus_region, CONSENSUS_REGION), (circular_walk, CIRCULAR_WALK),
         (longest_strand, LONGEST_STRAND), (rev_reader, REV_READER), (rev_errors, REV_ERRORS),
+        (contact_map_reader, CONTACT_MAP_READER), (staple_edges, STAPLE_EDGES), (letter_pairs, LETTER_PAIRS), (pair_list_lines, PAIR_LIST_LINES),
     ]
 }
