@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as seq
 from ..operators import contact_map as cm
 from ..operators import geometry as geo
-from ..session import engine
+from ..session import engine, write_table
 from .oracle import BASE, DESIGN, LONE, STAPLE_BASES, VECTOR, domain, joined, kinds
 from .queries import ID, REACH, _base, _joined, _long, _vectors
 
@@ -264,13 +264,13 @@ from x where kind > 0 or k <= 0"""
 
 
 def contact_map_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps written in the contact-map format, headings too, and read again."""
+    """Maps written in the contact-map format, headings too, and read again; the written lines are a table, as files would be."""
     from ..sources.readers import contact_map_tables
     from ..sources.writers import contact_map_csv
 
     text = contact_map_csv(_map(spark, sf_dir), "x.csv", "test")
     no = F.row_number().over(Window.partitionBy(ID).orderBy("part", "ord"))
-    m, st, sc, errors = contact_map_tables(text.select(ID, F.lit(0).alias("file_size"), no.alias("line_no"), "line"))
+    m, st, sc, errors = contact_map_tables(write_table(text.select(ID, F.lit(0).alias("file_size"), no.alias("line_no"), "line")))
     places = F.aggregate("base_i53", F.lit(0).cast("long"), lambda a, x: a + x)
     own = st.groupBy(ID).agg(F.sum("num_sections").alias("sections"), F.sum(places).alias("places"), F.sum(F.size("section_lengths")).alias("lengths"))
     dom = sc.groupBy(ID).agg((F.max("scaffold_domain_id") + 1).cast("long").alias("domains"), F.sum("staple_base_id").alias("base_ids"))
