@@ -123,10 +123,25 @@ class Origami:
     def csv(self, filename: str = "", made_by: str = "") -> DataFrame:
         return writers.contact_map_csv(self.map, filename, made_by)
 
-    def schematic(self, dim: int = 2) -> DataFrame:
-        """design_id, html. Ids that are not numbers are hashed on the way and named again at the end."""
-        ids = self.map.designs.select(F.col(ID).alias("name"), F.xxhash64(ID).alias("key"))
-        e = graph.edges(self.map)
-        e = e.join(ids, e[ID] == ids["name"]).withColumn(ID, F.col("key")).drop("name", "key")
-        page = schematic.pages(schematic.force_graph(e, graph.nodes(e), schematic.layout(e, dim), graph.ambiguity(e)))
-        return page.join(ids.withColumnRenamed("key", ID), ID).select(F.col("name").alias(ID), "html")
+    def guides(self) -> tuple[DataFrame, Origami, Origami]:
+        """Status of each design, and the maps without staples at one-base domains and without the domains."""
+        status, fewer, shorter = cm.guide_maps(self.map)
+        return status, Origami(fewer), Origami(shorter)
+
+    def layout(self, dim: int = 2) -> DataFrame:
+        """design_id, node_id, coords: where the nodes are drawn. Ids that are not numbers are hashed on the way and named again at the end."""
+        names = self.map.designs.select(F.col(ID).alias("name"), F.xxhash64(ID).alias(ID))
+        at = schematic.layout(graph.edges(self.map).withColumn(ID, F.xxhash64(ID)), dim)
+        return at.join(names, ID).select(F.col("name").alias(ID), "node_id", "coords")
+
+    def schematic(self, dim: int = 2, places: DataFrame | None = None) -> DataFrame:
+        """design_id, html, drawn at the places of a saved layout if they are given."""
+        names = self.map.designs.select(F.col(ID).alias("name"), F.xxhash64(ID).alias(ID))
+        e = graph.edges(self.map).withColumn(ID, F.xxhash64(ID))
+        at = schematic.layout(e, dim) if places is None else places.withColumn(ID, F.xxhash64(ID))
+        page = schematic.pages(schematic.force_graph(e, graph.nodes(e), at, graph.ambiguity(e)))
+        return page.join(names, ID).select(F.col("name").alias(ID), "html")
+
+    def tweak(self, places: DataFrame, degrees: float = 0.0, mirror_x: bool = False, mirror_y: bool = False) -> DataFrame:
+        """design_id, html: a saved plane layout mirrored, then turned, and drawn again; a design without one has no row."""
+        return self.schematic(places=schematic.oriented(places, degrees, mirror_x, mirror_y))

@@ -64,6 +64,17 @@ def partners(base: Column | str, material: str, watson_crick: bool = True) -> Co
     return out.when(b == "G", F.array(*map(F.lit, g))).when(b == "T", F.array(*map(F.lit, t)))
 
 
+def interchangeable(base: Column | str, staple: str, scaffold: str) -> Column:
+    """Letters that may stand in a staple for a base of it, which pairs by Watson-Crick rules, if GU wobbles pair as well; null for other letters."""
+    b = _col(base)
+    out = F.array(b)
+    if scaffold == "RNA":
+        out = F.when(b == "A", F.array(b, F.lit("G"))).otherwise(out)
+    if staple == "RNA":
+        out = F.when(b == "C", F.array(b, F.lit("U"))).otherwise(out)
+    return F.when(is_sequence_of(b, staple) & (F.length(b) == 1), out)
+
+
 def mark_poly_t(seq: Column | str, least: int = 4) -> Column:
     """Each longest run of at least so many T between two *."""
     return F.regexp_replace(_col(seq), f"(T{{{least},}})", r"*$1*")

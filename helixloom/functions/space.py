@@ -33,10 +33,10 @@ def may_pair(r1: Column, b1: Column, r2: Column, b2: Column, cutoff: float, most
     return (distance(r1, r2) <= cutoff) & (angle(b1, minus(r1, r2)) <= most) & (angle(b2, minus(r2, r1)) <= most)
 
 
-def turned(x: Column, y: Column, degrees: float, origin: tuple[float, float] = (0.0, 0.0)) -> tuple[Column, Column]:
-    """A point turned clockwise about the origin."""
+def turned(x: Column, y: Column, degrees: float, origin: tuple[Column | float, Column | float] = (0.0, 0.0)) -> tuple[Column, Column]:
+    """A point turned about the origin, clockwise as a page shows it, where y grows downwards."""
     import math
 
     c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
     dx, dy = x - origin[0], y - origin[1]
-    return origin[0] + c * dx + s * dy, origin[1] - s * dx + c * dy
+    return origin[0] + c * dx - s * dy, origin[1] + s * dx + c * dy

@@ -363,3 +363,18 @@ def renumber_by_sequence(master: ContactMap, cm: ContactMap) -> tuple[ContactMap
     staples = ok.select(ID, F.coalesce("m", F.lit(9999) + F.row_number().over(w)).cast("int").alias("staple_id"), "sequence53", "section_lengths", "base_i53")
     keep = lambda df: df.join(bad, ID, "left_anti")
     return ContactMap(keep(cm.designs), keep(cm.scaffold), staples), done
+
+
+def guide_maps(cm: ContactMap) -> tuple[DataFrame, ContactMap, ContactMap]:
+    """Whether each map can be drawn (design_id, status), and two approximate ones of those that cannot.
+
+    status 0: no domain of one base, the map itself can be drawn. 1: both other maps have the design, the first without the
+    staples next to such domains, the second without the bases of the domains. 2: such a domain is paired, neither has it.
+    """
+    fewer, _ = remove_staples_at_one_base_domains(cm)
+    shorter, log = delete_one_base_domains(cm)
+    found = log.groupBy(ID).agg(F.when(F.count("error") > 0, 2).otherwise(1).alias("status"))
+    status = cm.designs.select(ID).join(found, ID, "left").select(ID, F.coalesce("status", F.lit(0)).alias("status"))
+    made = status.filter("status = 1").select(ID)
+    only = lambda m: ContactMap(*[t.join(made, ID, "left_semi") for t in (m.designs, m.scaffold, m.staples)])
+    return status, only(fewer), only(shorter)

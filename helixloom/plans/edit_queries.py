@@ -346,6 +346,58 @@ x as (select distinct design_id, 0 as part, 0 as ord, 'scaffold nucleotide id, s
 select cast(design_id as bigint) as design_id, cast(part as bigint) as part, cast(ord as bigint) as ord, line from x"""
 
 
+def guide_map_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and sizes of the maps to draw: a third of the designs has staples whose first section is one base, a third lacks its 5' base."""
+    design, staples, sections = _base(spark, sf_dir)
+    kind, first = F.col(ID) % 3, F.col("section_id") == 0
+    at = sections.withColumn("i53", F.col("i53") - F.when(first & (kind == 1), 1).otherwise(0))
+    at = at.withColumn("runlen", F.when(first & (kind == 0), 1).when(first & (kind == 1), 15).otherwise(F.col("runlen")))
+    less = F.when(kind == 0, F.concat(F.left("seq53", F.lit(1)), F.right("seq53", F.lit(16)))).when(kind == 1, F.substring("seq53", 2, 31)).otherwise(F.col("seq53"))
+    status, fewer, shorter = cm.guide_maps(cm.build(design, at, staples.withColumn("seq53", less)).materialise())
+    left = fewer.staples.groupBy(ID).agg(F.count("*").alias("staples"))
+    size = shorter.scaffold.groupBy(ID).agg(F.count("*").alias("bases"))
+    out = status.join(left, ID, "left").join(size, ID, "left")
+    return out.select(ID, *_long("status"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("staples", "bases")])
+
+
+GUIDE_MAP_STATUS = f"""with {DESIGN}, {BASE}, lab as (select *, case when free then -1 else 2 * staple_id + section_id end as label, case when free then -1 else staple_id end as e from (
+  select *, staple_id < 0 or (section_id = 0 and case design_id % 3 when 0 then base_id > 0 when 1 then base_id = 0 else false end) as free from base)),
+nb as (select *, lag(label) over w as p, lead(label) over w as q, coalesce(lead(e) over w, lag(e) over w) as nxt, first_value(label) over (partition by design_id order by i53) as l0,
+    first_value(label) over (partition by design_id order by i53 desc) as l1 from lab window w as (partition by design_id order by i53)),
+lone as (select design_id, i53, free, nxt from nb where (p is null or p <> label) and (q is null or q <> label) and not (circular and i53 in (0, n - 1) and l0 = l1)),
+st as (select design_id, case when count(*) filter (not free) > 0 then 2 else 1 end as status, count(*) as gone from lone group by 1),
+k as (select s.design_id, count(*) as k from staple s where not exists (select 1 from lone l where l.design_id = s.design_id and l.nxt = s.staple_id) group by 1)
+select d.design_id, cast(coalesce(status, 0) as bigint) as status, case when status = 1 then coalesce(k, 0) else 0 end as staples, case when status = 1 then n - gone else 0 end as bases
+from design d left join st on st.design_id = d.design_id left join k on k.design_id = d.design_id"""
+
+
+def layout_tweaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a plane layout mirrored and turned by 30 degrees."""
+    from ..operators.schematic import oriented
+
+    one, _ = _vectors(spark, sf_dir)
+    at = oriented(one.select(ID, F.col("a").alias("node_id"), F.slice("ra", 1, 2).alias("coords")), 30.0, mirror_y=True)
+    return at.select(*_long(ID), "node_id", *[F.round(F.col("coords")[k], 6).alias(c) for k, c in enumerate("xy")])
+
+
+LAYOUT_TWEAKS = f"""with {VECTOR}, p as (select design_id, vec_id as node_id, -r[1] as x, r[2] as y from v where vec_id % 2 = 0 and design_id is not null),
+low as (select design_id, min(x) as a, min(y) as b from p group by 1)
+select cast(design_id as bigint) as design_id, node_id, round(a + cos(radians(30)) * (x - a) - sin(radians(30)) * (y - b), 6) as x,
+  round(b + sin(radians(30)) * (x - a) + cos(radians(30)) * (y - b), 6) as y from p join low using (design_id)"""
+
+
+def staple_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters that may stand for a staple's base, by the materials of staple and scaffold."""
+    at = engine(spark).range(1).select(F.explode(F.array(*map(F.lit, "ACGTUN"))).alias("base"))
+    text = lambda s, t: F.coalesce(F.array_join(seq.interchangeable("base", s, t), ""), F.lit(""))
+    return at.select("base", *[text(s, t).alias(f"{s}_{t}".lower()) for s in ("DNA", "RNA") for t in ("DNA", "RNA")])
+
+
+# Letters that pair with the scaffold base that A, C, G, T and U of a staple pair with.
+STAPLE_LETTERS = """select * from (values ('A', 'A', 'AG', 'A', 'AG'), ('C', 'C', 'C', 'CU', 'CU'), ('G', 'G', 'G', 'G', 'G'), ('T', 'T', 'T', '', ''),
+  ('U', '', '', 'U', 'U'), ('N', '', '', '', '')) t(base, dna_dna, dna_rna, rna_dna, rna_rna)"""
+
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in [
@@ -354,5 +406,6 @@ QUERIES = {
         (grid_best_region, GRID_BEST_REGION), (consensus_region, CONSENSUS_REGION), (circular_walk, CIRCULAR_WALK),
         (longest_strand, LONGEST_STRAND), (rev_reader, REV_READER), (rev_errors, REV_ERRORS),
         (contact_map_reader, CONTACT_MAP_READER), (staple_edges, STAPLE_EDGES), (letter_pairs, LETTER_PAIRS), (pair_list_lines, PAIR_LIST_LINES),
+        (guide_map_status, GUIDE_MAP_STATUS), (layout_tweaks, LAYOUT_TWEAKS), (staple_letters, STAPLE_LETTERS),
     ]
 }
