@@ -1,15 +1,18 @@
 """A Merkle manifest of a dataset, by supersteps over key-value RDDs.
 
 Leaves are rows in the order of their tree's key. Eight consecutive nodes are a run, whose parent is the hash of their
-digests; each tree ends in one node. All trees are one graph, of vertices (tree, number of the run) on each level:
+digests; each tree ends in one node. All trees are one graph. A vertex is a small subtree of LEVELS levels of parents, over
+up to 512 nodes, known by its tree and its number on its level, so that a superstep, which costs a shuffle, passes several
+levels of hashes:
 
-    up      a node sends its digest to its parent; a parent that has all its children hashes them and sends on
-    down    a parent sends each child its path: the siblings' digests of every level above, left and right of it
+    up      nodes send their digests to the vertex above; one that has all its children hashes them and sends on
+    down    a vertex sends each child its path: the siblings' digests of every level above, left and right of it
 
-A message crosses at most one shuffle and carries at most eight digests, or one path, so a tree that has most of the rows
-is spread like any other. The runs of leaves stay with their parents: the last step down is inside a vertex, and the paths
-that travel are those of runs, not of rows. Nothing is collected but the number of rows at both ends of each sorted
-partition. Levels are read again from their shuffles' files on the way down, and made anew where those are lost.
+A message is one digest or one path, and a vertex has at most 512 children, so a tree that has most of the rows is spread
+like any other. Leaves stay with the vertex above them: the last step down is inside it, and the paths that travel are those
+of vertices, not of rows. A tree that has ended passes its root on, so that all end on the same level. Nothing is collected
+but the number of rows at both ends of each sorted partition, and the root. Levels are read again from their shuffles' files
+on the way down, and made anew where those are lost.
 
 The trees' roots are the leaves of one more tree, in the order of the trees' keys; its root is the dataset's.
 """
@@ -17,7 +20,7 @@ The trees' roots are the leaves of one more tree, in the order of the trees' key
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import sha256
 
 from pyspark import RDD
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .shared import column, documents, drop_table, persist_table, with_row_id
 
-#: Children of a node.
-FAN = 8
+#: Children of a node, levels of parents in a vertex, and nodes below a vertex.
+FAN, LEVELS = 8, 3
+SPAN = FAN**LEVELS
 #: Key of a vertex: its tree, as text in UTF-8 (none: null), and its number on its level.
 Key = tuple[str | None, int]
 
@@ -97,93 +101,85 @@ def numbered(rows: DataFrame, tree: str, order: list[str], partitions: int) -> t
     return at.mapPartitionsWithIndex(number), most
 
 
-def height(n: int) -> int:
-    """Levels of parents above n leaves."""
-    out = 0
-    while n > 1:
-        n, out = -(-n // FAN), out + 1
-    return out
-
-
 def gather(messages: RDD, partitions: int) -> RDD:
     """A superstep's vertices: what their children sent, (place, last, digest, rest), in order. A child that is missing is an error."""
 
     def complete(item: tuple) -> tuple:
         (tree, j), sent = item
-        children = sorted(sent)
-        if [c[0] for c in children] != list(range(len(children))) or (len(children) < FAN and not children[-1][1]):
-            raise RuntimeError(f"node {j} of tree {tree!r} lacks children")
+        children = sorted(sent, key=lambda c: c[0])
+        if [c[0] for c in children] != list(range(len(children))) or (len(children) < SPAN and not children[-1][1]):
+            raise RuntimeError(f"vertex {j} of tree {tree!r} lacks children")
         return item[0], children
 
     return messages.groupByKey(partitions, _place).map(complete, preservesPartitioning=True)
 
 
-def send_up(level: RDD) -> RDD:
-    """From the vertices of a level to their parents; vertices that are alone on their level have none."""
+def grown(key: Key, children: list) -> list[list[str]]:
+    """The levels of digests in a vertex, from its children on: up to one node if the tree ends here, else LEVELS of parents."""
+    levels = [[c[2] for c in children]]
+    ends = key[1] == 0 and children[-1][1]
+    while len(levels[-1]) > 1 if ends else len(levels) <= LEVELS:
+        now = levels[-1]
+        levels.append([digest(now[k : k + FAN]) for k in range(0, len(now), FAN)])
+    return levels
 
-    def message(item: tuple) -> Iterator:
-        (tree, j), children = item
-        last = children[-1][1]
-        if j or not last:
-            yield (tree, j // FAN), (j % FAN, last, digest([c[2] for c in children]), None)
 
-    return level.flatMap(message)
+def beside(levels: list[list[str]], p: int) -> tuple[tuple[str, str], ...]:
+    """The digests left and right of child p and of its parents in the vertex, level by level."""
+    out = []
+    for level in levels[:-1]:
+        run = level[p - p % FAN :][:FAN]
+        out.append(("".join(run[: p % FAN]), "".join(run[p % FAN + 1 :])))
+        p //= FAN
+    return tuple(out)
 
 
-def tops(level: RDD, k: int) -> RDD:
-    """(tree, digest) of the trees that end in a vertex of this level, the k-th above the leaves. A lone leaf is its own tree."""
+def rise(leaves: RDD, most: int, partitions: int) -> list[RDD]:
+    """The levels of vertices, from the lowest; leaves are (tree, number, last, digest, rest), at most ``most`` of a tree."""
+    messages = leaves.map(lambda x: ((x[0], x[1] // SPAN), (x[1] % SPAN, x[2], x[3], x[4])))
 
-    def top(item: tuple) -> Iterator:
+    def send(item: tuple) -> tuple:
         (tree, j), children = item
-        if j == 0 and children[-1][1]:
-            yield tree, (children[0][2] if k == 1 and len(children) == 1 else digest([c[2] for c in children])), k
-
-    return level.flatMap(top)
+        return (tree, j // SPAN), (j % SPAN, children[-1][1], grown(*item)[-1][0], None)
 
-
-def rise(leaves: RDD, most: int, partitions: int) -> list[RDD]:
-    """The levels of parents, from the lowest; leaves are (tree, number, last, digest, rest)."""
-    messages = leaves.map(lambda x: ((x[0], x[1] // FAN), (x[1] % FAN, x[2], x[3], x[4])))
-    levels = []
-    for _ in range(max(1, height(most))):
-        levels.append(gather(messages, partitions))
-        messages = send_up(levels[-1])
+    levels = [gather(messages, partitions)]
+    while most > SPAN:
+        most = -(-most // SPAN)
+        levels.append(gather(levels[-1].map(send), partitions))
     return levels
 
 
-def beside(children: list, p: int) -> tuple[str, str]:
-    """The digests left and right of child p."""
-    return "".join([c[2] for c in children[:p]]), "".join([c[2] for c in children[p + 1 :]])
+def roots_of(levels: list[RDD]) -> RDD:
+    """(tree, digest) of the node in which each tree ends."""
+    return levels[-1].map(lambda x: (x[0][0], grown(*x)[-1][0]))
 
 
-def descend(levels: list[RDD], above: RDD, partitions: int, use: Callable[[Key, list, tuple], Iterator]) -> RDD:
-    """use(key, children, path) for each vertex of the lowest level.
+def descend(levels: list[RDD], partitions: int, above: RDD | None = None) -> RDD:
+    """(key, children, levels of digests, path) for each vertex of the lowest level.
 
-    above has (tree, (level on which it ends, path above its root)); a path is a tuple of (left, right), from below.
+    A path is a tuple, from below: (left, right) for each level of parents, then what above has for the tree, (tree, tuple).
     """
 
     def meet(level: RDD, messages: RDD) -> RDD:
-        both = level.map(lambda x: (x[0], (0, x[1])), preservesPartitioning=True)
-        return both.union(messages.map(lambda x: (x[0], (1, x[1])))).groupByKey(partitions, _place)
+        both = level.map(lambda x: (x[0], (0, x[1]))).union(messages.map(lambda x: (x[0], (1, x[1])))).groupByKey(partitions, _place)
 
-    def forward(item: tuple) -> Iterator:
-        (tree, j), found = item
-        found = dict(found)
-        for child in found[0]:
-            yield (tree, j * FAN + child[0]), (beside(found[0], child[0]), *found[1])
+        def pair(item: tuple) -> tuple:
+            found = dict(item[1])
+            return item[0], found[0], found[1]
 
-    def finish(item: tuple) -> Iterator:
-        found = dict(item[1])
-        return use(item[0], found[0], found[1])
+        return both.map(pair)
+
+    def forward(item: tuple) -> Iterator:
+        (tree, j), children, path = item
+        inside = grown((tree, j), children)
+        for child in children:
+            yield (tree, j * SPAN + child[0]), (*beside(inside, child[0]), *path)
 
-    paths = None
-    for k in range(len(levels), 0, -1):
-        here = above.filter(lambda x, k=k: x[1][0] == k).map(lambda x: ((x[0], 0), x[1][1]))
-        met = meet(levels[k - 1], here if paths is None else paths.union(here))
-        if k == 1:
-            return met.flatMap(finish)
-        paths = met.flatMap(forward)
-    raise ValueError("a tree has a level at least")
+    top = levels[-1]
+    now = top.map(lambda x: (x[0], x[1], ())) if above is None else meet(top, above.map(lambda x: ((x[0], 0), x[1])))
+    for level in levels[-2::-1]:
+        now = meet(level, now.flatMap(forward))
+    return now.map(lambda x: (x[0], x[1], grown(x[0], x[1]), x[2]))
 
 
 def manifest(rows: DataFrame, tree: str, order: list[str], leaf: str, told: str, keep: list[str], partitions: int | None = None) -> DataFrame:
@@ -207,31 +203,29 @@ def manifest(rows: DataFrame, tree: str, order: list[str], leaf: str, told: str,
     kept = len(keep)
     levels = rise(leaves.map(lambda x: (x[0], x[1], x[2], x[3][at_leaf], (x[3][first_kept : first_kept + kept], None if x[3][at_told] == x[3][at_leaf] else x[3][at_told]))), most, n)
 
-    ends = spark.sparkContext.union([tops(level, k + 1) for k, level in enumerate(levels)])
-    roots = persist_table(spark.createDataFrame(ends, "tree string, top string, level int", verifySchema=False))
+    roots = persist_table(spark.createDataFrame(roots_of(levels), "tree string, top string", verifySchema=False))
     trees, many = numbered(roots.withColumn("all", F.lit("")), "all", ["tree"], n)
     upper = rise(trees.map(lambda x: (x[0], x[1], x[2], x[3][1], x[3])), many, n)
-    root = tops(upper[-1], len(upper)).map(lambda x: (x[0], (x[2], ())))
-    dataset = tops(upper[-1], len(upper)).first()[1]
+    ((_, dataset),) = roots_of(upper).collect()
 
-    def to_tree(key: Key, children: list, path: tuple) -> Iterator:
-        alone = key[1] == 0 and len(children) == 1 and children[0][1]
-        for p, _, top, (name, _, level, _) in children:
-            yield name, (level, (top, path if alone else (beside(children, p), *path)))
+    def to_tree(item: tuple) -> Iterator:
+        _, children, inside, path = item
+        for p, _, top, (name, *_) in children:
+            yield name, ((top, (*beside(inside, p), *path)),)
 
-    def to_rows(key: Key, children: list, path: tuple) -> Iterator:
+    def to_rows(item: tuple) -> Iterator:
+        _, children, inside, path = item
         (top, outer), inner = path[-1], path[:-1]
-        alone = key[1] == 0 and len(children) == 1 and children[0][1]
         for p, _, own, (values, have) in children:
-            steps = [*([] if alone else [beside(children, p)]), *inner, *outer]
+            steps = [*beside(inside, p), *inner, *outer]
             fold = own if have is None else have
             for left, right in steps:
                 fold = digest([left, fold, right])
             yield (*values, own, top, dataset, digest([x for step in steps for x in step]), fold, fold == dataset)
 
-    # the path above a tree's root ends in the tree's own top and the steps of the upper tree
-    above = descend(upper, root, n, to_tree).map(lambda x: (x[0], (x[1][0], (x[1][1],))))
-    return spark.createDataFrame(descend(levels, above, n, to_rows), schema, verifySchema=False)
+    # what a tree gets from above is its own root and the steps from there to the dataset's
+    above = descend(upper, n).flatMap(to_tree)
+    return spark.createDataFrame(descend(levels, n, above).flatMap(to_rows), schema, verifySchema=False)
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def write_documents(spark, folder, docs):
     df.repartition(3).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
 
 
-@pytest.mark.parametrize("sizes", [{}, {"a": 1}, {None: 1, "": 1}, {"a": 8, "b": 9, None: 64}, {"a": 65, "é": 2, "z": 1, "": 3}, {f"l{k:02}": k % 3 + 1 for k in range(70)}, {"a": 600, "b": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"a": 1}, {None: 1, "": 1}, {"a": 8, "b": 9, None: 64}, {"a": 65, "é": 2, "z": 1, "": 3}, {f"l{k:02}": k % 3 + 1 for k in range(70)}, {"a": 600, "b": 1}, {"a": 512, "b": 513, "c": 511}])
 def test_manifest(spark, tmp_path, sizes):
     r = random.Random(len(sizes))
     docs = []
@@ -165,6 +165,18 @@ def test_a_missing_child_is_an_error(spark):
         merkle.gather(lost, 2).collect()
 
 
+def test_two_supersteps(spark):
+    """A tree of more rows than a vertex holds, by two levels of vertices."""
+    digests = [h(str(k)) for k in range(600 * 600 // 2)]
+    leaves = spark.sparkContext.parallelize([("t", k, k == len(digests) - 1, d, None) for k, d in enumerate(digests)], 4)
+    levels = merkle.rise(leaves, len(digests), 4)
+    assert len(levels) == 2
+    level = digests
+    while len(level) > 1:
+        level = [h(*level[k : k + 8]) for k in range(0, len(level), 8)]
+    assert merkle.roots_of(levels).collect() == [("t", level[0])]
+
+
 # ---- whitening
 
 
