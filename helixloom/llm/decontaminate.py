@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import prepare
 from .shared import documents, fresh, persist_table, with_row_id
@@ -169,10 +170,11 @@ def candidates(docs: DataFrame, bench: DataFrame) -> DataFrame:
     widths = sorted(r["width"] for r in bench.select("width").distinct().collect())  # at most WINDOW
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
     names = ["h", "doc", "id", "dpos", "dslots", "second"]
+    id_type = to_arrow_type(docs.schema["id"].dataType)
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
         h, doc, at, slots, second = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.nulls(len(out), pa.int64()), pa.array(at, pa.int32()), pa.array(slots, pa.string()), pa.array(second, pa.bool_())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.nulls(len(out), id_type), pa.array(at, pa.int32()), pa.array(slots, pa.string()), pa.array(second, pa.bool_())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = Hashes(), np.frombuffer(shared.value, np.uint8)
@@ -225,7 +227,7 @@ def candidates(docs: DataFrame, bench: DataFrame) -> DataFrame:
             if out:
                 yield rows(out)
 
-    return docs.select("doc", "id", "text").mapInArrow(run, "h long, doc long, id long, dpos int, dslots string, second boolean")
+    return docs.select("doc", "id", "text").mapInArrow(run, f"h long, doc long, id {docs.schema['id'].dataType.simpleString()}, dpos int, dslots string, second boolean")
 
 
 def matches(found: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -257,13 +259,14 @@ def matches(found: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> D
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").alias("text"))
+    """The benchmark with a number of its own for each row in ``item``: ids may be null, repeated, or of any type."""
+    return with_row_id(benchmark.select("item_id", "text"), "item")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """The documents that no benchmark item contaminates, columns unchanged. Null and empty texts stay, as do all if the benchmark is empty.
 
-    Texts are read whole, whatever their length.
+    Texts are read whole, whatever their length. Rows of the benchmark are items of their own, whatever their ids are.
     """
     row = fresh(docs, "_row")
     rows, bench = with_row_id(docs, row), persist_table(benchmark_windows(_items(benchmark), size))
@@ -274,13 +277,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def flag_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """One row per document: doc_id, contaminated, kept, n_items, item_ids (sorted, joined by commas), coverage of the best.
 
-    Repeated and null ids are rows of their own. Null item ids do not count in item_ids, but contaminate.
+    Repeated and null ids are rows of their own, on both sides: n_items counts rows of the benchmark, and item_ids has their
+    distinct ids, in the order of their type, without null ones. Ids keep their type.
     """
-    bench = persist_table(benchmark_windows(_items(benchmark), size))
+    items = _items(benchmark)
+    bench = persist_table(benchmark_windows(items, size))
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-    ids = persist_table(candidates(rows.select(F.col("_row").alias("doc"), F.col("doc_id").cast("long").alias("id"), "text"), bench))
+    ids = persist_table(candidates(rows.select(F.col("_row").alias("doc"), F.col("doc_id").alias("id"), "text"), bench))
     found = matches(ids, bench, coverage)
-    per = found.groupBy(F.col("doc").alias("_row")).agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item")).cast("array<string>")).alias("item_ids"), F.max("coverage").alias("coverage"))
+    found = found.join(items.select("item", "item_id"), "item")
+    per = found.groupBy(F.col("doc").alias("_row")).agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_set("item_id")).cast("array<string>")).alias("item_ids"), F.max("coverage").alias("coverage"))
     out = ids.filter("dpos = -1").select(F.col("doc").alias("_row"), F.col("id").alias("doc_id")).join(per, "_row", "left")
     bad = F.col("n_items").isNotNull()
     return out.select("doc_id", bad.alias("contaminated"), (~bad).alias("kept"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
