@@ -56,9 +56,12 @@ class ContactMap:
         at = at.select(ID, "i53", "base_letter", "circular", *[F.coalesce(F.col(f"c.{c}"), F.lit(-1)).alias(n) for c, n in (("staple_id", "staple_id"), ("section_id", "staple_section_id"), ("staple_base_id", "staple_base_id"))])
         return number_domains(at).select(ID, "i53", "base_letter", "scaffold_domain_id", "staple_id", "staple_section_id", "staple_base_id")
 
-    def full_staples(self) -> DataFrame:
-        """staples with num_sections and section_scaffold_domain_ids, where equal neighbours are one entry."""
-        domains = self.bases().select(ID, "i53", "scaffold_domain_id")
+    def full_staples(self, bases: DataFrame | None = None) -> DataFrame:
+        """staples with num_sections and section_scaffold_domain_ids, where equal neighbours are one entry.
+
+        bases is what bases() gives, for a caller that has it already.
+        """
+        domains = (self.bases() if bases is None else bases).select(ID, "i53", "scaffold_domain_id")
         at = self.staples.select(ID, "staple_id", F.posexplode("base_i53").alias("k", "i53")).join(domains, [ID, "i53"], "left")
         lists = at.groupBy(ID, "staple_id").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("scaffold_domain_id", F.lit(-1)).alias("d")))).alias("l"))
         lists = lists.select(ID, "staple_id", F.expr("transform(filter(l, (x, i) -> i = 0 or x.d <> l[i - 1].d), x -> x.d)").alias("section_scaffold_domain_ids"))
@@ -164,6 +167,7 @@ def recompose(cm: ContactMap, loopouts: DataFrame, dangles: DataFrame | None = N
 def change_scaffold(cm: ContactMap, sequences: DataFrame, scaffold_material: str = "DNA", staple_material: str = "DNA") -> ContactMap:
     """New scaffold sequences (design_id, scaffold53_new), and staples complementary to them.
 
+    A scaffold is one value, so a design's sequence has to fit a row; a staple's letters are collected by staple.
     Free staple bases stay. A linear scaffold takes a longer sequence, its extra bases unpaired; a longer one for a
     circular scaffold is cut. Designs without a new sequence stay as they are.
     """
@@ -180,7 +184,7 @@ def change_scaffold(cm: ContactMap, sequences: DataFrame, scaffold_material: str
 
 
 def scaffold_sequences(cm: ContactMap) -> DataFrame:
-    """design_id, scaffold53."""
+    """design_id, scaffold53: the letters of a design are collected, so its sequence has to fit a row."""
     return cm.scaffold.groupBy(ID).agg(F.array_join(F.expr("transform(sort_array(collect_list(struct(i53, base_letter))), x -> x.base_letter)"), "").alias("scaffold53"))
 
 
@@ -207,10 +211,13 @@ def poly_t_all(cm: ContactMap) -> ContactMap:
 
 
 def _at_ends(cm: ContactMap) -> DataFrame:
-    """design_id, n, circular, and staple and section at both ends of the scaffold."""
-    b = cm.bases()
-    label = F.struct("staple_id", "staple_section_id")
-    return b.groupBy(ID).agg(F.count("*").cast("int").alias("n"), F.min_by(label, "i53").alias("five"), F.max_by(label, "i53").alias("three")).join(cm.designs, ID)
+    """design_id, n, circular, and staple and section (-1: none) at both ends of the scaffold."""
+    n = cm.scaffold.groupBy(ID).agg(F.count("*").cast("int").alias("n"), F.min("i53").alias("a"), F.max("i53").alias("b"))
+    label = F.struct("staple_id", "staple_base_id", F.col("section_id").alias("staple_section_id"))
+    held = cm.claims().join(n, ID).filter("i53 = a or i53 = b").groupBy(ID)
+    held = held.agg(*[F.max(F.when(F.col("i53") == F.col(c), label)).alias(name) for c, name in (("a", "five"), ("b", "three"))])
+    end = lambda name: F.struct(*[F.coalesce(F.col(f"{name}.{c}"), F.lit(-1)).alias(c) for c in ("staple_id", "staple_section_id")]).alias(name)
+    return n.join(held, ID, "left").join(cm.designs, ID).select(ID, "n", end("five"), end("three"), "circular")
 
 
 def make_circular(cm: ContactMap) -> tuple[ContactMap, DataFrame]:
@@ -271,20 +278,20 @@ def rotate(cm: ContactMap, offsets: DataFrame, scaffold_material: str = "DNA", s
     """The scaffold sequence at another offset (design_id, i3) of the same routing.
 
     Circular designs get their sequence turned; linear ones are closed, cut at i3 and given their sequence again. Linear
-    designs that cannot be closed stay.
+    designs that cannot be closed stay. The map is written between the steps, so each step's plan is its own.
     """
-    seqs = scaffold_sequences(cm)
-    want = offsets.join(cm.designs, ID)
-    turn = want.filter("circular").join(seqs, ID).select(ID, rotated(F.col("scaffold53"), F.col("i3")).alias("scaffold53_new"))
-    out = change_scaffold(cm, turn, scaffold_material, staple_material)
+    cm = cm.materialise()
+    want = write_table(offsets.join(cm.designs, ID).join(scaffold_sequences(cm), ID).select(ID, "i3", "circular", "scaffold53"))
     line = want.filter("not circular").select(ID, "i3")
-    only = lambda df: df.join(line.select(ID), ID, "left_semi")
-    some = ContactMap(only(cm.designs), only(cm.scaffold), only(cm.staples))
-    closed, done = make_circular(some)
-    cut, _ = make_linear(closed, line.join(done.filter("done"), ID).select(ID, "i3"))
-    back = change_scaffold(cut, only(seqs).withColumnRenamed("scaffold53", "scaffold53_new"), scaffold_material, staple_material)
-    other = lambda df: df.join(line.select(ID), ID, "left_anti")
-    return ContactMap(*[other(getattr(out, k)).unionByName(getattr(back, k)) for k in ("designs", "scaffold", "staples")])
+    part = lambda m, how: ContactMap(*[t.join(line.select(ID), ID, how) for t in (m.designs, m.scaffold, m.staples)])
+    closed, done = make_circular(part(cm, "left_semi"))
+    done = write_table(done)
+    cut, _ = make_linear(closed.materialise(), line.join(done.filter("done"), ID).select(ID, "i3"))
+    # all designs together take their sequence: circles a turned one, lines the one that they had
+    rest = part(cm, "left_anti")
+    every = ContactMap(*[getattr(rest, k).unionByName(getattr(cut, k)) for k in ("designs", "scaffold", "staples")]).materialise()
+    new = F.when(F.col("circular"), rotated(F.col("scaffold53"), F.col("i3"))).otherwise(F.col("scaffold53"))
+    return change_scaffold(every, want.select(ID, new.alias("scaffold53_new")), scaffold_material, staple_material)
 
 
 def one_base_domains(bases: DataFrame, designs: DataFrame) -> DataFrame:
@@ -298,12 +305,12 @@ def one_base_domains(bases: DataFrame, designs: DataFrame) -> DataFrame:
     return at.filter(~(F.col("circular") & end & (F.col("_a") == F.col("_z")))).select(ID, "i53", "staple_id")
 
 
-def remove_staples_at_one_base_domains(cm: ContactMap) -> tuple[ContactMap, DataFrame]:
+def remove_staples_at_one_base_domains(cm: ContactMap, bases: DataFrame | None = None) -> tuple[ContactMap, DataFrame]:
     """Without the staple after each unpaired one-base domain (before it at the 3' end); and design_id, i53, staple_id, error.
 
     error is set where the domain is paired; such a design stays as it is.
     """
-    bases = cm.bases()
+    bases = cm.bases() if bases is None else bases
     w = Window.partitionBy(ID).orderBy("i53")
     near = bases.select(ID, "i53", F.coalesce(F.lead("staple_id").over(w), F.lag("staple_id").over(w)).alias("next"))
     at = one_base_domains(bases, cm.designs).join(near, [ID, "i53"])
@@ -312,9 +319,9 @@ def remove_staples_at_one_base_domains(cm: ContactMap) -> tuple[ContactMap, Data
     return delete_staples(cm, log.join(bad, ID, "left_anti").filter("staple_id >= 0")), log
 
 
-def delete_one_base_domains(cm: ContactMap) -> tuple[ContactMap, DataFrame]:
+def delete_one_base_domains(cm: ContactMap, bases: DataFrame | None = None) -> tuple[ContactMap, DataFrame]:
     """Without the scaffold bases of unpaired one-base domains, later bases renumbered; and design_id, i53, error."""
-    found = one_base_domains(cm.bases(), cm.designs)
+    found = one_base_domains(cm.bases() if bases is None else bases, cm.designs)
     log = found.select(ID, "i53", F.when(F.col("staple_id") >= 0, "paired").alias("error"))
     bad = log.filter("error is not null").select(ID).distinct()
     gone = log.join(bad, ID, "left_anti").select(ID, "i53", F.lit(1).alias("_gone"))
@@ -371,8 +378,10 @@ def guide_maps(cm: ContactMap) -> tuple[DataFrame, ContactMap, ContactMap]:
     status 0: no domain of one base, the map itself can be drawn. 1: both other maps have the design, the first without the
     staples next to such domains, the second without the bases of the domains. 2: such a domain is paired, neither has it.
     """
-    fewer, _ = remove_staples_at_one_base_domains(cm)
-    shorter, log = delete_one_base_domains(cm)
+    cm = cm.materialise()
+    bases = write_table(cm.bases())
+    fewer, _ = remove_staples_at_one_base_domains(cm, bases)
+    shorter, log = delete_one_base_domains(cm, bases)
     found = log.groupBy(ID).agg(F.when(F.count("error") > 0, 2).otherwise(1).alias("status"))
     status = cm.designs.select(ID).join(found, ID, "left").select(ID, F.coalesce("status", F.lit(0)).alias("status"))
     made = status.filter("status = 1").select(ID)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import is_sequence_of, pairs
+from ..session import write_table
 from .contact_map import ID, ContactMap
 from .matching import common_letters, packed_places
 
@@ -112,17 +113,21 @@ def verify(cm: ContactMap, bases: DataFrame | None = None, full: DataFrame | Non
     bases and full are the two halves as read from a file; without them they are derived, and agree. Warnings: homogeneous
     scaffold, unknown letters in scaffold or staples, staples with a paired section of 2 to 4 bases or of one.
     """
-    derived = cm.bases()
-    stated, full = bases if bases is not None else derived, full if full is not None else cm.full_staples()
+    cm = cm.materialise()
+    derived = write_table(cm.bases())  # both halves are read from it
+    full = cm.full_staples(derived) if full is None else full
     n, m = F.length("sequence53"), F.size("section_lengths")
     total = F.aggregate("section_lengths", F.lit(0), lambda a, x: a + x)
     fits = (n == F.size("base_i53")) & (n == total) & (m == F.size("section_scaffold_domain_ids")) & (m == F.col("num_sections"))
     t0 = full.groupBy(ID).agg(F.bool_and(fits).alias("sizes_agree"), F.bool_or(F.col("sequence53").rlike("[^ACGTU]")).alias("unknown_staple"))
     t1 = cm.claims().groupBy(ID, "i53").agg(F.count("*").alias("c")).groupBy(ID).agg((F.max("c") <= 1).alias("claimed_once"))
     cols = ["base_letter", "scaffold_domain_id", "staple_id", "staple_section_id", "staple_base_id"]
-    right = derived.select(ID, "i53", F.struct(*cols).alias("r"))
     letters = cm.staples.select(ID, "staple_id", F.posexplode(F.split("sequence53", "")).alias("staple_base_id", "letter")).filter("letter <> ''")
-    at = stated.join(right, [ID, "i53"], "left").withColumn("same", F.struct(*cols).eqNullSafe(F.col("r"))).join(letters, [ID, "staple_id", "staple_base_id"], "left")
+    if bases is None:
+        at = derived.withColumn("same", F.lit(True))
+    else:
+        at = bases.join(derived.select(ID, "i53", F.struct(*cols).alias("r")), [ID, "i53"], "left").withColumn("same", F.struct(*cols).eqNullSafe(F.col("r")))
+    at = at.join(letters, [ID, "staple_id", "staple_base_id"], "left")
     t23 = at.groupBy(ID).agg(
         F.bool_and("same").alias("halves_agree"),
         F.bool_and((F.col("staple_id") < 0) | F.coalesce(pairs("base_letter", "letter"), F.lit(False))).alias("complementary"),
