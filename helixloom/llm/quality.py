@@ -1,7 +1,8 @@
 """Quality classifier by co-training.
 
 A document has two views: its text, as hashed words, the shapes of odd ones and figures of its layout, and its page
-metadata, of which nothing is read from the text: language, source, stated size and pairs of these. Two logistic models, one a view, learn from a sample of labelled documents; over some rounds each marks
+metadata: language, source, stated size and pairs of these. The stated size is a column of the table; where it is right it
+is the text's length, so the views share that figure. Two logistic models, one a view, learn from a sample of labelled documents; over some rounds each marks
 the documents of which it is surest among all unlabelled ones, and the other learns from those too. Each view's scores are then
 calibrated on labelled documents held back from training, and the calibrated log-odds are added with weights that are
 fitted there as well. Two targets share the views: low quality and toxic; a document is kept if neither is likely.
@@ -362,7 +363,9 @@ def train_models(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -
     truth = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
     first = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)  # bounded by the sample size
     docs = read_columns(docs, ["doc_id"]).withColumn("tie", F.xxhash64("doc_id", "text"))
-    sample = docs.filter("doc_id is not null").join(F.broadcast(first), "doc_id")
+    sample = docs.filter("doc_id is not null").join(F.broadcast(first), "doc_id").withColumn("_h", F.xxhash64(*READS))
+    # one row of each id, so that what comes to the driver is bounded by the sample however often an id is repeated
+    sample = sample.groupBy("doc_id", "q", "t").agg(*[F.min_by(c, "_h").alias(c) for c in READS])
     rest = docs.join(truth.select("doc_id").hint("merge"), "doc_id", "left_anti")
     packed_columns = StructType().add("ids", "binary").add("values", "binary").add("meta", "binary")
 
@@ -375,7 +378,7 @@ def train_models(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -
 
         return run
 
-    got = map_columns(sample, list(READS), ["doc_id", "q", "t"], packed_columns, work).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    got = map_columns(sample, list(READS), ["doc_id", "q", "t"], packed_columns, work).toPandas().sort_values("doc_id")
     views, learns = views_of(got), np.array([zlib.crc32(str(d).encode()) % 4 != 0 for d in got["doc_id"]], bool)
     truths, known = {}, {}
     for target, column, bad in (("low", "q", lambda v: v < 0.5), ("toxic", "t", lambda v: v >= 0.5)):
