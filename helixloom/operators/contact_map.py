@@ -51,9 +51,13 @@ class ContactMap:
 
     def bases(self) -> DataFrame:
         """design_id, i53, base_letter, scaffold_domain_id, staple_id, staple_section_id, staple_base_id; -1 where single-stranded."""
-        last = self.claims().groupBy(ID, "i53").agg(F.max(F.struct("staple_id", "staple_base_id", "section_id")).alias("c"))
+        # numbers only, so that the aggregate hashes: the staple and its base in one long, and the section that goes with the largest
+        key = F.shiftleft(F.col("staple_id").cast("long"), 32) + F.col("staple_base_id")
+        last = self.claims().select(ID, "i53", "section_id", key.alias("c")).groupBy(ID, "i53").agg(F.max("c").alias("c"), F.max_by("section_id", "c").alias("s"))
         at = self.scaffold.join(last, [ID, "i53"], "left").join(self.designs.select(ID, "circular"), ID)
-        at = at.select(ID, "i53", "base_letter", "circular", *[F.coalesce(F.col(f"c.{c}"), F.lit(-1)).alias(n) for c, n in (("staple_id", "staple_id"), ("section_id", "staple_section_id"), ("staple_base_id", "staple_base_id"))])
+        low = F.col("c").bitwiseAND(F.lit((1 << 32) - 1))
+        none = lambda c, name: F.coalesce(c.cast("int"), F.lit(-1)).alias(name)
+        at = at.select(ID, "i53", "base_letter", "circular", none(F.shiftright("c", 32), "staple_id"), none(F.col("s"), "staple_section_id"), none(low, "staple_base_id"))
         return number_domains(at).select(ID, "i53", "base_letter", "scaffold_domain_id", "staple_id", "staple_section_id", "staple_base_id")
 
     def full_staples(self, bases: DataFrame | None = None) -> DataFrame:
@@ -74,12 +78,12 @@ def number_domains(bases: DataFrame) -> DataFrame:
     On a circular scaffold whose two ends carry the same label the last run is part of domain 0.
     """
     w = Window.partitionBy(ID).orderBy("i53")
-    whole = Window.partitionBy(ID)
-    label = F.struct("staple_id", "staple_section_id")
-    at = bases.withColumn("_new", F.when(label != F.lag(label).over(w), 1).otherwise(0)).withColumn("_d", F.sum("_new").over(w).cast("int"))
-    at = at.withColumn("_last", F.max("_d").over(whole)).withColumn("_a", F.min_by(label, "i53").over(whole)).withColumn("_b", F.max_by(label, "i53").over(whole))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = bases.withColumn("_l", F.shiftleft(F.col("staple_id").cast("long"), 32) + F.col("staple_section_id"))
+    at = at.withColumn("_new", F.when(F.col("_l") != F.lag("_l").over(w), 1).otherwise(0)).withColumn("_d", F.sum("_new").over(w).cast("int"))
+    at = at.withColumn("_last", F.last("_d").over(whole)).withColumn("_a", F.first("_l").over(whole)).withColumn("_b", F.last("_l").over(whole))
     at = at.withColumn("scaffold_domain_id", F.when(F.col("circular") & (F.col("_a") == F.col("_b")) & (F.col("_d") == F.col("_last")), 0).otherwise(F.col("_d")))
-    return at.drop("_new", "_d", "_last", "_a", "_b")
+    return at.drop("_l", "_new", "_d", "_last", "_a", "_b")
 
 
 def build(design: DataFrame, sections: DataFrame, sequences: DataFrame) -> ContactMap:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.space import angle, distance, minus
@@ -57,13 +57,55 @@ def partner_kinds(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def grid(measured_pairs: DataFrame, distances: list[float], angles: list[float]) -> DataFrame:
     """design_id, cutoff, most, mutual, cheats, one_sided for each pair of limits; limits without pairs have no row.
 
-    Distances and angles are measured once. A pair is in all cells from its own limits on, so each pair is sent to the
-    cells that it is in.
+    A pair is in all cells from its corner (x, y) on: the first distance and the first angle that let it in. For each
+    nucleotide and distance the angles from which it has one and two partners are a step function, worked out from at most
+    two corners a distance; so a pair is mutual from its own angle up to the lower of two such steps. Only the steps' ends
+    become rows, with a sign, and running sums both ways over a design's cells give the counts.
     """
-    ds, ts = (F.array(*map(F.lit, xs)) for xs in (distances, angles))
-    at = measured_pairs.withColumn("t", F.greatest("ta", "tb")).filter(F.col("t").isNotNull())
-    at = at.withColumn("cutoff", F.explode(F.filter(ds, lambda x: x >= F.col("d")))).withColumn("most", F.explode(F.filter(ts, lambda x: x >= F.col("t"))))
-    return partner_kinds(at.select(ID, "cutoff", "most", "a", "b"), [ID, "cutoff", "most"])
+    ds, ts = sorted(set(distances)), sorted(set(angles))
+    wide, high = len(ds), len(ts)
+    index = lambda xs, v: F.size(F.filter(F.array(*map(F.lit, xs)), lambda x: x < v))
+    at = measured_pairs.select(ID, "a", "b", index(ds, F.col("d")).alias("x"), index(ts, F.greatest("ta", "tb")).alias("y"), (F.col("d").isNotNull() & F.greatest("ta", "tb").isNotNull()).alias("ok"))
+    at = write_table(at.filter(F.col("ok") & (F.col("x") < wide) & (F.col("y") < high)).drop("ok"))
+
+    def steps(side: str) -> DataFrame:
+        """design_id, side, one and two: for each distance the first angle with so many partners; beyond the last: none."""
+        n = at.groupBy(ID, side, "x", "y").agg(F.count("*").alias("n"))
+        per = n.groupBy(ID, side, "x").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.col("y"), F.least(F.col("n"), F.lit(2)).cast("int"))))).alias("ys"))
+        per = per.groupBy(ID, side).agg(F.collect_list(F.struct("x", F.slice("ys", 1, 2).alias("ys"))).alias("e"))
+        lowest = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda c: F.sort_array(F.flatten(F.transform(F.filter("e", lambda e: e.x <= c), lambda e: e.ys))))
+        per = per.withColumn("l", lowest)
+        pick = lambda k: F.transform("l", lambda ys: F.coalesce(F.get(ys, F.lit(k)), F.lit(high)))
+        return per.select(ID, side, pick(0).alias("one"), pick(1).alias("two"))
+
+    def ends(of: str, low: Column, top: Column) -> Column:
+        """Signed corners of the cells from low[c] up to below top[c]; both step functions never rise with c, and empty where top <= low."""
+        every = F.sequence(F.lit(0), F.lit(wide - 1))
+        get = lambda f, c: F.when(c < 0, high).otherwise(F.get(f, c))
+        part = lambda f, sign: F.flatten(F.transform(every, lambda c: F.when(get(f, c) != get(f, c - 1), F.array(F.struct(c.alias("x"), get(f, c).alias("y"), F.lit(sign).alias("s")), F.struct(c.alias("x"), get(f, c - 1).alias("y"), F.lit(-sign).alias("s")))).otherwise(F.array().cast("array<struct<x:int,y:int,s:int>>"))))
+        rows = F.filter(F.concat(part(low, 1), part(top, -1)), lambda r: r.y < high)
+        return F.transform(rows, lambda r: F.struct(F.lit(of).alias("of"), r.x.alias("x"), r.y.alias("y"), r.s.cast("int").alias("s")))
+
+    a, b = write_table(steps("a")), write_table(steps("b"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda c: F.when(c < F.col("x"), high).otherwise(F.col("y")))
+    both = at.join(a.select(ID, "a", F.col("two").alias("_ta")), [ID, "a"]).join(b.select(ID, "b", F.col("two").alias("_tb")), [ID, "b"]).withColumn("low", own)
+    # below its own corner a pair is in no cell, so the limit is not below it either
+    limit = F.transform(F.arrays_zip("_ta", "_tb", "low"), lambda v: F.greatest(F.least(v["_ta"], v["_tb"]), v["low"]))
+    both = both.withColumn("limit", limit)
+    first = F.array(F.struct(F.lit("p").alias("of"), F.col("x"), F.col("y"), F.lit(1).alias("s")))
+    parts = [both.select(ID, F.concat(first, ends("m", F.col("low"), F.col("limit"))).alias("r"))]
+    parts += [side.select(ID, ends(name, F.col("one"), F.col("two")).alias("r")) for side, name in ((a, "a"), (b, "b"))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).select(ID, F.explode("r").alias("r")).select(ID, "r.*")
+    sums = rows.groupBy(ID, "x", "y").agg(*[F.sum(F.when(F.col("of") == k, F.col("s")).otherwise(0)).alias(k) for k in "pmab"])
+    cells = F.explode(F.sequence(F.lit(0), F.lit(wide - 1))), F.explode(F.sequence(F.lit(0), F.lit(high - 1)))
+    every = at.select(ID).distinct().withColumn("x", cells[0]).withColumn("y", cells[1])
+    now = every.join(sums, [ID, "x", "y"], "left")
+    for along, across in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy(ID, across).orderBy(along)
+        now = now.select(ID, "x", "y", *[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in "pmab"])
+    value = lambda xs, c: F.get(F.array(*map(F.lit, xs)), F.col(c))
+    counts = F.col("m").alias("mutual"), (F.col("p") - F.col("a") - F.col("b") + F.col("m")).alias("cheats"), (F.col("a") + F.col("b") - 2 * F.col("m")).alias("one_sided")
+    return now.filter("p > 0").select(ID, value(ds, "x").alias("cutoff"), value(ts, "y").alias("most"), *counts)
 
 
 def best_region(cells: DataFrame) -> DataFrame:
