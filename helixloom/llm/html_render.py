@@ -7,6 +7,10 @@ double-width letters included. Elements that are not rendered (scripts, styles,
 element that is not open), and those hidden by an attribute or by display: none, give nothing. What visibility hides may
 show again further in.
 
+What counts as visible besides: formulas, without their annotations; text elements and foreign content of drawings; of a
+drop-down list the selected option, or else the first, of a list box all options and the labels of groups; what fields and
+buttons have as their value, unless the field is a password or of a kind that shows no text; alternative texts of images.
+
 Both work with explicit stacks, so nesting depth is bounded by memory only, and in time linear in the page, tables apart.
 """
 
@@ -27,7 +31,10 @@ from .shared import map_columns
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style head title template noscript iframe object audio video canvas svg math datalist noembed noframes meta link base param source track area select option optgroup".split())
+UNSEEN = frozenset("script style head title template noscript iframe object audio video canvas datalist noembed noframes meta link base param source track area annotation annotation-xml".split())
+#: Unseen inside a drawing, and kinds of fields whose value is no text on the page.
+UNDRAWN = frozenset("defs symbol desc metadata clippath mask pattern marker filter lineargradient radialgradient".split())
+NO_TEXT = frozenset("hidden checkbox radio password file image color range date time month week datetime-local".split())
 BLOCK1 = frozenset("address article aside body center details dialog dd div dt fieldset figcaption footer form header hgroup html legend li main nav search section summary tr thead tbody tfoot caption option".split())
 BLOCK2 = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl pre blockquote table figure hr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -135,7 +142,7 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
                 opened["tr"] = opened.get("tr", 0) + 1
                 yield "start", "tr", ""
         yield "start", name, m[2]
-        if name in VOID:
+        if name in VOID or m[2].endswith("/") and (opened.get("svg") or opened.get("math")):  # foreign elements may close themselves
             yield "end", name, ""
         elif name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -284,10 +291,40 @@ def _span(value: str, most: int, least: int) -> int:
 
 
 class Element:
-    """An open element that is rendered: whether visibility shows its text, and whether it is a closed details element."""
+    """An open element that is rendered: whether visibility shows its text, whether it is a closed details element, and, in a
+    drawing, whether it is part of it and whether its text is drawn."""
+
+    def __init__(self, name: str, shown: bool, shut: bool = False, drawing: bool = False, drawn: bool = True) -> None:
+        self.name, self.shown, self.shut, self.summary, self.drawing, self.drawn = name, shown, shut, False, drawing, drawn
+
+    def inside(self, name: str, shown: bool, shut: bool) -> Element:
+        """An element in this one."""
+        if name == "svg":
+            return Element(name, shown, shut, True, False)
+        if self.drawing and name == "foreignobject":
+            return Element(name, shown, shut)
+        return Element(name, shown, shut, self.drawing, self.drawn or self.drawing and name == "text")
+
+
+class Choice:
+    """The options of an open drop-down list."""
 
-    def __init__(self, name: str, shown: bool, shut: bool = False) -> None:
-        self.name, self.shown, self.shut, self.summary = name, shown, shut, False
+    def __init__(self, depth: int) -> None:
+        self.depth, self.labels, self.chosen = depth, [], -1
+
+    def option(self, a: dict[str, str]) -> None:
+        if "selected" in a:
+            self.chosen = len(self.labels)
+        self.labels.append([a.get("label", ""), ""])
+
+    def text(self, text: str) -> None:
+        if self.labels:
+            self.labels[-1][1] += text
+
+    def label(self) -> str:
+        """What the closed list shows; the label of an option goes before its text."""
+        given, text = self.labels[max(0, self.chosen)] if self.labels else ("", "")
+        return given if given.strip() else text
 
 
 def render(html: str | None) -> str | None:
@@ -301,10 +338,15 @@ def render(html: str | None) -> str | None:
     pre = 0
     hidden: list[str] = []  # open elements from the outermost hidden one on
     path = [Element("", True)]
+    choice: Choice | None = None
     for kind, name, raw in events(html):
         box, within = boxes[-1], path[-1]
         if kind == "text":
-            if not hidden and within.shown and not within.shut:
+            if hidden or within.shut:
+                continue
+            if choice:
+                choice.text(name)
+            elif within.shown and within.drawn:
                 box.text(name, pre > 0)
             continue
         if kind == "start":
@@ -313,20 +355,39 @@ def render(html: str | None) -> str | None:
             if first:
                 within.summary = True
             style = a.get("style", "")
-            if hidden or name in UNSEEN or "hidden" in a or name == "input" or within.shut and not first or name == "dialog" and "open" not in a or style and _GONE.search(style):
+            if hidden or name in UNSEEN or "hidden" in a or within.drawing and name in UNDRAWN or within.shut and not first or name == "dialog" and "open" not in a or style and _GONE.search(style):
                 hidden.append(name)
                 continue
             shown = within.shown
             if style:
                 for m in _VISIBILITY.finditer(style):
                     shown = m[1].lower() == "visible"
-            path.append(Element(name, shown, name == "details" and "open" not in a))
+            path.append(within.inside(name, shown, name == "details" and "open" not in a))
+            if choice:
+                if name == "option":
+                    choice.option(a)
+                continue
+            if name == "select" and "multiple" not in a and a.get("size", "1").strip() in ("", "0", "1"):
+                choice = Choice(len(path))
+                continue
             if name in BLOCK2:
                 box.block(1 if name in ("ul", "ol", "menu", "dir") and lists else 2)
             elif name in BLOCK1:
                 box.block(1)
+            if within.drawing and name == "text":
+                box.block(1)
             if name == "br":
                 box.line_break()
+            elif name == "input":
+                if shown and a.get("type", "text").strip().lower() not in NO_TEXT and a.get("value", "").strip():
+                    box.text(a["value"], False)
+                elif shown and a.get("type", "").strip().lower() == "image" and a.get("alt", "").strip():
+                    box.text(a["alt"], False)
+            elif name == "optgroup":
+                box.block(1)
+                if shown and a.get("label", "").strip():
+                    box.text(a["label"], False)
+                box.block(1)
             elif name == "hr":
                 if shown:
                     box.open()
@@ -365,7 +426,16 @@ def render(html: str | None) -> str | None:
         if hidden:
             hidden.pop()
             continue
+        if choice:
+            if len(path) == choice.depth:
+                label, choice = choice.label(), None
+                if within.shown and label.strip():
+                    box.text(label, False)
+            path.pop()
+            continue
         path.pop()
+        if path[-1].drawing and name == "text":
+            box.block(1)
         if name == "pre":
             pre -= 1
         elif name in ("ul", "ol", "menu", "dir") and lists:
