@@ -19,9 +19,28 @@ FUNCTIONS = {
     "scaffold_index": ("i INT, n INT, circular BOOLEAN", "INT", "CASE WHEN circular THEN pmod(i, n) WHEN i < 0 OR i >= n THEN -1 ELSE i END"),
 }
 
+_LINES = r"""filter(transform(split(replace(replace(body, '\r\n', '\n'), '\r', '\n'), '\n'), (x, i) -> named_struct('line_no', i + 1, 's', upper(replace(translate(x, '\t', ' '), ' ', '')))),
+  x -> x.s <> '' AND NOT startswith(x.s, '#'))"""
+_KIND = FUNCTIONS["seq_type"][2].replace("(s,", "(x.s,").replace("(s ", "(x.s ").replace(" s RLIKE", " x.s RLIKE").replace("contains(s", "contains(x.s")
+
+#: name: (parameters, columns, query) of SQL table functions, to be joined laterally with a table that has texts.
+TABLES = {
+    #: the lines of an input file: its topology lines, and its sequences, of which the first is the scaffold
+    "rev_lines": (
+        "body STRING",
+        "line_no INT, kind STRING, staple_id INT, seq STRING",
+        f"""SELECT inline(concat(
+          transform(filter({_LINES}, x -> x.s IN ('LINEAR', 'CIRCULAR')), x -> named_struct('line_no', x.line_no, 'kind', 'topology', 'staple_id', CAST(NULL AS INT), 'seq', x.s)),
+          transform(filter({_LINES}, x -> x.s NOT IN ('LINEAR', 'CIRCULAR')), (x, k) -> named_struct('line_no', x.line_no,
+            'kind', CASE WHEN ({_KIND}) <> 'NUCLEIC ACID' THEN 'error' WHEN k = 0 THEN 'scaffold' ELSE 'staple' END, 'staple_id', CASE WHEN k > 0 THEN k - 1 END, 'seq', x.s))))""",
+    ),
+}
+
 
 def register(spark: SparkSession) -> list[str]:
     """Creates the functions for this session; their names."""
     for name, (parameters, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
-    return list(FUNCTIONS)
+    for name, (parameters, columns, query) in TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE({columns}) RETURN {query}")
+    return [*FUNCTIONS, *TABLES]

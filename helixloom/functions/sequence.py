@@ -130,3 +130,17 @@ def common_prefix(a: Column | str, b: Column | str) -> Column:
     most = F.least(F.length(a), F.length(b))
     differ = F.filter(F.sequence(F.lit(1), most), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).when(most < 1, 0).otherwise(F.coalesce(F.get(differ, F.lit(0)) - 1, most))
+
+
+def random_sequence(n: Column | str, seed: Column | str | int, key: Column | str, material: str = "DNA") -> Column:
+    """n letters drawn from (seed, key, place) alone, so the same row has the same letters however rows are dealt out.
+
+    Each hexadecimal digit of the MD5 of seed, key and block number is a letter of the block's 32; a sequence of 0 or fewer
+    letters is empty, one of null length null.
+    """
+    n = _col(n)
+    blocks = F.sequence(F.lit(0), F.greatest(F.ceil(n / 32).cast("int") - 1, F.lit(0)))
+    start = F.lit(seed) if isinstance(seed, int) else _col(seed)
+    drawn = F.array_join(F.transform(blocks, lambda b: F.md5(F.concat_ws("/", start.cast("string"), _col(key).cast("string"), b.cast("string")))), "")
+    letters = F.translate(drawn, "0123456789abcdef", ("ACGU" if material == "RNA" else "ACGT") * 4)
+    return F.when(n.isNotNull(), F.left(letters, F.greatest(n.cast("int"), F.lit(0))))
