@@ -137,7 +137,7 @@ class Origami:
     def schematic(self, dim: int = 2, places: DataFrame | None = None) -> DataFrame:
         """design_id, html, drawn at the places of a saved layout if they are given."""
         names = self.map.designs.select(F.col(ID).alias("name"), F.xxhash64(ID).alias(ID))
-        e = graph.edges(self.map).withColumn(ID, F.xxhash64(ID))
+        e = write_table(graph.edges(self.map).withColumn(ID, F.xxhash64(ID)))  # nodes, limits, layout and links read it
         at = schematic.layout(e, dim) if places is None else places.withColumn(ID, F.xxhash64(ID))
         page = schematic.pages(schematic.force_graph(e, graph.nodes(e), at, graph.ambiguity(e)))
         return page.join(names, ID).select(F.col("name").alias(ID), "html")
