@@ -27,6 +27,11 @@ class Origami:
     def read(spark: SparkSession, path: str) -> Origami:
         return Origami(readers.read_contact_map(spark, path)[0])
 
+    @staticmethod
+    def star_poly_t(spark: SparkSession, path: str) -> DataFrame:
+        """Lines (design_id, part, ord, line) of input files with * around runs of T in their staples; write_files writes them."""
+        return readers.auto_star(readers.text_lines(spark, path))
+
     @staticmethod
     def from_scadnano(spark: SparkSession, path: str) -> Origami:
         return Origami(from_scadnano(readers.read_scadnano(spark, path))[0])

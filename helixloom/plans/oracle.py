@@ -197,7 +197,7 @@ select design_id, type, count(*) as edges, cast(sum(runlen) as bigint) as runlen
         "linked_list_walk": "select o_custkey as strand_id, o_orderkey as nucleotide_id, row_number() over (partition by o_custkey order by o_orderkey desc) - 1 as k from orders",
         "rotation_offsets": f"with {DESIGN} select design_id, case when circular then n else 1 end as offsets, cast(case when circular then n * (n - 1) // 2 else n - 1 end as bigint) as total from design",
     }
-    from . import edit_queries, route_queries, text_queries
+    from . import edit_queries, file_queries, route_queries, text_queries
 
     out["ambiguity"] = route_queries.AMBIGUITY
-    return out | {name: text for name, (_, text) in (edit_queries.QUERIES | route_queries.QUERIES | text_queries.QUERIES).items()}
+    return out | {name: text for name, (_, text) in (edit_queries.QUERIES | route_queries.QUERIES | text_queries.QUERIES | file_queries.QUERIES).items()}

@@ -350,6 +350,6 @@ def registry() -> dict:
         band_join_pairs, monogamous_pairs, grid_pair_counts, fasta_lines, rev_lines, contactmap_csv_lines, dl_edges, linked_list_walk,
         solver_naive, solver_full, solver_accuracy, ambiguity,
     ]
-    from . import edit_queries, route_queries, text_queries
+    from . import edit_queries, file_queries, route_queries, text_queries
 
-    return {f.__name__: f for f in names} | {name: f for name, (f, _) in (edit_queries.QUERIES | route_queries.QUERIES | text_queries.QUERIES).items()}
+    return {f.__name__: f for f in names} | {name: f for name, (f, _) in (edit_queries.QUERIES | route_queries.QUERIES | text_queries.QUERIES | file_queries.QUERIES).items()}
