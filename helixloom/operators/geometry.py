@@ -65,16 +65,18 @@ def grid(measured_pairs: DataFrame, distances: list[float], angles: list[float])
     ds, ts = sorted(set(distances)), sorted(set(angles))
     wide, high = len(ds), len(ts)
     index = lambda xs, v: F.size(F.filter(F.array(*map(F.lit, xs)), lambda x: x < v))
-    at = measured_pairs.select(ID, "a", "b", index(ds, F.col("d")).alias("x"), index(ts, F.greatest("ta", "tb")).alias("y"), (F.col("d").isNotNull() & F.greatest("ta", "tb").isNotNull()).alias("ok"))
-    at = write_table(at.filter(F.col("ok") & (F.col("x") < wide) & (F.col("y") < high)).drop("ok"))
+    at = measured_pairs.withColumn("t", F.greatest("ta", "tb")).filter("d is not null and t is not null")
+    at = at.select(ID, "a", "b", index(ds, F.col("d")).alias("x"), index(ts, F.col("t")).alias("y"))
+    at = write_table(at.filter((F.col("x") < wide) & (F.col("y") < high)))
 
     def steps(side: str) -> DataFrame:
         """design_id, side, one and two: for each distance the first angle with so many partners; beyond the last: none."""
         n = at.groupBy(ID, side, "x", "y").agg(F.count("*").alias("n"))
-        per = n.groupBy(ID, side, "x").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.col("y"), F.least(F.col("n"), F.lit(2)).cast("int"))))).alias("ys"))
+        twice = F.array_repeat(F.col("y"), F.least(F.col("n"), F.lit(2)).cast("int"))
+        per = n.groupBy(ID, side, "x").agg(F.sort_array(F.flatten(F.collect_list(twice))).alias("ys"))
         per = per.groupBy(ID, side).agg(F.collect_list(F.struct("x", F.slice("ys", 1, 2).alias("ys"))).alias("e"))
-        lowest = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda c: F.sort_array(F.flatten(F.transform(F.filter("e", lambda e: e.x <= c), lambda e: e.ys))))
-        per = per.withColumn("l", lowest)
+        up_to = lambda c: F.sort_array(F.flatten(F.transform(F.filter("e", lambda e: e.x <= c), lambda e: e.ys)))
+        per = per.withColumn("l", F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), up_to))
         pick = lambda k: F.transform("l", lambda ys: F.coalesce(F.get(ys, F.lit(k)), F.lit(high)))
         return per.select(ID, side, pick(0).alias("one"), pick(1).alias("two"))
 
@@ -82,7 +84,13 @@ def grid(measured_pairs: DataFrame, distances: list[float], angles: list[float])
         """Signed corners of the cells from low[c] up to below top[c]; both step functions never rise with c, and empty where top <= low."""
         every = F.sequence(F.lit(0), F.lit(wide - 1))
         get = lambda f, c: F.when(c < 0, high).otherwise(F.get(f, c))
-        part = lambda f, sign: F.flatten(F.transform(every, lambda c: F.when(get(f, c) != get(f, c - 1), F.array(F.struct(c.alias("x"), get(f, c).alias("y"), F.lit(sign).alias("s")), F.struct(c.alias("x"), get(f, c - 1).alias("y"), F.lit(-sign).alias("s")))).otherwise(F.array().cast("array<struct<x:int,y:int,s:int>>"))))
+        corner = lambda c, y, sign: F.struct(c.alias("x"), y.alias("y"), F.lit(sign).alias("s"))
+        none = F.array().cast("array<struct<x:int,y:int,s:int>>")
+
+        def part(f: Column, sign: int) -> Column:
+            step = lambda c: F.array(corner(c, get(f, c), sign), corner(c, get(f, c - 1), -sign))
+            return F.flatten(F.transform(every, lambda c: F.when(get(f, c) != get(f, c - 1), step(c)).otherwise(none)))
+
         rows = F.filter(F.concat(part(low, 1), part(top, -1)), lambda r: r.y < high)
         return F.transform(rows, lambda r: F.struct(F.lit(of).alias("of"), r.x.alias("x"), r.y.alias("y"), r.s.cast("int").alias("s")))
 
@@ -104,7 +112,7 @@ def grid(measured_pairs: DataFrame, distances: list[float], angles: list[float])
         w = Window.partitionBy(ID, across).orderBy(along)
         now = now.select(ID, "x", "y", *[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in "pmab"])
     value = lambda xs, c: F.get(F.array(*map(F.lit, xs)), F.col(c))
-    counts = F.col("m").alias("mutual"), (F.col("p") - F.col("a") - F.col("b") + F.col("m")).alias("cheats"), (F.col("a") + F.col("b") - 2 * F.col("m")).alias("one_sided")
+    counts = [F.expr(e).alias(n) for e, n in (("m", "mutual"), ("p - a - b + m", "cheats"), ("a + b - 2 * m", "one_sided"))]
     return now.filter("p > 0").select(ID, value(ds, "x").alias("cutoff"), value(ts, "y").alias("most"), *counts)
 
 

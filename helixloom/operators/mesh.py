@@ -25,7 +25,8 @@ def _along(a: str, b: str):
 
 def contracted(crossings: DataFrame, pairs: DataFrame, design: DataFrame) -> DataFrame:
     """design_id, x, y, w: edges in both directions between the bases at crossings (design_id, u, v) and the ends of pairs."""
-    ends = crossings.select(ID, F.explode(F.array("u", "v")).alias("x")).unionByName(pairs.select(ID, F.explode(F.array("start", "goal")).alias("x"))).distinct()
+    ends = crossings.select(ID, F.explode(F.array("u", "v")).alias("x"))
+    ends = ends.unionByName(pairs.select(ID, F.explode(F.array("start", "goal")).alias("x"))).distinct()
     w = Window.partitionBy(ID).orderBy("x")
     at = ends.join(design.select(ID, "n", "circular"), ID).withColumn("y", F.lead("x").over(w)).withColumn("first", F.min("x").over(Window.partitionBy(ID)))
     at = at.withColumn("w", F.coalesce(F.col("y") - F.col("x"), F.when(F.col("circular"), F.col("n") - F.col("x") + F.col("first"))))
@@ -49,7 +50,8 @@ def shortest_hops(pairs: DataFrame, crossings: DataFrame, design: DataFrame) ->
     while True:
         front = best.filter("new").drop("new")
         # a place is worth going on from if it leaves room for one more step below the pair's limit
-        step = front.join(edges, [ID, "x"]).withColumn("d", F.col("d") + F.col("w")).filter(F.col("d") + F.when(F.col("y") == F.col("goal"), 0).otherwise(1) < F.col("most"))
+        step = front.join(edges, [ID, "x"]).withColumn("d", F.col("d") + F.col("w"))
+        step = step.filter(F.col("d") + F.when(F.col("y") == F.col("goal"), 0).otherwise(1) < F.col("most"))
         step = step.select(*PAIR, "most", F.col("y").alias("x"), "d", F.lit(True).alias("new"))
         both = best.withColumn("new", F.lit(False)).unionByName(step).groupBy(*PAIR, "most", "x")
         # of equal ways the old one stays, so that nothing is followed twice
@@ -72,5 +74,5 @@ def route_distances(sections: DataFrame, crossings: DataFrame, design: DataFrame
     u = F.col("i53") - F.col("runlen") + 1
     at = at.withColumn("start", F.when(F.col("circular"), F.pmod(u, F.col("n"))).otherwise(u).cast("int"))
     hops = shortest_hops(at.filter("goal is not null"), crossings, design)
-    at = at.join(hops, PAIR, "left").groupBy(*keys)
-    return at.agg((F.sum("runlen") + F.sum(F.when(F.col("goal").isNotNull(), F.coalesce(F.col("hops") + 1, F.lit(0))).otherwise(0))).cast("long").alias("distance"))
+    bridged = F.when(F.col("goal").isNotNull(), F.coalesce(F.col("hops") + 1, F.lit(0))).otherwise(0)
+    return at.join(hops, PAIR, "left").groupBy(*keys).agg((F.sum("runlen") + F.sum(bridged)).cast("long").alias("distance"))

@@ -74,7 +74,14 @@ def blocked(sections: DataFrame, claimed: DataFrame, design: DataFrame, keys: li
 
 
 def route_trees(
-    staples: DataFrame, design: DataFrame, sigma: int = SIGMA, least: int = MU_MIN, longest: int = 64, claimed: DataFrame | None = None, beta: float = BETA, max_nodes: int = MAX_NODES
+    staples: DataFrame,
+    design: DataFrame,
+    sigma: int = SIGMA,
+    least: int = MU_MIN,
+    longest: int = 64,
+    claimed: DataFrame | None = None,
+    beta: float = BETA,
+    max_nodes: int = MAX_NODES,
 ) -> Trees:
     """The trees of staples (design_id, staple_id, seq53) on their designs (design_id, scaffold53, n, circular).
 
@@ -89,7 +96,8 @@ def route_trees(
     level = write_table(seqs.select(*STAPLE, F.lit(0).alias("at"), F.array().cast(SECTIONS).alias("sections")))
     counts, done, tables = seqs.select(*STAPLE, F.lit(1).cast("long").alias("nodes")), None, []
     for _ in range(max(1, longest // least)):
-        rests = level.select(*STAPLE, "at").distinct().join(seqs, STAPLE).select(*STAPLE, "at", F.expr("substring(seq53, at + 1)").alias("frag")).filter(F.length("frag") >= least)
+        rests = level.select(*STAPLE, "at").distinct().join(seqs, STAPLE).select(*STAPLE, "at", F.expr("substring(seq53, at + 1)").alias("frag"))
+        rests = rests.filter(F.length("frag") >= least)
         found = fragment_matches(rests, design, least, longest, windows)
         most = F.max("runlen").over(Window.partitionBy(*STAPLE, "at"))
         found = found.withColumn("floor", F.greatest(most - sigma, F.lit(least))).filter("runlen >= floor").drop("frag")
@@ -101,12 +109,14 @@ def route_trees(
             bad = blocked(tries.select(*STAPLE, "_i", "_r", "i53", "runlen"), others, design, [*STAPLE, "_i", "_r"], beta)
             more = more.join(bad.select(*STAPLE, F.col("_i").alias("i53"), F.col("_r").alias("runlen")), keys, "left_anti")
         step = F.struct(F.col("i53").cast("int").alias("i53"), F.col("runlen").cast("int").alias("runlen"))
-        level = write_table(more.select(*STAPLE, (F.col("at") + F.col("runlen")).alias("at"), F.array_append("sections", step).cast(SECTIONS).alias("sections")))
+        level = more.select(*STAPLE, (F.col("at") + F.col("runlen")).alias("at"), F.array_append("sections", step).cast(SECTIONS).alias("sections"))
+        level = write_table(level)
         counts = write_table(counts.unionByName(level.groupBy(*STAPLE).agg(F.count("*").alias("nodes"))).groupBy(*STAPLE).agg(F.sum("nodes").alias("nodes")))
         whole = level.join(seqs, STAPLE).filter("at = length(seq53)").select(*STAPLE, "sections")
         done = whole if done is None else done.unionByName(whole)
         tables.append(level)
-        level = level.join(seqs, STAPLE).filter(F.length("seq53") - F.col("at") >= least).drop("seq53").join(counts.filter(F.col("nodes") <= max_nodes), STAPLE, "left_semi")
+        level = level.join(seqs, STAPLE).filter(F.length("seq53") - F.col("at") >= least).drop("seq53")
+        level = level.join(counts.filter(F.col("nodes") <= max_nodes), STAPLE, "left_semi")
         if level.isEmpty():
             break
     fits = counts.filter(F.col("nodes") <= max_nodes)
@@ -189,8 +199,9 @@ def narrow(routes: DataFrame, design: DataFrame, claimed: DataFrame | None = Non
             mine = sections.join(alive.join(ready, STAPLE, "left_semi").select(*STAPLE, "route_id"), [*STAPLE, "route_id"])
             bad = write_table(blocked(mine, claims, form, [*STAPLE, "route_id", "section_id"], beta).select(*STAPLE, "route_id").distinct())
             alive = _next(alive, alive.join(bad, [*STAPLE, "route_id"], "left_anti"))
-            left = alive.join(ready, STAPLE, "left_semi").groupBy(*STAPLE).agg(F.count("*").alias("routes"))
-            crossed = bases.join(alive.join(ready, STAPLE, "left_semi").select(*STAPLE, "route_id"), [*STAPLE, "route_id"], "left_semi").groupBy(*STAPLE, "b").agg(F.count("*").alias("k"))
+            stays = alive.join(ready, STAPLE, "left_semi").select(*STAPLE, "route_id")
+            left = stays.groupBy(*STAPLE).agg(F.count("*").alias("routes"))
+            crossed = bases.join(stays, [*STAPLE, "route_id"], "left_semi").groupBy(*STAPLE, "b").agg(F.count("*").alias("k"))
             shared = crossed.join(left, STAPLE).filter("k = routes").select(ID, "b", F.col("staple_id").alias("o"))
             out = write_table(ready.join(left, STAPLE, "left_anti"))
             zero = _next(zero, zero.unionByName(out))
