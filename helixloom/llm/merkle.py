@@ -192,16 +192,25 @@ def manifest(rows: DataFrame, tree: str, order: list[str], leaf: str, told: str,
     """
     spark = rows.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = with_row_id(rows.select(column(tree).alias("_tree"), *[column(c).alias(f"_o{k}") for k, c in enumerate(order)], *[column(c).alias(f"_k{k}") for k, c in enumerate(keep)], column(leaf).alias("_leaf"), column(told).alias("_told")), "_row")
+    named = lambda columns, letter: [column(c).alias(f"_{letter}{k}") for k, c in enumerate(columns)]
+    base = rows.select(column(tree).alias("_tree"), *named(order, "o"), *named(keep, "k"), column(leaf).alias("_leaf"), column(told).alias("_told"))
+    base = with_row_id(base, "_row")
     places = {c: k for k, c in enumerate(base.columns)}
     first_kept, at_leaf, at_told = places["_k0"] if keep else 0, places["_leaf"], places["_told"]
     leaves, most = numbered(base, "_tree", [*[f"_o{k}" for k in range(len(order))], "_leaf", "_row"], n)
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} string" for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")] + ["verified boolean"])
+    digests = [f"{c} string" for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")]
+    schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep], *digests, "verified boolean"])
     if not most:
         drop_table(base)
         return spark.createDataFrame([], schema)
     kept = len(keep)
-    levels = rise(leaves.map(lambda x: (x[0], x[1], x[2], x[3][at_leaf], (x[3][first_kept : first_kept + kept], None if x[3][at_told] == x[3][at_leaf] else x[3][at_told]))), most, n)
+
+    def leaf_of(x: tuple) -> tuple:
+        key, number, last, row = x
+        have = None if row[at_told] == row[at_leaf] else row[at_told]
+        return key, number, last, row[at_leaf], (row[first_kept : first_kept + kept], have)
+
+    levels = rise(leaves.map(leaf_of), most, n)
 
     roots = persist_table(spark.createDataFrame(roots_of(levels), "tree string, top string", verifySchema=False))
     trees, many = numbered(roots.withColumn("all", F.lit("")), "all", ["tree"], n)

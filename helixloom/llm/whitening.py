@@ -176,7 +176,8 @@ def whiten(vecs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     like one without any. Equal eigenvalues leave their axes open. Null and repeated ids stay; other columns do not matter.
     """
     spark = prepare(vecs.sparkSession)
-    schema = f"`{id_col}` {vecs.schema[id_col].dataType.simpleString()}, component int, n long, deviation long, whitened double, explained double, identity_error double, deviation_digits string"
+    schema = f"`{id_col}` {vecs.schema[id_col].dataType.simpleString()}, component int, n long, deviation long, whitened double, "
+    schema += "explained double, identity_error double, deviation_digits string"
     rows = integers(vecs.select(column(id_col).alias("_id"), column(vector_col).alias("_v")), "_v", scale).select("_id", "_x")
     fit_list = persist_table(rows.select("_x").distinct())
     first = fit_list.first()
