@@ -2,66 +2,111 @@
 
 A folded scaffold is a graph: bases are joined along the scaffold, and across crossovers. Only bases at crossovers, and the
 ends of the ways that are asked for, matter; the stretches between two of them are edges as long as they are. From each start
-the search goes on in rounds: a round is a join of the places reached last with the edges, and a place goes on only if it was
-reached over fewer bases than before. No way is longer than the one along the scaffold, so nothing beyond that is followed.
+the search goes on in rounds over arrays, for many pairs of many designs in one: a round follows the edges of the places
+reached last, and a place goes on only if it was reached over fewer bases than before. No way is longer than the one along
+the scaffold, so nothing beyond that is followed. A row is a design with its crossings and its pairs, so Spark deals out designs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import drop_table, write_table
+from ..session import prepare
 from .matching import ID
 
 PAIR = [ID, "start", "goal"]
+#: Fixed value: pairs that are searched together; what they have reached is all that a task holds beyond its batch.
+BLOCK = 100_000
+
+
+def _edges(design: np.ndarray, at: np.ndarray, n: np.ndarray, circular: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First edge of each place and one more, far ends and lengths; places (design, at) are sorted, u and v are numbers of places."""
+    k = np.arange(len(at))
+    first = np.searchsorted(design, design)
+    last = np.searchsorted(design, design, side="right") - 1
+    nxt = np.where(k < last, k + 1, first)
+    w = np.where(k < last, at[nxt] - at, np.where(circular[design], n[design] - at + at[first], 0))
+    x, y = np.concatenate([k, nxt, u, v]), np.concatenate([nxt, k, v, u])
+    w = np.concatenate([w, w, np.ones(2 * len(u), w.dtype)])
+    ok = (x != y) & (w > 0)
+    x, y, w = x[ok], y[ok], w[ok]
+    order = np.argsort(x, kind="stable")
+    return np.searchsorted(x[order], np.arange(len(at) + 1)), y[order], w[order]
 
 
-def _along(a: str, b: str):
-    """Bases from a to b along the scaffold, the shorter way round a circle."""
-    gap = F.abs(F.col(a) - F.col(b))
-    return F.when(F.col("circular"), F.least(gap, F.col("n") - gap)).otherwise(gap)
+def _search(start: np.ndarray, goal: np.ndarray, most: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray], places: int) -> np.ndarray:
+    """Bases on the shortest ways from start to goal, at most most."""
+    first, to, w = edges
+    out = most.copy()
+    pair, x, d = np.arange(len(start)), start, np.zeros(len(start), np.int64)
+    seen, dist = pair * places + x, d
+    while len(pair):
+        many = first[x + 1] - first[x]
+        e = np.repeat(first[x] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        pair, d, x = np.repeat(pair, many), np.repeat(d, many) + w[e], to[e]
+        # a place is worth going on from if it leaves room for one more step below what the pair has
+        there = x == goal[pair]
+        np.minimum.at(out, pair[there], d[there])
+        ok = ~there & (d + 1 < out[pair])
+        key, d = pair[ok] * places + x[ok], d[ok]
+        order = np.lexsort((d, key))
+        key, d = key[order], d[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key, d = key[new], d[new]
+        j = np.searchsorted(seen, key)
+        old = j < len(seen)
+        old[old] = seen[j[old]] == key[old]
+        better = ~old
+        better[old] = d[old] < dist[j[old]]
+        dist[j[old & better]] = d[old & better]
+        seen, dist = np.insert(seen, j[~old], key[~old]), np.insert(dist, j[~old], d[~old])
+        key, d = key[better], d[better]
+        pair, x = key // places, key % places
+    return out
 
 
-def contracted(crossings: DataFrame, pairs: DataFrame, design: DataFrame) -> DataFrame:
-    """design_id, x, y, w: edges in both directions between the bases at crossings (design_id, u, v) and the ends of pairs."""
-    ends = crossings.select(ID, F.explode(F.array("u", "v")).alias("x"))
-    ends = ends.unionByName(pairs.select(ID, F.explode(F.array("start", "goal")).alias("x"))).distinct()
-    w = Window.partitionBy(ID).orderBy("x")
-    at = ends.join(design.select(ID, "n", "circular"), ID).withColumn("y", F.lead("x").over(w)).withColumn("first", F.min("x").over(Window.partitionBy(ID)))
-    at = at.withColumn("w", F.coalesce(F.col("y") - F.col("x"), F.when(F.col("circular"), F.col("n") - F.col("x") + F.col("first"))))
-    at = at.select(ID, "x", F.coalesce("y", F.when(F.col("circular"), F.col("first"))).alias("y"), "w")
-    at = at.unionByName(crossings.select(ID, F.col("u").alias("x"), F.col("v").alias("y"), F.lit(1).alias("w"))).filter("x <> y and w > 0")
-    return at.unionByName(at.select(ID, F.col("y").alias("x"), F.col("x").alias("y"), "w")).groupBy(ID, "x", "y").agg(F.min("w").cast("int").alias("w"))
+def _hops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, circular = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy(zero_copy_only=False)
+        ends, rows = [], []
+        for c in (3, 4):
+            lists = batch.column(c)
+            rows.append(np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)))
+            ends.append([lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1)])
+        (a, b), (u, v) = ends
+        wide = int(n.max(initial=0)) + 1
+        keys = [r * wide + x for r, x in ((rows[0], a), (rows[0], b), (rows[1], u), (rows[1], v))]
+        places = np.unique(np.concatenate(keys))
+        a, b, u, v = (np.searchsorted(places, k) for k in keys)
+        design, at = places // wide, places % wide
+        edges = _edges(design, at, n, circular, u, v)
+        for k in range(0, len(a), BLOCK):
+            p, s, g = rows[0][k : k + BLOCK], a[k : k + BLOCK], b[k : k + BLOCK]
+            gap = np.abs(at[s] - at[g])
+            most = np.where(circular[p], np.minimum(gap, n[p] - gap), gap)
+            hops = _search(s, g, most, edges, len(places))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p)), *[pa.array(x.astype(np.int32)) for x in (at[s], at[g], hops)]], names=[*PAIR, "hops"])
 
 
 def shortest_hops(pairs: DataFrame, crossings: DataFrame, design: DataFrame) -> DataFrame:
     """design_id, start, goal, hops for the distinct pairs: steps of the shortest way, none from a base to itself.
 
-    crossings are design_id, u, v. Pairs and crossings with a base outside the scaffold are left out. The rounds are as many
-    as the shortest ways have stretches and crossings.
+    crossings are design_id, u, v. Pairs and crossings with a base outside the scaffold are left out. A design's pairs and
+    crossings are collected to its row; the rounds are as many as the shortest ways have stretches and crossings.
     """
-    form = write_table(design.select(ID, "n", "circular"))
-    inside = lambda df, a, b: df.join(form, ID).filter(f"{a} >= 0 and {b} >= 0 and {a} < n and {b} < n")
-    want = write_table(inside(pairs.select(*PAIR).distinct(), "start", "goal").withColumn("most", _along("start", "goal").cast("int")).select(*PAIR, "most"))
-    cross = inside(crossings.select(ID, "u", "v").distinct(), "u", "v").select(ID, "u", "v")
-    edges = write_table(contracted(cross, want, form))
-    best = write_table(want.select(*PAIR, "most", F.col("start").alias("x"), F.lit(0).alias("d"), F.lit(True).alias("new")))
-    while True:
-        front = best.filter("new").drop("new")
-        # a place is worth going on from if it leaves room for one more step below the pair's limit
-        step = front.join(edges, [ID, "x"]).withColumn("d", F.col("d") + F.col("w"))
-        step = step.filter(F.col("d") + F.when(F.col("y") == F.col("goal"), 0).otherwise(1) < F.col("most"))
-        step = step.select(*PAIR, "most", F.col("y").alias("x"), "d", F.lit(True).alias("new"))
-        both = best.withColumn("new", F.lit(False)).unionByName(step).groupBy(*PAIR, "most", "x")
-        # of equal ways the old one stays, so that nothing is followed twice
-        nxt = write_table(both.agg(F.min(F.struct("d", "new")).alias("b")).select(*PAIR, "most", "x", "b.d", "b.new"))
-        drop_table(best)
-        best = nxt
-        if best.filter("new").isEmpty():
-            break
-    found = best.filter("x = goal").select(*PAIR, "d")
-    return want.join(found, PAIR, "left").select(*PAIR, F.least("most", F.coalesce("d", "most")).alias("hops"))
+    prepare(design.sparkSession)
+    ends = lambda df, a, b, name: df.filter(f"{a} >= 0 and {b} >= 0").groupBy(ID).agg(F.collect_set(F.struct(F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b"))).alias(name))
+    at = design.select(ID, "n", "circular").join(ends(pairs, "start", "goal", "_p"), ID).join(ends(crossings, "u", "v", "_c"), ID, "left")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    inside = lambda c: F.filter(F.coalesce(c, none), lambda x: (x.a < F.col("n")) & (x.b < F.col("n"))).alias(c)
+    at = at.select(ID, F.col("n").cast("int").alias("n"), "circular", inside("_p"), inside("_c"))
+    return at.mapInArrow(_hops, f"{ID} {at.schema[ID].dataType.simpleString()}, start int, goal int, hops int")
 
 
 def route_distances(sections: DataFrame, crossings: DataFrame, design: DataFrame, keys: list[str]) -> DataFrame:
