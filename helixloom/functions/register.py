@@ -19,9 +19,10 @@ FUNCTIONS = {
     "scaffold_index": ("i INT, n INT, circular BOOLEAN", "INT", "CASE WHEN circular THEN pmod(i, n) WHEN i < 0 OR i >= n THEN -1 ELSE i END"),
 }
 
-_LINES = r"""filter(transform(split(replace(replace(body, '\r\n', '\n'), '\r', '\n'), '\n'), (x, i) -> named_struct('line_no', i + 1, 's', upper(replace(translate(x, '\t', ' '), ' ', '')))),
+# letters of the whole text before it is cut into lines, as a word a line would make each step a call
+_LINES = r"""filter(transform(split(upper(replace(replace(replace(replace(body, '\r\n', '\n'), '\r', '\n'), '\t', ''), ' ', '')), '\n'), (x, i) -> named_struct('line_no', i + 1, 's', x)),
   x -> x.s <> '' AND NOT startswith(x.s, '#'))"""
-_KIND = FUNCTIONS["seq_type"][2].replace("(s,", "(x.s,").replace("(s ", "(x.s ").replace(" s RLIKE", " x.s RLIKE").replace("contains(s", "contains(x.s")
+_NUCLEIC = "NOT (x.s RLIKE '[^ACGTU*]') AND NOT (contains(x.s, 'T') AND contains(x.s, 'U')) AND (NOT contains(x.s, '*') OR (length(x.s) - length(replace(x.s, '*', ''))) % 2 = 0 AND NOT contains(x.s, '**'))"
 
 #: name: (parameters, columns, query) of SQL table functions, to be joined laterally with a table that has texts.
 TABLES = {
@@ -29,10 +30,10 @@ TABLES = {
     "rev_lines": (
         "body STRING",
         "line_no INT, kind STRING, staple_id INT, seq STRING",
-        f"""SELECT inline(concat(
-          transform(filter({_LINES}, x -> x.s IN ('LINEAR', 'CIRCULAR')), x -> named_struct('line_no', x.line_no, 'kind', 'topology', 'staple_id', CAST(NULL AS INT), 'seq', x.s)),
-          transform(filter({_LINES}, x -> x.s NOT IN ('LINEAR', 'CIRCULAR')), (x, k) -> named_struct('line_no', x.line_no,
-            'kind', CASE WHEN ({_KIND}) <> 'NUCLEIC ACID' THEN 'error' WHEN k = 0 THEN 'scaffold' ELSE 'staple' END, 'staple_id', CASE WHEN k > 0 THEN k - 1 END, 'seq', x.s))))""",
+        f"""SELECT inline(flatten(transform(array({_LINES}), l -> concat(
+          transform(filter(l, x -> x.s IN ('LINEAR', 'CIRCULAR')), x -> named_struct('line_no', x.line_no, 'kind', 'topology', 'staple_id', CAST(NULL AS INT), 'seq', x.s)),
+          transform(filter(l, x -> x.s NOT IN ('LINEAR', 'CIRCULAR')), (x, k) -> named_struct('line_no', x.line_no,
+            'kind', CASE WHEN NOT ({_NUCLEIC}) THEN 'error' WHEN k = 0 THEN 'scaffold' ELSE 'staple' END, 'staple_id', CASE WHEN k > 0 THEN k - 1 END, 'seq', x.s))))))""",
     ),
 }
 
